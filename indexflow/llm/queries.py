@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexflow.llm import bpe, decontaminate, langid, minhash, shard, urls
+from indexflow.llm import bpe, decontaminate, embeddings, langid, minhash, shard, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("langs").cast("long").alias("n_langs"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_groups(_table(spark, sf_dir, "embeddings"), name="op3")
+
+
 #: Fixed rules: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 OP4_SQL = r"""
@@ -74,7 +78,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_language, op4_url_filter, op8_decontaminate, op9_shard, op10_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_language, op3_embeddings, op4_url_filter, op8_decontaminate, op9_shard, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
