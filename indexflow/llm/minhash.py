@@ -6,8 +6,9 @@ smallest fraction, compressed to a register of its leading-zero count and ten
 mantissa bits. Empty buckets borrow the register of another bucket in an order
 that depends on the bucket alone, so two sets still agree on a register with
 a probability of their Jaccard similarity. Bands of registers give
-candidates; the similarity estimated from all registers, less the share that
-agrees by chance, prunes them, and every remaining candidate is decided on both full sets.
+candidates. Candidates go when an odd sketch of both sets proves that too much differs, or when
+the similarity estimated from all registers, less the share that agrees by chance, is far
+too low; every remaining candidate is decided on both full sets.
 
 Copies collapse first: sets are equal when their 128-bit digests are, and only
 the smallest id of each set goes on. Inside a bucket of a band, every
@@ -31,6 +32,8 @@ from indexflow.llm.common import WordHashes, Workspace, as_bytes, gram_hashes, m
 from indexflow.llm.components import components
 
 MANTISSA = 10
+#: Words of 64 bits in an odd sketch.
+ODD = 32
 EMPTY = 0xFFFF
 TOP = 62
 
@@ -51,6 +54,23 @@ def shingle_sets(texts: list[bytes | None], k: int, memo: WordHashes) -> list[np
     return out
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Bits that say whether an odd number of a set's hashes fall on them, as ODD words a set.
+
+    Two sets differ in at least as many elements as their sketches differ in bits.
+    """
+    bits = np.empty((len(sets), 64 * ODD), dtype=np.uint8)
+    for row, s in zip(bits, sets, strict=True):
+        row[:] = np.bincount((s >> np.uint64(7)).view(np.int64) & (64 * ODD - 1), minlength=64 * ODD) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def may_link(percent: int) -> str:
+    """SQL for whether the sets of a row's sides a and b may be similar enough, by size and by what differs at least."""
+    differ = " + ".join(f"bit_count(odd_a.o{i} ^ odd_b.o{i})" for i in range(ODD))
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * ({differ}) <= {100 - percent} * (n_a + n_b)"
+
+
 @lru_cache
 def borrow_order(m: int) -> np.ndarray:
     """For each bucket the order in which it looks at others when it is empty."""
@@ -136,6 +156,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     m = bands * rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    fields = [f"o{i}" for i in range(ODD)]
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
@@ -143,14 +165,15 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for lo, hi in text_slices(col):
                 sets = shingle_sets(as_bytes(col.slice(lo, hi - lo)), k, memo)
                 regs = registers(sets, m)
+                odd = odd_sketches(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())],
-                    ["id", "n", "digest", "regs"],
+                    [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary()), pa.StructArray.from_arrays([pa.array(odd[:, i]) for i in range(ODD)], fields)],
+                    ["id", "n", "digest", "regs", "odd"],
                 )
 
-    sigs = ws.save(texts.mapInArrow(sketch, "id long, n long, digest binary, regs binary"), "sketches")
-    classes = sigs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("regs").alias("regs"))
-    reps = ws.save(classes.where("rep is not null").select("rep", "digest", "n", "regs"), "classes")
+    sigs = ws.save(texts.mapInArrow(sketch, f"id long, n long, digest binary, regs binary, odd struct<{', '.join(f'{o}: long' for o in fields)}>"), "sketches")
+    classes = sigs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("regs").alias("regs"), F.first("odd").alias("odd"))
+    reps = ws.save(classes.where("rep is not null").select("rep", "digest", "n", "regs", "odd"), "classes")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +186,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hubs = keys.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
     shared = ws.save(keys.join(hubs, "band"), "buckets")
     cands = ws.save(shared.select(F.col("rep").alias("id")).distinct(), "candidates")
-    sketches = reps.join(cands, F.col("rep") == F.col("id"), "left_semi").select(F.col("rep").alias("id"), "n", "regs")
+    sketches = reps.join(cands, F.col("rep") == F.col("id"), "left_semi").select(F.col("rep").alias("id"), "n", "regs", "odd")
     bodies = ws.save(texts.join(cands, "id", "left_semi"), "texts")
 
     stars = shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
@@ -171,10 +194,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = components(links, ws)
     placed = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "hub", F.coalesce("component", "rep").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    open_ = ws.save(placed.join(split, "band", "left_semi"), "open")
-    x = open_.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    y = open_.where("rep != hub").select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "band").where("a < b and ca != cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    open_ = ws.save(placed.join(split, "band", "left_semi"), "open").join(sketches.select(F.col("id").alias("rep"), "n", "odd"), "rep")
+    x = open_.select("band", *(F.col(c).alias(f"{k}_a") for c, k in (("rep", "rep"), ("component", "c"), ("n", "n"), ("odd", "odd"))))
+    y = open_.where("rep != hub").select("band", *(F.col(c).alias(f"{k}_b") for c, k in (("rep", "rep"), ("component", "c"), ("n", "n"), ("odd", "odd"))))
+    across = x.join(y, "band").where(f"rep_a < rep_b and c_a != c_b and {may_link(percent)}").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    across = across.distinct().join(stars, ["a", "b"], "left_anti")
     more = ws.save(confirm(likely(across, sketches, percent, m), bodies, k, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more), ws)
@@ -196,8 +220,8 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int, m: int) -> DataF
             kept = [i for i, ok in enumerate(mask) if ok]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], ["a", "b"])
 
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"), F.col("odd").alias(f"odd_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(may_link(percent))
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long")
 
 
