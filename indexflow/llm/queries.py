@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexflow.llm import bpe, decontaminate, embeddings, langid, minhash, shard, urls
+from indexflow.llm import bpe, decontaminate, embeddings, html, langid, minhash, shard, urls, warc
+from indexflow.llm.common import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,28 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html.main_text(pages, html.train(pages), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+f AS (SELECT page_id, octet_length(body) AS payload_bytes, unhex(sha1(body)) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST(('0b' || substr(bits, 5 * i + 1, 5)) AS INTEGER), 1)), '') AS payload_digest
+      FROM (SELECT *, array_to_string(list_transform(generate_series(0, 19), lambda i: bin(CAST('0x' || substr(hex(h), 2 * i + 1, 2) AS INTEGER) + 256)[2:]), '') AS bits FROM f))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "op7")
+    archives = warc.write(_table(spark, sf_dir, "pages"), f"{ws.path}/warc", ws=ws)
+    return warc.read(archives, payloads=False).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -78,8 +101,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_language, op3_embeddings, op4_url_filter, op8_decontaminate, op9_shard, op10_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_language, op3_embeddings, op4_url_filter, op6_html, op7_warc, op8_decontaminate, op9_shard, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL}
