@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,7 +202,9 @@ def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", text_col: str
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids = [np.array(x or [], dtype="<u4").tobytes() for x in part.column(len(kept)).to_pylist()]
+                lists = part.column(len(kept)).cast(pa.list_(pa.int32()))
+                flat, cuts = pc.fill_null(lists.values, -1).to_numpy().astype("<u4"), lists.offsets.to_numpy()
+                ids = [b"" if null else flat[a:b].tobytes() for a, b, null in zip(cuts, cuts[1:], lists.is_null().to_pylist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(codec.decode(ids), pa.string())], [*kept, text_col])
 
     return tokens.select(*(F.col(f"`{c}`") for c in kept), F.col(ids_col).alias("__ids")).mapInArrow(run, out)

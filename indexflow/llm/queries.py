@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexflow.llm import bpe, decontaminate, embeddings, html, langid, minhash, shard, urls, warc
+from indexflow.llm import bpe, decontaminate, embeddings, html, langid, minhash, quality, shard, urls, warc
 from indexflow.llm.common import Workspace
 
 
@@ -48,6 +48,21 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts with a grade: 2 good and not toxic, 1 one of both, 0 neither. Several labels of a document give its lowest grade."""
+    grade = F.when(F.col("quality") > 0, 1).otherwise(0) + F.when(F.col("toxic") > 0, 0).otherwise(1)
+    rated = labels.where("quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
+    return docs.select("doc_id", "text").join(rated, "doc_id").select("text", "grade")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(graded(docs, _table(spark, sf_dir, "labels")))
+    found = quality.score(docs, model, keep=["doc_id"])
+    top = F.element_at("tails", -1)
+    return found.select("doc_id", "expected_grade", F.element_at("tails", 1).alias("p_above_0"), top.alias("p_top"), (top >= 0.5).alias("selected"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return html.main_text(pages, html.train(pages), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
@@ -101,7 +116,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_language, op3_embeddings, op4_url_filter, op6_html, op7_warc, op8_decontaminate, op9_shard, op10_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_language, op3_embeddings, op4_url_filter, op5_quality, op6_html, op7_warc, op8_decontaminate, op9_shard, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
