@@ -5,7 +5,6 @@ The merge is a shortest path over the pieces. Sizes are UTF-8 bytes, positions c
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -74,8 +73,10 @@ def separators(language: str | None, custom: tuple[CustomLanguage, ...] = ()) ->
 
 def break_level(text: str) -> int:
     """0 without a line break, 2 where a run of line-break characters repeats its first one, else 1."""
+    if "\n" not in text and "\r" not in text:
+        return 0
     runs = regex.findall(r"[\n\r]+", text)
-    return 0 if not runs else 1 + any(r[0] in r[1:] for r in runs)
+    return 1 + any(r[0] in r[1:] for r in runs)
 
 
 def atoms(text: str, size_at: np.ndarray | None, patterns: tuple[regex.Pattern, ...], least: int) -> list[Atom]:
@@ -131,9 +132,10 @@ def atoms(text: str, size_at: np.ndarray | None, patterns: tuple[regex.Pattern,
     return found
 
 
-@lru_cache(1024)
-def level_cost(steps: int) -> int:
-    return sum(SYNTAX_GAP // j for j in range(1, steps + 1))
+@lru_cache(64)
+def level_costs(most: int) -> np.ndarray:
+    """The cost of a gap of 0, 1, 2 ... syntax levels."""
+    return np.concatenate(([0], np.cumsum(SYNTAX_GAP // np.arange(1, most + 1))))
 
 
 def split(text: str, chunk_size: int, min_chunk_size: int | None = None, chunk_overlap: int = 0, language: str | None = None, custom: tuple[CustomLanguage, ...] = ()) -> list[tuple[int, int]]:
@@ -145,45 +147,45 @@ def split(text: str, chunk_size: int, min_chunk_size: int | None = None, chunk_o
         size_at = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
     parts = atoms(text, size_at, compiled(separators(language, custom)), least)
     n = len(parts) - 1
-    byte = (lambda i: i) if size_at is None else (lambda i: int(size_at[i]))
-    begin, end = [byte(p.start) for p in parts], [byte(p.end) for p in parts]
-    total = byte(len(text))
-    owed = lambda at: (total - at) * NO_OVERLAP // chunk_overlap if chunk_overlap else 0
-    # best[i]: the cheapest way to cover the first i atoms: its cost, the first atom of its last chunk, the way before that chunk
-    cost, first, back, due = [0], [0], [0], [owed(0)]
+    if n < 1:
+        return []
+    bytes_at = np.arange(len(text) + 1) if size_at is None else size_at
+    begin, end = bytes_at[[p.start for p in parts]], bytes_at[[p.end for p in parts]]
+    level, before, inside = (np.array([getattr(p, f) for p in parts]) for f in ("level", "break_before", "breaks_inside"))
+    gaps = level_costs(int(level.max()) + 1)
+    owed = (bytes_at[-1] - begin) * NO_OVERLAP // chunk_overlap if chunk_overlap else np.zeros(n + 1, dtype=np.int64)
+    # cost[i]: of the cheapest way to cover the first i atoms; first[i]: the first atom of its last chunk; back[i]: the way before that chunk
+    cost, due = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    first, back = [0] * (n + 1), [0] * (n + 1)
+    due[0] = bytes_at[-1] * NO_OVERLAP // chunk_overlap if chunk_overlap else 0
+    # best[s]: the way before a chunk that begins at atom s, among those that overlap it no more than allowed
+    best, worth = np.arange(n + 1), np.full(n + 1, np.iinfo(np.int64).max)
+    fits = np.maximum(np.searchsorted(begin, end - chunk_size), 0)
+    laps = np.searchsorted(begin, end - chunk_overlap)
     for i in range(n):
-        after, chosen = parts[i + 1], None
-        inner_level, inner_break = None, 0
-        window: deque[tuple[int, int]] = deque()  # ways that overlap no more than allowed, the cheapest in front
-        for s in range(i, -1, -1):
-            a = parts[s]
-            size = end[i] - begin[s]
-            now = TOO_SMALL * (size < least) + BREAK_GAP * (max(0, inner_break - a.break_before) + max(0, inner_break - after.break_before))
-            if inner_level is not None:
-                now += level_cost(max(0, a.level - inner_level)) + level_cost(max(0, after.level - inner_level))
-            if size > chunk_size:
-                if chosen is None:
-                    chosen = (now + cost[s], s, s)
-                break
-            way = s
-            if chunk_overlap:
-                while window and end[window[0][1]] - begin[s] > chunk_overlap:
-                    window.popleft()
-                while window and window[-1][0] > cost[s] + due[s]:
-                    window.pop()
-                window.append((cost[s] + due[s], s))
-                way = window[0][1]
-                now += NO_OVERLAP + min(0, due[way] - owed(begin[s]))
-            else:
-                now += NO_OVERLAP // 2
-            now += cost[way]
-            if chosen is None or now < chosen[0]:
-                chosen = (now, s, way)
-            inner_level = a.level if inner_level is None else min(inner_level, a.level)
-            inner_break = max(inner_break, a.breaks_inside)
-        for column, value in zip((cost, first, back), chosen, strict=True):
-            column.append(value)
-        due.append(owed(end[i]))
+        if chunk_overlap:
+            v = cost[i] + due[i]
+            s = min(int(laps[i]), i)
+            won = worth[s : i + 1] >= v
+            won[-1] = True
+            best[s : i + 1][won], worth[s : i + 1][won] = i, v
+        lo = min(int(fits[i]), i)
+        inner = np.minimum.accumulate(level[lo + 1 : i + 1][::-1])
+        broken = np.maximum.accumulate(inside[lo + 1 : i + 1][::-1])
+        now = np.where(end[i] - begin[lo : i + 1][::-1] < least, TOO_SMALL, 0)
+        now[1:] += gaps[np.maximum(level[lo:i][::-1] - inner, 0)] + gaps[np.maximum(level[i + 1] - inner, 0)]
+        now[1:] += BREAK_GAP * (np.maximum(broken - before[lo:i][::-1], 0) + np.maximum(broken - before[i + 1], 0))
+        if end[i] - begin[i] > chunk_size:  # one atom that is too large is a chunk of its own
+            way, total = np.array([i]), now[:1] + cost[i]
+        elif chunk_overlap:
+            way = best[lo : i + 1][::-1]
+            total = now + cost[way] + NO_OVERLAP + np.minimum(due[way] - owed[lo : i + 1][::-1], 0)
+        else:
+            way = np.arange(i, lo - 1, -1)
+            total = now + cost[lo : i + 1][::-1] + NO_OVERLAP // 2
+        k = int(total.argmin())
+        cost[i + 1], first[i + 1], back[i + 1] = total[k], i - k, int(way[k])
+        due[i + 1] = (bytes_at[-1] - end[i]) * NO_OVERLAP // chunk_overlap if chunk_overlap else 0
     out, at = [], n
     while at:
         out.append((parts[first[at]].start, parts[at - 1].end))

@@ -17,6 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from indexflow.codec import to_row
 from indexflow.fingerprint import fingerprint, row_fingerprint
@@ -272,7 +273,7 @@ class FlowBuilder:
         spec, t, _ = self.sources[name]
         df = self.overrides[name] if name in self.overrides else spec.read(self.spark)
         key = source_key(self.source_keys(name))
-        return df.select(F.lit(name).alias(SRC), key.alias(KEY), F.array().cast("array<long>").alias(PLACE), F.lit(None).cast("string").alias(ERR), *(F.col(f"`{n}`").cast(ft.spark).alias(f"{depth}__{n}") for n, ft in t.fields))
+        return df.select(F.lit(name).alias(SRC), key.alias(KEY), F.array().cast("array<long>").alias(PLACE), F.lit(None).cast("string").alias(ERR), *(F.col(f"`{n}`").cast(loose(ft.spark)).alias(f"{depth}__{n}") for n, ft in t.fields))
 
     def add_direct_input(self, name: str, type_: Any) -> Slice:
         t = type_ if isinstance(type_, FieldType) else field_type(type_)
@@ -343,6 +344,15 @@ class FlowBuilder:
         self.record("declare", spec=spec, kind=type(spec).__name__)
 
 
+def loose(t: T.DataType) -> T.DataType:
+    """The same type with nulls allowed everywhere, which any column of it can be cast to."""
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(loose(t.elementType), True)
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, loose(f.dataType), True) for f in t])
+    return t
+
+
 def source_key(keys: list[str]) -> Column:
     """A source row's key as text: canonical JSON of its key fields."""
     return F.to_json(F.struct(*(F.col(f"`{k}`") for k in keys)), {"ignoreNullFields": "false"})
@@ -386,8 +396,6 @@ class TransformFlow:
 
         given = dict(zip(self.hints, args, strict=False)) | kwargs
         types = {n: field_type(self.hints[n]) for n in given}
-        from pyspark.sql import types as T
-
         df = spark.createDataFrame([tuple(to_row(v, types[n]) for n, v in given.items())], T.StructType([spark_field(n, types[n].null()) for n in given]))
         t, made = self.over(df, types)
         row = made.first()

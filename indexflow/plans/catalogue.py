@@ -1,12 +1,37 @@
-"""Queries over the driver tables, one per operator, with the same in SQL."""
+"""Queries over the driver tables, one per operator, with the same in SQL.
+
+Each goes through the operator or flow that it is named for; none takes part of a table only, but where that is the feature.
+"""
 
 from __future__ import annotations
 
+import dataclasses
+import tempfile
+import uuid
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from indexflow.duration import parse_micros
+from indexflow.fingerprint import row_fingerprint
+from indexflow.functions.builtin import ColumnFunction, ParseJson, SplitRecursively
+from indexflow.functions.chunker import CustomLanguage, split_column
+from indexflow.functions.udf import function
+from indexflow.operators import changes, graph, memo, merge, vector
+from indexflow.operators.graph import NodeFromFields, TargetFieldMapping
+from indexflow.plans.builder import ERR, FlowBuilder, GeneratedField
+from indexflow.plans.state import FlowState
+from indexflow.plans.update import row_status as status_of
+from indexflow.setup import Combined, TableState, diff
+from indexflow.sources.base import TableSource
+from indexflow.sources.globs import matches
+from indexflow.streaming.live import upsert_stream
+from indexflow.targets import VectorCollection
+from indexflow.types import Float32, Vector, basic, field_type
+from indexflow.types import table as table_type
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
@@ -28,10 +53,528 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT doc_id, i - 1 AS line_no, lines[i] AS line FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))")
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared one; a temporary folder only where that isn't set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='indexflow-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def flow(spark: SparkSession, sf_dir: str, name: str, key: str | tuple[str, ...]) -> tuple[FlowBuilder, Any]:
+    """A flow over one table, and the scope of its rows."""
+    b = FlowBuilder(spark, name)
+    b.scope["rows"] = b.add_source(TableSource(table(spark, sf_dir, name), key))
+    return b, b.scope["rows"].row()
+
+
+def collected(b: FlowBuilder, **fields: Any) -> DataFrame:
+    """The rows of one collect(), without hidden columns. Rows in error fail the query."""
+    c = b.scope.add_collector()
+    c.collect(**fields)
+    rows = c.rows.where(F.when(F.col(ERR).isNotNull(), F.raise_error(ERR).cast("boolean")).otherwise(True))
+    return rows.select(*fields)
+
+
+def expr(call: Callable[..., Any], returns: Any, name: str = "Expression") -> ColumnFunction:
+    return ColumnFunction(call, returns, name)
+
+
+LINES_ONLY = CustomLanguage("lines", (r"\n",))
+LINE_TABLE = table_type("LTable", line=basic("Str"))
+WORD_TABLE = table_type("LTable", word=basic("Str"))
+lines_of = expr(lambda c: F.transform(F.split(c, "\n"), lambda x: F.struct(x.alias("line"))), LINE_TABLE, "Lines")
+words_of = expr(lambda c: F.transform(F.split(c, " "), lambda x: F.struct(x.alias("word"))), WORD_TABLE, "Words")
+LINES_SQL = "(SELECT doc_id, i - 1 AS line_no, lines[i] AS line, source FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents)))"
+
+
+# sources
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    return collected(b, **{n: d[n] for n in ("doc_id", "lang", "source", "n_chars")})
+
+
+@query(r"SELECT page_id, url FROM pages WHERE regexp_full_match(url, '.*/en/.*\.html')")
+def source_glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").where(matches(F.col("url"), ["**/en/*.html"], None)).select("page_id", "url")
+
+
+@query(r"WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) SELECT page_id, path FROM p WHERE NOT regexp_matches(path, '^[^/]*\.net(/|$)') AND NOT regexp_matches(path, '/fr(/|$)')")
+def source_glob_excluded_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return paths.where(matches(F.col("path"), None, ["*.net", "*/fr"]))
+
+
+@query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://www.')")
+def source_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").where(F.col("url").startswith("https://www.")).select("page_id", "url")
+
+
+@query("SELECT c_custkey, c_name, 'fixed' AS tag, CAST(7 AS BIGINT) AS n FROM customer")
+def source_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, c = flow(spark, sf_dir, "customer", "c_custkey")
+    return collected(b, c_custkey=c["c_custkey"], c_name=c["c_name"], tag="fixed", n=7)
+
+
+# scopes
+
+
+@query("SELECT doc_id, line_no, line FROM " + LINES_SQL)
 def foreach_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    d["lines"] = d["text"].transform(lines_of)
+    with d["lines"].row() as line:
+        c = b.scope.add_collector()
+        c.collect(doc_id=d["doc_id"], line=line["line"])
+    return c.rows.select("doc_id", F.element_at("__place", -1).alias("line_no"), "line")
+
+
+@query("SELECT doc_id, source, line_no, j - 1 AS word_no, words[j] AS word FROM (SELECT *, unnest(generate_series(1, len(words))) AS j FROM (SELECT *, string_split(line, ' ') AS words FROM " + LINES_SQL + "))")
+def foreach_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    d["lines"] = d["text"].transform(lines_of)
+    c = b.scope.add_collector()
+    with d["lines"].row() as line:
+        line["words"] = line["line"].transform(words_of)
+        with line["words"].row() as word:
+            c.collect(doc_id=d["doc_id"], source=d["source"], word=word["word"])
+    return c.rows.select("doc_id", "source", F.col("__place")[0].alias("line_no"), F.col("__place")[1].alias("word_no"), "word")
+
+
+@query("SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS word FROM documents")
+def foreach_ktable_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    keyed = table_type("KTable", word=basic("Str"))
+    d["words"] = d["text"].transform(expr(lambda c: F.transform(F.array_distinct(F.split(c, " ")), lambda x: F.struct(x.alias("word"))), keyed, "Vocabulary"))
+    with d["words"].row() as w:
+        return collected(b, doc_id=d["doc_id"], word=w["word"])
+
+
+@query("SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE length(word) > 20")
+def foreach_empty_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    d["long"] = d["text"].transform(expr(lambda c: F.transform(F.filter(F.split(c, " "), lambda x: F.length(x) > 20), lambda x: F.struct(x.alias("word"))), WORD_TABLE, "LongWords"))
+    with d["long"].row() as w:
+        return collected(b, doc_id=d["doc_id"], word=w["word"])
+
+
+# transforms
+
+
+@query("SELECT doc_id, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS n_e FROM documents")
+def transform_udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @function()
+    def count_letter(text: str, letter: str) -> int:
+        return text.count(letter)
+
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    d["n"] = d["text"].transform(count_letter, letter="e")
+    return collected(b, doc_id=d["doc_id"], n_e=d["n"])
+
+
+@dataclasses.dataclass
+class UrlParts:
+    scheme: str
+    host: str
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host FROM pages")
+def transform_struct_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, p = flow(spark, sf_dir, "pages", "page_id")
+    parts = expr(lambda c: F.struct(F.regexp_extract(c, "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract(c, "^[a-z]+://([^/]*)", 1).alias("host")), UrlParts)
+    p["parts"] = p["url"].transform(parts)
+    return collected(b, page_id=p["page_id"], scheme=p["parts"]["scheme"], host=p["parts"]["host"])
+
+
+@dataclasses.dataclass
+class Token:
+    token: str
+    size: int
+
+
+@query("SELECT conv_id, turn, i - 1 AS token_no, words[i] AS token, CAST(length(words[i]) AS BIGINT) AS size FROM (SELECT *, unnest(generate_series(1, len(words))) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations))")
+def transform_table_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @function()
+    def tokens(text: str) -> list[Token]:
+        return [Token(t, len(t)) for t in text.split(" ")]
+
+    b, t = flow(spark, sf_dir, "conversations", ("conv_id", "turn"))
+    t["tokens"] = t["text"].transform(tokens)
+    c = b.scope.add_collector()
+    with t["tokens"].row() as token:
+        c.collect(conv_id=t["conv_id"], turn=t["turn"], token=token["token"], size=token["size"])
+    return c.rows.select("conv_id", "turn", F.element_at("__place", -1).alias("token_no"), "token", "size")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def parse_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, e = flow(spark, sf_dir, "events", "event_id")
+    e["json"] = e["props"].transform(ParseJson())
+    e["k"] = e["json"].transform(expr(lambda c: F.get_json_object(c, "$.k").cast("long"), int))
+    return collected(b, event_id=e["event_id"], k=e["k"])
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (NOT json_valid(text)) AS n_bad FROM documents")
+def parse_json_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    d["json"] = d["text"].transform(ParseJson())
+    c = b.scope.add_collector()
+    c.collect(doc_id=d["doc_id"], json=d["json"])
+    return c.rows.agg(F.count("*").alias("n"), F.count_if(F.col(ERR).isNotNull()).alias("n_bad"))
+
+
+# collectors
+
+
+@query("SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'b' || CAST(item_id AS VARCHAR) AS id, text FROM benchmark")
+def collect_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = FlowBuilder(spark, "union")
+    c = b.scope.add_collector()
+    for name, key, mark in (("documents", "doc_id", "d"), ("benchmark", "item_id", "b")):
+        b.scope[name] = b.add_source(TableSource(table(spark, sf_dir, name), key))
+        with b.scope[name].row() as r:
+            r["id"] = r[key].transform(expr(lambda c, m: F.concat(m, c.cast("string")), str), mark)
+            c.collect(id=r["id"], text=r["text"])
+    return c.rows.select("id", "text")
+
+
+ITEM = table_type("LTable", partkey=basic("Int64"), quantity=basic("Float64"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, l_partkey AS partkey, l_quantity AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def collect_outer_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("partkey"), F.col("l_quantity").alias("quantity"))).alias("items"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(items, "o_orderkey")
+    b = FlowBuilder(spark, "orders")
+    b.scope["orders"] = b.add_source(TableSource(orders, "o_orderkey"))
+    with b.scope["orders"].row() as o, o["items"].row() as i:
+        return collected(b, o_orderkey=o["o_orderkey"], o_custkey=o["o_custkey"], o_orderstatus=o["o_orderstatus"], partkey=i["partkey"], quantity=i["quantity"])
+
+
+@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_ids FROM " + LINES_SQL + " GROUP BY doc_id")
+def collect_generated_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    d["lines"] = d["text"].transform(lines_of)
+    c = b.scope.add_collector()
+    with d["lines"].row() as line:
+        c.collect(id=GeneratedField.UUID, doc_id=d["doc_id"], line=line["line"])
+    ids = c.rows.where(F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12}$"))
+    return ids.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
+# splitting
+
+
+@query("SELECT page_id, url AS chunk FROM pages")
+def split_default_single_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, p = flow(spark, sf_dir, "pages", "page_id")
+    p["chunks"] = p["url"].transform(SplitRecursively(), chunk_size=100_000)
+    with p["chunks"].row() as c:
+        return collected(b, page_id=p["page_id"], chunk=c["text"])
+
+
+@query("""SELECT * FROM (VALUES (1, 0, 8, 'Linea 1.'), (1, 9, 17, 'Linea 2.'), (1, 19, 27, 'Linea 3.'), (3, 3, 16, ' First chunk.'), (3, 19, 45, '  Second chunk with spaces'), (3, 46, 57, 'at the end.')) t(id, "from", "to", chunk)""")
+def split_chunks_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "Linea 1.\nLinea 2.\n\nLinea 3.", 15, 5), (3, "  \n First chunk. \n\n  Second chunk with spaces at the end.   \n", 30, 10)]
+    df = spark.createDataFrame(rows, "id int, text string, size long, least long")
+    chunks = df.select("id", F.explode(split_column(F.col("text"), F.col("size"), F.col("least"))).alias("c"))
+    return chunks.select("id", F.col("c.location.start").cast("int").alias("from"), F.col("c.location.end").cast("int").alias("to"), F.col("c.text").alias("chunk"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str, size: int, least: int, overlap: int) -> DataFrame:
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    d["chunks"] = d["text"].transform(SplitRecursively(), chunk_size=size, min_chunk_size=least, chunk_overlap=overlap)
+    with d["chunks"].row() as c:
+        return collected(b, doc_id=d["doc_id"], text=d["text"], location=c["location"], chunk=c["text"], start=c["start"], end=c["end"])
+
+
+@query()
+def split_chunks_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chunks(spark, sf_dir, 500, 200, 150)
+    return c.select("doc_id", F.col("location.start").alias("start"), F.col("location.end").alias("end"), "chunk")
+
+
+@query("SELECT doc_id, CAST(0 AS BIGINT) AS n_bad, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_kept FROM documents")
+def split_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chunks(spark, sf_dir, 1000, 300, 0)
+    same = F.col("chunk") == F.substring("text", F.col("location.start").cast("int") + 1, (F.col("location.end") - F.col("location.start")).cast("int"))
+    fits = (F.octet_length("chunk") <= 1000) | ~F.trim("chunk").rlike(r"\s")
+    solid = F.length(F.regexp_replace("chunk", r"\s", ""))
+    return c.groupBy("doc_id").agg(F.count_if(~(same & fits)).alias("n_bad"), F.sum(solid).cast("long").alias("n_kept"))
+
+
+@query("SELECT doc_id, line_no + 1 AS line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS BIGINT) AS \"offset\", CAST(1 AS BIGINT) AS \"column\" FROM (SELECT * FROM " + LINES_SQL + ") WHERE true QUALIFY trim(line, ' ') <> ''")
+def split_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.explode(split_column(F.col("text"), 1, 0, None, "lines", (LINES_ONLY,))).alias("c"))
+    return lines.select("doc_id", F.col("c.start.line").alias("line"), F.col("c.start.offset").alias("offset"), F.col("c.start.column").alias("column"))
+
+
+# types and codecs
+
+DURATIONS = ["P1D", "-P1D", "PT0S", "PT1.5S", "P1.25Y", "P2.75M", "P0.5W", "P1.5DT2.5H3.5M4.5S", "1 day", "2 DAYS", "10 milliseconds", "7 minutes 6 hours 5 days", "1 day -2 hours"]
+
+
+@query("SELECT * FROM (VALUES ('P1D', 86400000000), ('-P1D', -86400000000), ('PT0S', 0), ('PT1.5S', 1500000), ('P1.25Y', 39420000000000), ('P2.75M', 7128000000000), ('P0.5W', 302400000000), ('P1.5DT2.5H3.5M4.5S', 138814500000), ('1 day', 86400000000), ('2 DAYS', 172800000000), ('10 milliseconds', 10000), ('7 minutes 6 hours 5 days', 454020000000), ('1 day -2 hours', 79200000000)) t(txt, micros)")
+def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @function()
+    def micros(txt: str) -> int:
+        return parse_micros(txt)
+
+    b = FlowBuilder(spark, "durations")
+    b.scope["d"] = b.add_source(TableSource(spark.createDataFrame([(d,) for d in DURATIONS], "txt string"), "txt"))
+    with b.scope["d"].row() as d:
+        d["micros"] = d["txt"].transform(micros)
+        return collected(b, txt=d["txt"], micros=d["micros"])
+
+
+@dataclasses.dataclass
+class Customer:
+    c_custkey: int
+    c_name: str
+    c_acctbal: float
+
+
+@query("SELECT c_custkey, true AS same FROM customer")
+def type_json_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = field_type(Customer)
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.struct(*(n for n, _ in t.fields)).alias("row"))
+    back = F.from_json(F.to_json("row"), t.spark)
+    return df.select("c_custkey", (back == F.col("row")).alias("same"))
+
+
+@query("WITH l AS (SELECT doc_id, line_no, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS e, length(line) AS n FROM " + LINES_SQL + ") SELECT doc_id, CAST(count(*) AS BIGINT) AS n_overlapping FROM l WHERE e - n - 1 < 200 AND e - 1 > 100 GROUP BY doc_id")
+def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    end = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("line_no"))
+    ranged = lines.withColumn("e", end).select("doc_id", F.struct((F.col("e") - F.length("line") - 1).cast("long").alias("start"), (F.col("e") - 1).cast("long").alias("end")).alias("range"))
+    return ranged.where("range.start < 200 and range.end > 100").groupBy("doc_id").agg(F.count("*").alias("n_overlapping"))
+
+
+# exports
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def export_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    row = lambda price, version: orders.select("o_orderkey", price.alias("price"), F.lit(version).alias("version"))
+    base = row(F.col("o_totalprice"), "old").where("o_orderkey % 2 = 0")
+    delta = row(F.col("o_totalprice") + 1, "new").where("o_orderkey % 3 = 0")
+    return merge.merge(base, delta, None, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
+def export_delete_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracked = table(spark, sf_dir, "orders").select("o_orderkey", row_fingerprint("o_totalprice").alias("print"))
+    produced = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", row_fingerprint("o_totalprice").alias("print"))
+    upserts, deletes = changes.changed_targets(produced, tracked, ["o_orderkey"])
+    return merge.merge(tracked, upserts, deletes, ["o_orderkey"]).select("o_orderkey")
+
+
+REST = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY " + ", ".join(f"{c} DESC" for c in REST) + ") = 1")
+def export_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merge.last_writer(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c).desc() for c in REST])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query("SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total, CAST(label AS BIGINT) AS label FROM embeddings")
+def export_vector_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, v = flow(spark, sf_dir, "embeddings", "vec_id")
+    dim = 64
+    v["v"] = v["embedding"].transform(expr(lambda c: c, Vector[Float32, dim]))
+    c = b.scope.add_collector()
+    c.collect(vec_id=v["vec_id"], embedding=v["v"], label=v["label"])
+    target = VectorCollection("points")
+    c.export("points", target, primary_key_fields=["vec_id"])
+    points = target.shape(c.rows.select("vec_id", "embedding", "label"), b.exports["points"])
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return points.select("id", F.size("embedding").cast("long").alias("dim"), F.round(total, 4).alias("total"), F.get_json_object("payload", "$.label").cast("long").alias("label"))
+
+
+# incremental maintenance
+
+LISTED = "SELECT o_orderkey AS k, epoch_us(o_orderdate) AS ordinal FROM orders WHERE o_orderkey % 7 <> 0"
+TRACKED = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE epoch_us(o_orderdate) + CASE o_orderkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END END AS ordinal, CASE WHEN o_orderkey % 5 = 3 THEN 'older' ELSE 'now' END AS logic FROM orders WHERE o_orderkey % 11 <> 0"
+CHANGES_SQL = f"SELECT coalesce(l.k, t.k) AS k, CASE WHEN l.k IS NULL THEN 'DELETE' WHEN t.k IS NOT NULL AND coalesce(t.ordinal > l.ordinal OR (t.ordinal = l.ordinal AND t.logic = 'now'), false) THEN 'NO_CHANGE' ELSE 'PROCESS' END AS class FROM ({LISTED}) l FULL JOIN ({TRACKED}) t ON l.k = t.k"
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    at, key = F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")
+    listing = orders.where(key % 7 != 0).select(key.alias("k"), at.alias("ordinal"))
+    shift = F.when(key % 5 == 0, -1).when(key % 5 == 1, 1).otherwise(0)
+    tracking = orders.where(key % 11 != 0).select(key.alias("k"), F.when(key % 5 != 4, at + shift).alias("ordinal"), F.when(key % 5 == 3, "older").otherwise("now").alias("logic"))
+    return changes.detect_changes(listing, tracking, "k", "now")
+
+
+@query(CHANGES_SQL)
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(spark, sf_dir).select("k", "class")
+
+
+@query("WITH v AS (SELECT * FROM (VALUES (1000, 2), (2000, 2), (2000, 1), (NULL, 2), (2000, 3), (3000, 0)) t(o, kind)) SELECT CAST(coalesce(a.o, -1) AS BIGINT) AS had_ordinal, CAST(a.kind AS BIGINT) AS had_kind, CAST(coalesce(b.o, -1) AS BIGINT) AS ordinal, CAST(b.kind AS BIGINT) AS kind, coalesce(a.o > b.o OR (a.o = b.o AND a.kind >= b.kind), false) AS skip FROM v a, v b")
+def skip_rule_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = [(1000, 2), (2000, 2), (2000, 1), (None, 2), (2000, 3), (3000, 0)]
+    df = spark.createDataFrame([(*a, *b) for a in versions for b in versions], "ho long, hk long, o long, k long")
+    return df.select(F.coalesce("ho", F.lit(-1)).alias("had_ordinal"), F.col("hk").alias("had_kind"), F.coalesce("o", F.lit(-1)).alias("ordinal"), F.col("k").alias("kind"), changes.should_skip(F.col("ho"), F.col("hk"), F.col("o"), F.col("k")).alias("skip"))
+
+
+@query("SELECT doc_id, doc_id % 4 <> 0 AS same FROM documents")
+def content_hash_shortcircuit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    tracked = docs.select("doc_id", row_fingerprint(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text")).alias("had"))
+    return docs.select("doc_id", row_fingerprint("text").alias("now")).join(tracked, "doc_id").select("doc_id", (F.col("now") == F.col("had")).alias("same"))
+
+
+@query("SELECT c_custkey, 'upsert' AS what FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 'delete' FROM customer WHERE c_custkey % 5 = 0")
+def upsert_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    tracked = c.select("c_custkey", row_fingerprint("c_name", "c_acctbal").alias("print"))
+    new = c.where("c_custkey % 5 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, F.upper(F.concat("c_name", F.lit("x")))).otherwise(F.col("c_name")))
+    upserts, deletes = changes.changed_targets(new.select("c_custkey", row_fingerprint("c_name", "c_acctbal").alias("print")), tracked, ["c_custkey"])
+    return upserts.select("c_custkey", F.lit("upsert").alias("what")).unionByName(deletes.select("c_custkey", F.lit("delete").alias("what")))
+
+
+@query(f"SELECT count(*) FILTER (class = 'DELETE') AS n_delete, count(*) FILTER (class = 'NO_CHANGE') AS n_no_change, count(*) FILTER (class = 'PROCESS') AS n_process FROM ({CHANGES_SQL})")
+def update_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.count_classes(_changes(spark, sf_dir))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT text) AS BIGINT) AS n_computed, CAST(sum(length(text)) AS BIGINT) AS total FROM documents")
+def memo_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    state = FlowState(spark, scratch(spark, "memo"))
+    got, cache = memo.memoize(docs, row_fingerprint("text"), lambda rows: rows.withColumn("result", F.length("text")), None, "size", lambda df: state.stage(df, "memo"))
+    return got.agg(F.count("*").alias("n_rows"), F.sum("size").cast("long").alias("total")).join(cache.agg(F.count("*").alias("n_computed"))).select("n_rows", "n_computed", "total")
+
+
+@query(f"SELECT l.k AS skey, l.ordinal, coalesce(t.ordinal, -1) AS processed_ordinal, coalesce(t.logic = 'now', false) AS logic_current FROM ({LISTED}) l LEFT JOIN ({TRACKED}) t ON l.k = t.k")
+def row_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    at, key = F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")
+    shift = F.when(key % 5 == 0, -1).when(key % 5 == 1, 1).otherwise(0)
+    tracking = orders.where(key % 11 != 0).select(key.alias("__skey"), F.when(key % 5 != 4, at + shift).alias("ordinal"), F.lit(0).alias("at_micros"), F.when(key % 5 == 3, "older").otherwise("now").alias("logic"))
+    found = status_of(orders.where(key % 7 != 0).select(key.alias("__skey"), at.alias("ordinal")), tracking, "now")
+    return found.select(F.col("__skey").alias("skey"), "ordinal", F.coalesce("processed_ordinal", F.lit(-1)).alias("processed_ordinal"), F.coalesce("logic_current", F.lit(False)).alias("logic_current"))
+
+
+# graphs
+
+
+@query("SELECT n AS nation, max(own) AS self_contained FROM (SELECT n_name AS n, true AS own FROM nation UNION ALL SELECT 'nation#' || CAST(c_nationkey AS VARCHAR), false FROM customer) GROUP BY n")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exported = table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"))
+    customers = table(spark, sf_dir, "customer").withColumn("nation", F.concat(F.lit("nation#"), F.col("c_nationkey").cast("string")))
+    mentioned = graph.end_rows(customers, NodeFromFields("Nation", (TargetFieldMapping("nation"),)), ["c_custkey"])
+    return graph.nodes(["nation"], exported, [mentioned], [])
+
+
+@query("SELECT o_orderkey, o_custkey AS source_custkey, o_orderkey AS target_orderkey, o_orderstatus FROM orders")
+def graph_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("source_custkey"), F.col("o_orderkey").alias("target_orderkey"), "o_orderstatus")
+
+
+@query("SELECT p_brand AS brand, arg_min(p_type, p_partkey) AS type, false AS self_contained FROM part GROUP BY p_brand")
+def graph_declared_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").withColumn("order", F.lpad(F.col("p_partkey").cast("string"), 20, "0"))
+    end = NodeFromFields("Brand", (TargetFieldMapping("p_brand", "brand"), TargetFieldMapping("p_type", "type")))
+    types = {"p_brand": basic("Str"), "p_type": basic("Str")}
+    label = graph.declared_label(graph.DeclaredNode("Brand", ("brand",)), [(end, types)])
+    return graph.nodes([n for n, _ in label.key], None, [graph.end_rows(parts, end, ["order"])], [n for n, _ in label.values])
+
+
+@query("SELECT s_suppkey AS suppkey FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)")
+def graph_orphan_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("suppkey"), (F.col("s_suppkey") % 2 == 0).alias("self_contained"))
+    ends = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_suppkey").alias("suppkey"))
+    return graph.collect_orphans(tagged, "suppkey", ends).select("suppkey")
+
+
+@query("SELECT l_partkey AS partkey, CAST(count(*) AS BIGINT) AS degree, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem GROUP BY l_partkey")
+def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("partkey")).agg(F.count("*").alias("degree"), F.count_distinct("l_suppkey").alias("suppliers"))
+
+
+# vector search
+
+
+def _query_vector(rows: DataFrame) -> list[float]:
+    return rows.where("vec_id = 0").select("embedding").first()[0]
+
+
+def _top(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vector.top_k(rows, _query_vector(rows), 10, vector="embedding", metric=metric, tie="vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+def _top_sql(function_: str, order: str) -> str:
+    return f"SELECT vec_id, round({function_}(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) ORDER BY {function_}(CAST(embedding AS DOUBLE[]), q) {order}, vec_id LIMIT 10"
+
+
+@query(_top_sql("list_cosine_similarity", "DESC"))
+def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, "cosine")
+
+
+@query(_top_sql("list_distance", "ASC"))
+def vector_topk_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, "l2")
+
+
+@query(_top_sql("list_inner_product", "DESC"))
+def vector_topk_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, "ip")
+
+
+@query("SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5")
+def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    queries_ = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.top_k_batch(rows, queries_, 5, id_col="vec_id", vector="embedding").withColumn("score", F.round("score", 6))
+
+
+# setup, status, streams
+
+
+@query("SELECT * FROM (VALUES ('same', 'no change', ''), ('new', 'create', 'create the table with key (k bigint) and columns (a string)'), ('gone', 'delete', 'drop the table'), ('column', 'update', 'drop column b; add column a string'), ('key', 'update', 'drop the table and its data; create the table with key (k bigint) and columns (a string)')) t(name, change, steps)")
+def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    want = TableState({"k": "bigint"}, {"a": "string"})
+    cases = {"same": (want, want), "new": (want, None), "gone": (None, want), "column": (want, TableState({"k": "bigint"}, {"b": "int"})), "key": (want, TableState({"j": "bigint"}, {"a": "string"}))}
+    steps = {n: diff(a, Combined(b)) for n, (a, b) in cases.items()}
+    return spark.createDataFrame([(n, s.change.value, "; ".join(s.describe())) for n, s in steps.items()], "name string, change string, steps string")
+
+
+@query("SELECT user_id, arg_max(event_id, ts) AS event_id, epoch_us(max(ts)) AS at_micros FROM events GROUP BY user_id")
+def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    root = scratch(spark, "stream")
+    source = f"{root}/in"
+    events.select("event_id", "user_id", "ts").write.parquet(source)
+    state = FlowState(spark, f"{root}/state")
+    schema = spark.read.parquet(source).schema
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        manifest = state.load()
+        old = state.table(manifest, "latest")
+        new = batch if old is None else merge.last_writer(old.unionByName(batch), ["user_id"], [F.col("ts").desc()])
+        FlowState.point(manifest, "latest", state.stage(new, "latest"))
+        state.publish(manifest)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(source)
+    upsert_stream(stream, ["user_id"], "ts", save, f"{root}/checkpoint").awaitTermination()
+    latest = state.table(state.load(), "latest")
+    return latest.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"))
+
+
+@query("SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS n, doc_id, md5(text) AS text_md5 FROM documents")
+def dump_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    rows = collected(b, source=d["source"], doc_id=d["doc_id"], text=d["text"])
+    return rows.select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("n"), "doc_id", F.md5("text").alias("text_md5"))
 
 
 def queries() -> dict[str, Query]:
