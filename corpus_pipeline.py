@@ -54,8 +54,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, whose decoding is compared with the text."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
+    found = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), check_col="restored", keep=["doc_id", "lang", "source"])
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "restored")
 
 
 STAGES = [("language", language), ("quality", select_quality), ("near_dedup", near_dedup), ("decontaminate", drop_leaks), ("tokens", tokens)]

@@ -168,25 +168,32 @@ class Codec:
         return [body[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the token ids of every whole text in ``ids_col``, an array of ints.
 
+    ``check_col`` names a further column that says whether decoding the ids gives the text again, found by decoding them
+    in the same task, so that a text is held by one Python worker only.
+
     Null and empty texts have no ids; strings of added tokens in a text become those tokens. A column
     of that name is replaced. Rows and repeated rows are kept, and texts of any length are encoded whole.
     """
     v = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
-    kept = [c for c in (keep or docs.columns) if c.lower() != ids_col.lower()]
-    out = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()), False)])
+    made_cols = [ids_col] + ([check_col] if check_col else [])
+    kept = [c for c in (keep or docs.columns) if c.lower() not in {m.lower() for m in made_cols}]
+    out = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()), False)] + ([T.StructField(check_col, T.BooleanType(), False)] if check_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(v.value)
         for batch in batches:
             col = batch.column(len(kept))
             for lo, hi in text_slices(col):
-                ids = codec.encode(col.slice(lo, hi - lo).to_pylist())
+                texts = col.slice(lo, hi - lo).to_pylist()
+                ids = codec.encode(texts)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(kept))), made], [*kept, ids_col])
+                made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))]
+                if check_col:
+                    made.append(pa.array([a == (b or "") for a, b in zip(codec.decode(ids), texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(kept))), *made], [*kept, *made_cols])
 
     return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
 
