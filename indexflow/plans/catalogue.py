@@ -70,8 +70,10 @@ def collected(b: FlowBuilder, **fields: Any) -> DataFrame:
     """The rows of one collect(), without hidden columns. Rows in error fail the query."""
     c = b.scope.add_collector()
     c.collect(**fields)
-    rows = c.rows.where(F.when(F.col(ERR).isNotNull(), F.raise_error(ERR).cast("boolean")).otherwise(True))
-    return rows.select(*fields)
+    head, *rest = fields
+    # in a projection, not a filter: a filter would be pushed below the functions and run them twice
+    checked = F.when(F.col(ERR).isNotNull(), F.raise_error(ERR)).otherwise(F.col(f"`{head}`"))
+    return c.rows.select(checked.alias(head), *(f"`{n}`" for n in rest))
 
 
 def expr(call: Callable[..., Any], returns: Any, name: str = "Expression") -> ColumnFunction:
