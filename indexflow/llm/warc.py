@@ -67,6 +67,8 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     stop = data.find(b"\r\n\r\n", at, at + HEAD)
     if not data.startswith(VERSION, at) or stop < 0:
         raise Damaged("no record head")
+    if data.find(VERSION, at + 1, stop) >= 0:
+        raise Damaged("another record begins inside the head")
     lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
     head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
     if not re.fullmatch(r"\d{1,12}", head.get("content-length", ""), re.A):
