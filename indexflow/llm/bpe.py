@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indexflow.llm.common import text_slices
+from indexflow.llm.common import arrow_map, text_slices
 
 #: White space as Unicode's White_Space property has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -195,7 +195,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
                     made.append(pa.array([a == (b or "") for a, b in zip(codec.decode(ids), texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(kept))), *made], [*kept, *made_cols])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).transform(arrow_map, run, out)
 
 
 def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -214,7 +214,7 @@ def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", text_col: str
                 ids = [b"" if null else flat[a:b].tobytes() for a, b, null in zip(cuts, cuts[1:], lists.is_null().to_pylist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(codec.decode(ids), pa.string())], [*kept, text_col])
 
-    return tokens.select(*(F.col(f"`{c}`") for c in kept), F.col(ids_col).alias("__ids")).mapInArrow(run, out)
+    return tokens.select(*(F.col(f"`{c}`") for c in kept), F.col(ids_col).alias("__ids")).transform(arrow_map, run, out)
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,4 +234,4 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array(x, pa.string()) for x in hexes)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).transform(arrow_map, run, out)

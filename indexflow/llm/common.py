@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +16,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text handled at once inside one Arrow batch, in bytes.
-SLICE_BYTES = 4 << 20
+#: Text handled at once inside one Arrow batch, and an Arrow batch where the session sets no limit, in bytes.
+SLICE_BYTES = BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Words whose hashes a Python worker remembers before it starts afresh.
 MEMO_WORDS = 300_000
 
@@ -46,6 +50,28 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system; idle workers stay and add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """mapInArrow with batches bounded in bytes and workers that give memory back. A limit that the session sets is kept."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` bytes of text each; one long text is a range of its own."""
     n = len(texts)
@@ -98,8 +124,3 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(k):
             h = h * np.uint64(0xD6E8FEB86659FD93) + words[i : i + n]
     return mix(h)
-
-
-#: A folder-safe name.
-def safe_name(name: str) -> str:
-    return re.sub(r"\W+", "_", name)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indexflow.llm.common import WordHashes, as_bytes, gram_hashes, text_slices
+from indexflow.llm.common import WordHashes, arrow_map, as_bytes, gram_hashes, text_slices
 
 #: Bytes of item text whose index is broadcast at once.
 BLOCK_BYTES = 8 << 20
@@ -160,7 +160,7 @@ def overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_
                     text = pa.nulls(len(split), pa.string()) if last else part.column(w)
                     yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(w)), text, pa.array(sizes, pa.int64()), pa.array(new_spans, arrow_span), pa.array(new_items, pa.list_(pa.string()))], out.names)
 
-        work = work.mapInArrow(run, out)
+        work = work.transform(arrow_map, run, out)
     return work.drop("__text")
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indexflow.llm.common import Workspace
+from indexflow.llm.common import Workspace, arrow_map
 from indexflow.llm.components import components
 
 #: Vectors that codebooks and the number of visits are fitted on, at most.
@@ -174,7 +174,7 @@ def near_groups(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "e
             raw = [None if u is None else u.tobytes() for u in units]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None if u is None else len(u) for u in units], pa.int32()), pa.array([None if u is None else xxhash.xxh3_128_digest(u) for u in raw], pa.binary()), pa.array(raw, pa.binary())], ["id", "label", "dim", "digest", "vec"])
 
-    prepared = ws.save(rows.mapInArrow(prepare, "id long, label string, dim int, digest binary, vec binary"), "vectors")
+    prepared = ws.save(rows.transform(arrow_map, prepare, "id long, label string, dim int, digest binary, vec binary"), "vectors")
     classes = ws.save(prepared.where("digest is not null").groupBy("label", "dim", "digest").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
     indexes = {}
@@ -199,7 +199,7 @@ def near_groups(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "e
                         cells[i] = seen
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.list_(pa.int32()))], [*part.schema.names, "seen"])
 
-    placed = ws.save(classes.select("id", "label", "dim", "n", "vec").mapInArrow(visit, "id long, label string, dim int, n long, vec binary, seen array<int>"), "placed")
+    placed = ws.save(classes.select("id", "label", "dim", "n", "vec").transform(arrow_map, visit, "id long, label string, dim int, n long, vec binary, seen array<int>"), "placed")
     key = ["label", "dim", "cell"]
     placed = placed.withColumn("own", F.col("seen")[0])
     comers = placed.select(*placed.columns, F.explode("seen").alias("cell"))

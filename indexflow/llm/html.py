@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indexflow.llm.common import text_slices
+from indexflow.llm.common import arrow_map, text_slices
 
 #: Labelled pages that weights are learned from, at most.
 SAMPLE_ROWS = 1000
@@ -134,4 +134,4 @@ def main_text(pages: DataFrame, costs: dict[str, float], *, html_col: str = "htm
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([extract(p, costs) for p in part.column(len(kept)).to_pylist()], pa.string())], [*kept, text_col])
 
-    return pages.select(*(F.col(f"`{c}`") for c in kept), F.col(html_col).cast("string").alias("__html")).mapInArrow(run, out)
+    return pages.select(*(F.col(f"`{c}`") for c in kept), F.col(html_col).cast("string").alias("__html")).transform(arrow_map, run, out)

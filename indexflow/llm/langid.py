@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indexflow.llm.common import text_slices
+from indexflow.llm.common import arrow_map, text_slices
 
 BITS = 16
 #: Labelled rows per language that a model is fitted on, at most; the rows with the smallest hashes count.
@@ -73,7 +73,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counts = picked.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = picked.transform(arrow_map, count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((1 << BITS, len(langs)), 0.1)
     table[counts["bucket"], counts["lang"]] += counts["n"]
     return {"langs": langs, "logp": np.log(table / table.sum(axis=0)).astype(np.float32)}
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list
     kept = [c for c in (keep or docs.columns) if c.lower() not in made]
     pair = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
     out = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", T.ArrayType(pair))])
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).mapInArrow(partial(_identify, shared, len(kept), out.names), out)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).transform(arrow_map, partial(_identify, shared, len(kept), out.names), out)
 
 
 def _identify(shared, w: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

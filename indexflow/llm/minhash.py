@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indexflow.llm.common import WordHashes, Workspace, as_bytes, gram_hashes, mix, text_slices
+from indexflow.llm.common import WordHashes, Workspace, arrow_map, as_bytes, gram_hashes, mix, text_slices
 from indexflow.llm.components import components
 
 MANTISSA = 10
@@ -171,7 +171,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     ["id", "n", "digest", "regs", "odd"],
                 )
 
-    sigs = ws.save(texts.mapInArrow(sketch, f"id long, n long, digest binary, regs binary, odd struct<{', '.join(f'{o}: long' for o in fields)}>"), "sketches")
+    sigs = ws.save(texts.transform(arrow_map, sketch, f"id long, n long, digest binary, regs binary, odd struct<{', '.join(f'{o}: long' for o in fields)}>"), "sketches")
     classes = sigs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("regs").alias("regs"), F.first("odd").alias("odd"))
     reps = ws.save(classes.where("rep is not null").select("rep", "digest", "n", "regs", "odd"), "classes")
 
@@ -182,7 +182,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys.reshape(-1), pa.int64())], ["rep", "band"])
 
-    keys = reps.select("rep", "regs").mapInArrow(banded, "rep long, band long")
+    keys = reps.select("rep", "regs").transform(arrow_map, banded, "rep long, band long")
     hubs = keys.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
     shared = ws.save(keys.join(hubs, "band"), "buckets")
     cands = ws.save(shared.select(F.col("rep").alias("id")).distinct(), "candidates")
@@ -222,7 +222,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int, m: int) -> DataF
 
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"), F.col("odd").alias(f"odd_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").where(may_link(percent))
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").transform(arrow_map, keep, "a long, b long")
 
 
 def confirm(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
@@ -244,4 +244,4 @@ def confirm(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
     side = lambda c: bodies.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").transform(arrow_map, check, "a long, b long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indexflow.llm.common import text_slices
+from indexflow.llm.common import arrow_map, text_slices
 
 BITS = 18
 #: Rated texts that a model is fitted on, at most, and features of each of those.
@@ -145,7 +145,7 @@ def train(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade",
             found = [f if len(f) <= SAMPLE_FEATURES else np.sort(np.random.default_rng(len(f)).permutation(f)[:SAMPLE_FEATURES]) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array([f.astype("<i4").tobytes() for f in found], pa.binary()), batch.column(1)], ["x", "y"])
 
-    data = picked.mapInArrow(run, "x binary, y int").toPandas().sort_values(["x", "y"])
+    data = picked.transform(arrow_map, run, "x binary, y int").toPandas().sort_values(["x", "y"])
     return fit([np.frombuffer(b, dtype="<i4") for b in data["x"]], data["y"].to_numpy(dtype=np.int64))
 
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Ordinal, *, text_col: str = "text", keep: list
     shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.weights).astype(np.int32), model.weights[model.weights != 0], model.cuts))
     kept = [c for c in (keep or docs.columns) if c.lower() not in ("expected_grade", "tails")]
     out = T.StructType([docs.schema[c] for c in kept] + [T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))])
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).mapInArrow(partial(_score, shared, len(kept), out.names), out)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).transform(arrow_map, partial(_score, shared, len(kept), out.names), out)
 
 
 def _score(shared, w: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from indexflow.llm.common import Workspace
+from indexflow.llm.common import Workspace, arrow_map
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -58,7 +58,7 @@ def place(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shard, pa.int32()), pa.array(jump(key, shards + 1), pa.int32()), pa.array(np.full(len(shard), pid), pa.int32()), pa.array(local, pa.int64())], ["id", "size", "text_crc32", "shard", "grown_shard", "pid", "local"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    placed = ws.save(rows.mapInArrow(number, f"id {kind}, size long, text_crc32 long, shard int, grown_shard int, pid int, local long"), "placed")
+    placed = ws.save(rows.transform(arrow_map, number, f"id {kind}, size long, text_crc32 long, shard int, grown_shard int, pid int, local long"), "placed")
     counts = placed.groupBy("shard", "pid").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("pid")
     offsets = counts.select("shard", "pid", (F.sum("n").over(before) - F.col("n")).alias("offset"))
@@ -76,4 +76,4 @@ def write_shards(docs: DataFrame, shards: int, path: str, *, id_col: str = "doc_
     kept = [c for c in docs.columns if c.lower() != shard_col.lower()]
     schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(0).alias(shard_col)).schema
     keyed = docs.select(*(F.col(f"`{c}`") for c in kept), F.xxhash64(id_col).alias("__key"))
-    keyed.mapInArrow(number, schema).hint("rebalance", F.col(shard_col)).write.partitionBy(shard_col).parquet(path)
+    keyed.transform(arrow_map, number, schema).hint("rebalance", F.col(shard_col)).write.partitionBy(shard_col).parquet(path)

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indexflow.llm.common import Workspace
+from indexflow.llm.common import Workspace, arrow_map
 
 #: Bytes after which a task begins another archive.
 ROLL_BYTES = 64 << 20
@@ -208,7 +208,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
             done.append((path, count, size))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True) if done else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "records", "bytes"])
 
-    return ws.save(marked.mapInArrow(run, "path string, records long, bytes long"), "archives")
+    return ws.save(marked.transform(arrow_map, run, "path string, records long, bytes long"), "archives")
 
 
 FIELDS = {"path": "string", "start": "long", "end": "long", "gap": "string", "record_type": "string", "page_id": "long", "target_uri": "string", "payload_bytes": "long", "payload_digest": "string", "refers_to": "long", "payload": "binary"}
@@ -253,4 +253,4 @@ def read(archives: DataFrame, *, payloads: bool = True, path_col: str = "path")
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(FIELDS.values())], list(FIELDS))
 
     tasks = archives.select(F.col(path_col).alias("path")).repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism), F.xxhash64("path"))
-    return tasks.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
+    return tasks.transform(arrow_map, run, ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
