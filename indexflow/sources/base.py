@@ -42,6 +42,7 @@ class FileSource:
     excluded_patterns: list[str] | None = None
     prefix: str = ""
     prune: bool = True
+    watch: bool = False
 
     def fields(self, spark: SparkSession) -> FieldType:
         return table("KTable", filename=basic("Str"), content=basic("Bytes" if self.binary else "Str"))
@@ -58,6 +59,12 @@ class FileSource:
     def listing(self, spark: SparkSession) -> DataFrame:
         return self._files(spark).select("filename", "__ordinal")
 
+    def change_stream(self, spark: SparkSession) -> DataFrame | None:
+        """New files as they come, for sources to watch; removed ones are seen by the next listing only."""
+        if not self.watch:
+            return None
+        return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(self.root).select("path")
+
     def read(self, spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
         files = self._files(spark)
         if keys is not None:

@@ -116,6 +116,49 @@ def object_changes(message: str, bucket: str, prefix: str = "") -> list[tuple[st
     return out
 
 
+@dataclass(frozen=True)
+class Polled:
+    """A source with news of its changes: ``wait_for`` blocks a while, and calls what it is given when something changed.
+
+    It calls before it confirms the news to its service, so that nothing is confirmed before targets are up to date.
+    """
+
+    source: Any
+    wait_for: Callable[[Callable[[], None]], Any] = field(compare=False)
+
+    @property
+    def keys(self) -> list[str]:
+        return getattr(self.source, "keys", None) or [self.source.fields(None).fields[0][0]]
+
+    def fields(self, spark: SparkSession) -> FieldType:
+        return self.source.fields(spark)
+
+    def listing(self, spark: SparkSession) -> DataFrame:
+        return self.source.listing(spark)
+
+    def read(self, spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
+        return self.source.read(spark, keys)
+
+
+def with_queue(source: Any, queue: QueueClient, bucket: str, prefix: str = "") -> Polled:
+    """An object store whose changes a queue announces."""
+    return Polled(source, lambda changed: drain(queue, bucket, prefix, lambda _: changed()))
+
+
+def with_recent_changes(source: GoogleDrive, interval_s: float, now: Callable[[], int], pause: Callable[[float], Any]) -> Polled:
+    """A drive that is asked for recent changes after every interval; times are in microseconds."""
+    cutoff = [now()]
+
+    def wait(changed: Callable[[], None]) -> None:
+        pause(interval_s)
+        found, after = source.changed(cutoff[0], now())
+        if found:
+            changed()
+        cutoff[0] = after
+
+    return Polled(source, wait)
+
+
 class QueueClient(Protocol):
     def receive(self, most: int, wait_s: int) -> list[tuple[str, str]]: ...  # (receipt, body)
 

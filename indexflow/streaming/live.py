@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import asyncio
+import logging
 import threading
 import time
 from dataclasses import dataclass, field
@@ -16,6 +17,11 @@ from indexflow.flow import Flow, session
 from indexflow.plans.update import SourceStats, UpdateStats
 
 
+log = logging.getLogger(__name__)
+#: Seconds between tries when a change stream fails.
+FIRST_PAUSE, LONGEST_PAUSE = 5.0, 60.0
+
+
 @dataclass
 class FlowLiveUpdaterOptions:
     live_mode: bool = True
@@ -33,6 +39,7 @@ class _Task:
     source: str
     every: float | None
     stream: DataFrame | None
+    wait_for: Any = None
     stats: SourceStats = field(default_factory=SourceStats)
     active: bool = True
 
@@ -53,7 +60,7 @@ class FlowLiveUpdater:
         for name, (spec, _, interval) in self.flow.builder().sources.items():
             live = self.options.live_mode
             stream = spec.change_stream(session()) if live and hasattr(spec, "change_stream") else None
-            self._tasks.append(_Task(name, interval.total_seconds() if live and interval else None, stream))
+            self._tasks.append(_Task(name, interval.total_seconds() if live and interval else None, stream, getattr(spec, "wait_for", None) if live else None))
         for task in self._tasks:
             t = threading.Thread(target=self._run, args=(task,), daemon=True, name=f"live-{task.source}")
             self._threads.append(t)
@@ -70,6 +77,16 @@ class FlowLiveUpdater:
                 if self._stop.wait(max(0, due - time.monotonic())):
                     break
                 self._pass(task)
+            pause = FIRST_PAUSE
+            while task.wait_for is not None and not self._stop.is_set():
+                try:
+                    task.wait_for(lambda: self._pass(task))
+                    pause = FIRST_PAUSE
+                except Exception as bad:
+                    # the news isn't confirmed: it comes again
+                    log.warning("changes of %s: %s", task.source, bad)
+                    self._stop.wait(pause)
+                    pause = min(LONGEST_PAUSE, 2 * pause)
             while task.stream is not None and not task.every and self._queries and not self._stop.wait(0.5):
                 if not any(q.isActive for q in self._queries):
                     break

@@ -341,3 +341,61 @@ def test_live_updates_follow_the_source(spark, app):
         rows.append((2, "b", 1))
         assert live.next_status_updates(120).updated_sources == ["d"]
     assert f.table("words").where(F.col("id") == 2).count() == 1
+
+
+def test_announced_changes_and_new_files_reach_targets(spark, app, tmp_path):
+    import queue
+
+    from indexflow.sources.base import FileSource
+    from indexflow.sources.remote import with_queue
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("one")
+
+    class Queue:
+        def __init__(self):
+            self.notices, self.deleted = queue.Queue(), []
+
+        def receive(self, most, wait_s):
+            try:
+                return [self.notices.get(timeout=0.2)]
+            except queue.Empty:
+                return []
+
+        def delete(self, receipt):
+            self.deleted.append(receipt)
+
+    news = Queue()
+
+    def define(b, s):
+        s["f"] = b.add_source(with_queue(FileSource(str(tmp_path / "in")), news, "bucket"), name="f")
+        c = s.add_collector()
+        with s["f"].row() as f:
+            c.collect(name=f["filename"], content=f["content"])
+        c.export("words", Table(), primary_key_fields=["name"])
+
+    f = app.add_flow_def("notices", define)
+    with FlowLiveUpdater(f) as live:
+        assert live.next_status_updates(120).updated_sources == ["f"]
+        (tmp_path / "in/b.txt").write_text("two")
+        news.notices.put(("r1", json.dumps({"Records": [{"eventName": "ObjectCreated:Put", "s3": {"bucket": {"name": "bucket"}, "object": {"key": "b.txt"}}}]})))
+        assert live.next_status_updates(120).updated_sources == ["f"]
+    assert f.table("words").count() == 2 and news.deleted == ["r1"]
+    app.remove_flow("notices")
+
+    def watch(b, s):
+        s["f"] = b.add_source(FileSource(str(tmp_path / "in"), watch=True), name="f")
+        c = s.add_collector()
+        with s["f"].row() as row:
+            c.collect(name=row["filename"], content=row["content"])
+        c.export("words", Table(), primary_key_fields=["name"])
+
+    f = app.add_flow_def("watch", watch)
+    with FlowLiveUpdater(f) as live:
+        live.next_status_updates(120)
+        (tmp_path / "in/c.txt").write_text("three")
+        for _ in range(60):
+            live.next_status_updates(2)
+            if f.table("words").count() == 3:
+                break
+    assert f.table("words").count() == 3
