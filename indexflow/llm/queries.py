@@ -16,6 +16,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Groups of linked rows: ``l`` holds links (x, y) in both directions, ``d`` every id.
+GROUPS_SQL = """r(id, root) AS (SELECT id, id FROM d UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id AND r.root < l.y),
+g AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)"""
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS shingle FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+h AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+l AS (SELECT x, y FROM h UNION ALL SELECT y, x FROM h),
+d AS (SELECT doc_id AS id FROM documents),
+""" + GROUPS_SQL + """
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN g ON g.id = w.doc_id
+"""
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT x, y FROM (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)) WHERE s >= 0.93 AND NOT isnan(s)),
+k AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+d AS (SELECT vec_id AS id FROM embeddings),
+""" + GROUPS_SQL + """
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN k ON x = vec_id JOIN g ON g.id = vec_id
+"""
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir, "documents"), k=3, percent=85, name="op1")
 
@@ -120,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_minhash": OP1_SQL, "op3_embeddings": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL}
