@@ -42,6 +42,7 @@ class SplitRecursively:
 
     custom_languages: tuple[CustomLanguage, ...] = ()
     name = "SplitRecursively"
+    in_python = True
     parameters = ("text", "chunk_size", "min_chunk_size", "chunk_overlap", "language")
     relationship = (ArgRelationship.CHUNKS_BASE_TEXT, "text")
 

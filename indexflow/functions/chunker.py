@@ -152,6 +152,7 @@ def split(text: str, chunk_size: int, min_chunk_size: int | None = None, chunk_o
     bytes_at = np.arange(len(text) + 1) if size_at is None else size_at
     begin, end = bytes_at[[p.start for p in parts]], bytes_at[[p.end for p in parts]]
     level, before, inside = (np.array([getattr(p, f) for p in parts]) for f in ("level", "break_before", "breaks_inside"))
+    any_break = bool(inside.any())
     gaps = level_costs(int(level.max()) + 1)
     owed = (bytes_at[-1] - begin) * NO_OVERLAP // chunk_overlap if chunk_overlap else np.zeros(n + 1, dtype=np.int64)
     # cost[i]: of the cheapest way to cover the first i atoms; first[i]: the first atom of its last chunk; back[i]: the way before that chunk
@@ -171,10 +172,11 @@ def split(text: str, chunk_size: int, min_chunk_size: int | None = None, chunk_o
             best[s : i + 1][won], worth[s : i + 1][won] = i, v
         lo = min(int(fits[i]), i)
         inner = np.minimum.accumulate(level[lo + 1 : i + 1][::-1])
-        broken = np.maximum.accumulate(inside[lo + 1 : i + 1][::-1])
         now = np.where(end[i] - begin[lo : i + 1][::-1] < least, TOO_SMALL, 0)
         now[1:] += gaps[np.maximum(level[lo:i][::-1] - inner, 0)] + gaps[np.maximum(level[i + 1] - inner, 0)]
-        now[1:] += BREAK_GAP * (np.maximum(broken - before[lo:i][::-1], 0) + np.maximum(broken - before[i + 1], 0))
+        if any_break:
+            broken = np.maximum.accumulate(inside[lo + 1 : i + 1][::-1])
+            now[1:] += BREAK_GAP * (np.maximum(broken - before[lo:i][::-1], 0) + np.maximum(broken - before[i + 1], 0))
         if end[i] - begin[i] > chunk_size:  # one atom that is too large is a chunk of its own
             way, total = np.array([i]), now[:1] + cost[i]
         elif chunk_overlap:

@@ -80,6 +80,7 @@ class Scope:
         self.builder, self.name, self.parent, self.df = builder, name, parent, df
         self.fields: dict[str, Slice] = {}
         self.depth = 0 if parent is None else parent.depth + 1
+        self.dealt = False
 
     def __enter__(self) -> Scope:
         return self
@@ -116,6 +117,12 @@ class Scope:
     def put(self, column: str, value: Column) -> None:
         self.df = self.df.withColumn(column, value)
 
+    def spread(self) -> None:
+        """Before Python code runs on rows for the first time, deal them out to all tasks."""
+        if not any(s.dealt for s in self.chain()):
+            self.df = spread(self.df)
+            self.dealt = True
+
     def open(self, of: Slice) -> Scope:
         t = of.type
         if not t.is_table:
@@ -320,6 +327,8 @@ class FlowBuilder:
             raise FlowError("a source is used through row()")
         columns = {n: (s.column, s.type) for n, s in given.items()}
         at = f"{scope.depth}__{self.auto(re.sub(r'(?<!^)(?=[A-Z])', '_', fn.name).lower())}"
+        if isinstance(fn, UserFunction) or getattr(fn, "in_python", False):
+            scope.spread()
         if isinstance(fn, UserFunction):
             t, made = fn.column(columns)
             raw = f"{at}__raw"
@@ -344,6 +353,12 @@ class FlowBuilder:
         self.record("declare", spec=spec, kind=type(spec).__name__)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over as many partitions as tasks run at once, where a small input has fewer; a large one is left as it is."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+
+
 def loose(t: T.DataType) -> T.DataType:
     """The same type with nulls allowed everywhere, which any column of it can be cast to."""
     if isinstance(t, T.ArrayType):
