@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from indexflow.llm.common import arrow_map, text_slices
 
 BITS = 16
-#: Labelled rows per language that a model is fitted on, at most; the rows with the smallest hashes count.
+#: Labelled rows per language that a model is fitted on.
 SAMPLE_ROWS = 3000
 #: Languages that a model may hold.
 MAX_LANGS = 500
@@ -47,13 +47,14 @@ def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return (code * np.uint32(2654435761)) >> np.uint32(32 - BITS), start
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict:
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str | None = None, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Languages and their log-probabilities per trigram bucket, from rows with a label and a text.
 
-    At most ``sample_rows`` rows of each language are used; counting is distributed, and what reaches
-    the driver is bounded by languages times buckets. No labelled rows give a model without languages.
+    About ``sample_rows`` rows of each language are used, picked by a hash of the text and, if given, the id, which keeps
+    apart the copies of a frequent text. Counting is distributed, and what reaches the driver is bounded by
+    languages times buckets. No labelled rows give a model without languages.
     """
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows = labelled.select((F.xxhash64(text_col, id_col) if id_col else F.xxhash64(text_col)).alias("hash"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
@@ -61,7 +62,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     if not langs:
         return {"langs": [], "logp": np.zeros((1 << BITS, 0), dtype=np.float32)}
     share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_rows / sizes[k])))))
-    picked = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    picked = rows.where(F.pmod("hash", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), 1 << BITS), dtype=np.int64)

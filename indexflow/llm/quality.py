@@ -129,14 +129,15 @@ def fit(x: list[np.ndarray], y: np.ndarray, *, epochs: int = 60, rate: float = 0
     return Ordinal(w, first + np.concatenate(([0], np.cumsum(np.exp(steps)))))
 
 
-def train(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade", sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """A model from rows with a text and a grade 0, 1, 2 ...; at most ``sample_rows`` of them, picked by a hash of the text.
+def train(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade", id_col: str | None = None, sample_rows: int = SAMPLE_ROWS) -> Ordinal:
+    """A model from rows with a text and a grade 0, 1, 2 ...; about ``sample_rows`` of them and never twice as many,
+    picked by a hash of the text and, if given, the id, which keeps apart the copies of a frequent text.
 
     Rows with a null grade or text are left out. No rows, or one grade only, give a model without weights.
     """
-    rows = rated.select(F.col(text_col).cast("string").alias("text"), F.col(grade_col).cast("int").alias("grade")).where("text is not null and grade >= 0")
+    rows = rated.select((F.xxhash64(text_col, id_col) if id_col else F.xxhash64(text_col)).alias("hash"), F.col(text_col).cast("string").alias("text"), F.col(grade_col).cast("int").alias("grade")).where("text is not null and grade >= 0")
     total = rows.count()
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, sample_rows / max(1, total)) * (1 << 20)))
+    picked = rows.where(F.pmod("hash", F.lit(1 << 20)) < int(min(1.0, sample_rows / max(1, total)) * (1 << 20))).select("text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -145,7 +146,7 @@ def train(rated: DataFrame, *, text_col: str = "text", grade_col: str = "grade",
             found = [f if len(f) <= SAMPLE_FEATURES else np.sort(np.random.default_rng(len(f)).permutation(f)[:SAMPLE_FEATURES]) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array([f.astype("<i4").tobytes() for f in found], pa.binary()), batch.column(1)], ["x", "y"])
 
-    data = picked.transform(arrow_map, run, "x binary, y int").toPandas().sort_values(["x", "y"])
+    data = picked.transform(arrow_map, run, "x binary, y int").limit(2 * sample_rows).toPandas().sort_values(["x", "y"])
     return fit([np.frombuffer(b, dtype="<i4") for b in data["x"]], data["y"].to_numpy(dtype=np.int64))
 
 

@@ -46,7 +46,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = langid.train(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
+    model = langid.train(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()), id_col="doc_id")
     found = langid.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("langs").cast("long").alias("n_langs"))
 
@@ -76,12 +76,12 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts with a grade: 2 good and not toxic, 1 one of both, 0 neither. Several labels of a document give its lowest grade."""
     grade = F.when(F.col("quality") > 0, 1).otherwise(0) + F.when(F.col("toxic") > 0, 0).otherwise(1)
     rated = labels.where("quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    return docs.select("doc_id", "text").join(rated, "doc_id").select("text", "grade")
+    return docs.select("doc_id", "text").join(rated, "doc_id").select("doc_id", "text", "grade")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = quality.train(graded(docs, _table(spark, sf_dir, "labels")))
+    model = quality.train(graded(docs, _table(spark, sf_dir, "labels")), id_col="doc_id")
     found = quality.score(docs, model, keep=["doc_id"])
     top = F.element_at("tails", -1)
     return found.select("doc_id", "expected_grade", F.element_at("tails", 1).alias("p_above_0"), top.alias("p_top"), (top >= 0.5).alias("selected"))
