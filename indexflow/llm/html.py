@@ -27,7 +27,7 @@ LEAST = 0.01
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-z/!?](?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|<[a-z/!?][^<>]*>?|[^<]+|<", re.I | re.S)
 NAME = re.compile(r"</?\s*([a-z][a-z0-9-]*)", re.I)
 MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-PART = re.compile(r"[a-z]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 CONTENT = {"article", "main"}
 BOILERPLATE = {"head", "nav", "header", "footer", "aside", "form", "button", "dialog", "menu"}
 #: Parts of class names, ids and roles of boilerplate elements.
@@ -38,10 +38,22 @@ MARKED = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "dialog", "newsletter", "subscribe", "signup", "login", "search", "form",
     "comment", "comments", "reply", "replies", "respond", "disqus",
 }
+#: Parts that say that a name only mentions boilerplate, and first parts of names of an article's own parts.
+NEGATING, OWN = {"has", "no", "not", "with", "without", "is", "hide", "show", "free", "open", "closed"}, {"article", "entry", "post", "content", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 
 
+def is_marked(tag: str) -> bool:
+    """Whether a start tag's classes, id or role name boilerplate: the first or last part of one of the names does."""
+    for m in MARKS.finditer(tag):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in PART.findall(name)]
+            if parts and not NEGATING & {*parts} and (parts[0] in MARKED or parts[-1] in MARKED and not (parts[0] in OWN and parts[-1] == "header")):
+                return True
+    return False
+
+
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(tag name or "" for text, text, inside a content element, kept) of every token in page order.
 
@@ -59,8 +71,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
             continue
         tag, closing = named[1].lower(), raw[1] == "/"
         if tag in CONTENT and not (skip and tag == skip):
-            marks = {x for g in MARKS.findall(raw) for x in PART.findall("".join(g).lower())} if not closing else set()
-            if not marks & MARKED:
+            if closing or not is_marked(raw):
                 skip, nested = "", 0
                 depth = max(0, depth - 1) if closing else depth + 1
                 out.append((tag, "", depth > 0, True))
@@ -71,8 +82,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
                 if not nested:
                     skip = ""
         elif not closing and tag not in VOID and not raw.endswith("/>"):
-            marks = {x for g in MARKS.findall(raw) for x in PART.findall("".join(g).lower())}
-            if tag in BOILERPLATE or marks & MARKED and tag not in ("html", "body"):
+            if tag in BOILERPLATE or tag not in ("html", "body") and is_marked(raw):
                 skip, nested = tag, 1
         out.append((tag, "", depth > 0, not skip))
     return out

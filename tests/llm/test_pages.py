@@ -55,6 +55,16 @@ def test_main_text():
     assert html.extract("a < b and c > d", {}) == "a < b and c > d"
 
 
+@pytest.mark.parametrize(
+    ("name", "marked"),
+    [("ad", True), ("site-header", True), ("leftSidebar", True), ("cookie_notice big", True), ("comment-body", True), ("related", True), ("post has-comments", False), ("ad-free", False), ("entry-header", False), ("post-comments", True), ("adaptive", False), ("shadow", False), ("no-sidebar", False)],
+)
+def test_names_of_boilerplate(name, marked):
+    assert html.is_marked(f'<div class="{name}">') is marked is html.is_marked(f"<p id='{name}' x=1>")
+    text = html.extract(f'<article class="{name}"><p>one two</p></article><div class="{name}">three</div>', {})
+    assert ("one" in text) is not marked
+
+
 def test_the_best_region_is_the_maximum_subsequence():
     costs = {"td": 3.0, "tr": 3.0, "p": 0.01}
     page = "<tr><td>a</td><td>b c</td></tr><p>one two three four five</p><p>six seven</p><tr><td>z</td></tr>"
