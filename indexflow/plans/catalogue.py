@@ -24,11 +24,12 @@ from indexflow.operators.graph import NodeFromFields, TargetFieldMapping
 from indexflow.plans.builder import ERR, FlowBuilder, GeneratedField
 from indexflow.plans.state import FlowState
 from indexflow.plans.update import row_status as status_of
+from indexflow.plans.update import run_update, target_name
 from indexflow.setup import Combined, TableState, diff
 from indexflow.sources.base import TableSource
 from indexflow.sources.globs import matches
 from indexflow.streaming.live import upsert_stream
-from indexflow.targets import VectorCollection
+from indexflow.targets import Table, VectorCollection
 from indexflow.types import Float32, Vector, basic, field_type
 from indexflow.types import table as table_type
 
@@ -464,6 +465,37 @@ def row_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("__skey").alias("skey"), "ordinal", F.coalesce("processed_ordinal", F.lit(-1)).alias("processed_ordinal"), F.coalesce("logic_current", F.lit(False)).alias("logic_current"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name, CAST(length(c_name) AS BIGINT) AS size FROM customer WHERE c_custkey % 5 <> 0")
+def flow_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow's target after a first update and one that adds, changes and removes source rows."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    before = customers.where("c_custkey % 4 <> 0").withColumn("at", F.lit(1))
+    after = customers.where("c_custkey % 5 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, F.upper("c_name")).otherwise(F.col("c_name"))).withColumn("at", F.when(F.col("c_custkey") % 3 == 0, 2).otherwise(1))
+    state = FlowState(spark, scratch(spark, "flow"))
+    for rows in (before, after):
+
+        def define(b: FlowBuilder, rows: DataFrame = rows) -> None:
+            b.scope["customers"] = b.add_source(TableSource(rows, "c_custkey", "at"), name="customers")
+            c = b.scope.add_collector()
+            with b.scope["customers"].row() as r:
+                r["size"] = r["c_name"].transform(expr(lambda n: F.length(n).cast("long"), int, "Length"))
+                c.collect(c_custkey=r["c_custkey"], name=r["c_name"], size=r["size"])
+            c.export("names", Table(), primary_key_fields=["c_custkey"])
+
+        run_update(spark, define, state, "customers")
+    return state.table(state.load(), target_name("names")).select("c_custkey", "name", "size")
+
+
+@query("SELECT 'order#' || CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, o_orderkey % 2 = 0 AS self_contained FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def flow_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that rows export or that relationships mention, after an update of both exports."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("order#"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderstatus").alias("status"))
+    end = NodeFromFields("Order", (TargetFieldMapping("name"),))
+    exported = orders.where("o_orderkey % 2 = 0")
+    mentioned = graph.end_rows(orders.where("o_orderkey % 3 = 0"), end, ["o_orderkey"])
+    return graph.nodes(["name"], exported.select("name", "status"), [mentioned], ["status"])
+
+
 # graphs
 
 
