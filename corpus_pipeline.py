@@ -14,22 +14,22 @@ from indexflow.llm import bpe, decontaminate, langid, minhash, quality
 from indexflow.llm.common import Workspace
 from indexflow.llm.queries import graded
 
-#: Share of a document's words that its best language must have.
-LEAST_SHARE = 0.5
+#: Share of a document's words that its best language must have: spliced texts in two or three languages stay.
+LEAST_SHARE = 0.3
 #: Probability of the top grade that a document must reach.
 LEAST_TOP = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one learned language has half of the words or more; those without a letter go."""
-    model = langid.train(docs)
+    """Documents in which one learned language has 0.3 of the words or more; those without a letter go."""
+    model = langid.train(docs, id_col="doc_id")
     found = langid.identify(docs, model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that reach the top grade with a probability of half or more."""
-    model = quality.train(graded(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = quality.train(graded(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), id_col="doc_id")
     found = quality.score(docs, model)
     return found.where(F.element_at("tails", -1) >= LEAST_TOP).select(docs.columns)
 
@@ -39,11 +39,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat an id one stays; documents without an id stay.
     """
-    groups = minhash.near_groups(docs, k=5, percent=80, name="pipeline-dedup").where("kept")
-    kept = Workspace(spark, "pipeline-kept").save(groups.groupBy("doc_id").agg(F.count("*").alias("n")))
-    stay = lambda which: docs.join(kept.where(which).select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    once, more = stay("n = 1 or doc_id is null"), "n > 1 and doc_id is not null"
-    return once if kept.where(more).isEmpty() else once.unionByName(stay(more).dropDuplicates(["doc_id"]))
+    ws = Workspace(spark, "pipeline-kept")
+    groups = minhash.near_groups(docs, k=5, percent=80, name="pipeline-dedup").where("doc_id is not null")
+    ids = ws.save(groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("n")))
+    left = minhash.IdFilter(ids.where("not kept").select("doc_id"), "doc_id", ws).without(docs)
+    more = ids.where("n > 1").select("doc_id")
+    if more.isEmpty():
+        return left
+    again = minhash.IdFilter(more, "doc_id", ws)
+    return again.without(left).unionByName(again.among(left).dropDuplicates(["doc_id"])).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indexflow.llm.common import WordHashes, Workspace, arrow_map, as_bytes, gram_hashes, mix, text_slices
@@ -34,6 +34,8 @@ from indexflow.llm.components import components
 MANTISSA = 10
 #: Words of 64 bits in an odd sketch.
 ODD = 32
+#: Bits of the filter by which texts are fetched, at most; it is broadcast, at 16 bytes for 64 bits.
+FILTER_BITS = 1 << 25
 EMPTY = 0xFFFF
 TOP = 62
 
@@ -186,8 +188,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hubs = keys.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
     shared = ws.save(keys.join(hubs, "band"), "buckets")
     cands = ws.save(shared.select(F.col("rep").alias("id")).distinct(), "candidates")
-    sketches = reps.join(cands, F.col("rep") == F.col("id"), "left_semi").select(F.col("rep").alias("id"), "n", "regs", "odd")
-    bodies = ws.save(texts.join(cands, "id", "left_semi"), "texts")
+    wanted = IdFilter(cands, "id", ws)
+    sketches = ws.save(wanted.among(reps.select(F.col("rep").alias("id"), "n", "regs", "odd")), "candidate-sketches")
+    bodies = ws.save(wanted.among(texts), "texts")
 
     stars = shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = ws.save(confirm(likely(stars, sketches, percent, m), bodies, k, percent), "links")
@@ -208,6 +211,41 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+class IdFilter:
+    """Tells most rows whose id isn't among ``ids`` before a join, so that the join needn't shuffle them.
+
+    A bit for each hash of an id, in words of 64, goes to all tasks. Their number follows the ids up to FILTER_BITS
+    and no further, which bounds the broadcast; with very many ids the filter tells fewer rows apart.
+    """
+
+    def __init__(self, ids: DataFrame, id_col: str, ws: Workspace):
+        self.ids, self.id_col = ids, id_col
+        self.bits = min(FILTER_BITS, 1 << (16 * max(64, ids.count())).bit_length())
+        self.words = ws.save(ids.groupBy(F.floor(self._at / 64).alias("__word")).agg(F.bit_or(self._bit).alias("__mask")), "filter")
+
+    @property
+    def _at(self) -> Column:
+        return F.pmod(F.xxhash64(self.id_col), F.lit(self.bits))
+
+    @property
+    def _bit(self) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (self._at % 64).cast("int"))
+
+    def _marked(self, rows: DataFrame) -> DataFrame:
+        met = rows.withColumn("__word", F.floor(self._at / 64)).join(F.broadcast(self.words), "__word", "left")
+        return met.withColumn("__maybe", F.coalesce(F.col("__mask").bitwiseAND(self._bit) != 0, F.lit(False)))
+
+    def among(self, rows: DataFrame) -> DataFrame:
+        """The rows whose id is among the ids."""
+        return self._marked(rows).where("__maybe").select(rows.columns).join(self.ids.select(self.id_col).hint("merge"), self.id_col, "left_semi").select(rows.columns)
+
+    def without(self, rows: DataFrame) -> DataFrame:
+        """The rows whose id isn't among the ids, those with a null id too."""
+        marked = self._marked(rows)
+        rest = marked.where("__maybe").select(rows.columns).join(self.ids.select(self.id_col).hint("merge"), self.id_col, "left_anti")
+        return marked.where("not __maybe").select(rows.columns).unionByName(rest.select(rows.columns))
+
+
 def likely(pairs: DataFrame, sketches: DataFrame, percent: int, m: int) -> DataFrame:
     """The pairs whose estimated similarity is within six standard deviations of the threshold or above."""
     s = percent / 100
@@ -221,7 +259,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int, m: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], ["a", "b"])
 
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"), F.col("odd").alias(f"odd_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where(may_link(percent))
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").where(may_link(percent))
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").transform(arrow_map, keep, "a long, b long")
 
 
@@ -244,4 +282,4 @@ def confirm(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
     side = lambda c: bodies.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").transform(arrow_map, check, "a long, b long")
+    return pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "text_a", "text_b").transform(arrow_map, check, "a long, b long")

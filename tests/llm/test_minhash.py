@@ -95,3 +95,14 @@ def test_components_of_paths_loops_and_nothing(spark):
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long"), ws).collect())
     assert got == {i: 1 for i in range(1, 52)} | {90: 90, 100: 90, 200: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long"), ws).count() == 0
+
+
+def test_id_filter_splits_rows_exactly(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(2000)] + [(None, "n"), (7, "again")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 2000, 7)], "doc_id long")
+    for most in (1 << 25, 64):  # a filter with room, and one in which every bit is set
+        monkeypatch.setattr(minhash, "FILTER_BITS", most)
+        f = minhash.IdFilter(ids, "doc_id", Workspace(spark, "filter"))
+        among, without = ([r["doc_id"] for r in part.collect()] for part in (f.among(rows), f.without(rows)))
+        assert sorted(among) == sorted([*range(0, 2000, 7), 7]) and None in without and len(among) + len(without) == 2002
+    assert minhash.IdFilter(ids.limit(0), "doc_id", Workspace(spark, "filter")).without(rows).count() == 2002
