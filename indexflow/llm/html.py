@@ -3,6 +3,8 @@
 A page is a sequence of tags and runs of words. Words score positive and tags negative, with weights learned
 from labelled pages by where tokens stand: in a page's content element or outside it. A linear scan finds the
 contiguous region with the highest sum; its words, but for those of boilerplate elements inside it, are the text.
+A page with content elements has two such regions, one of the words in them and one of the words outside; the
+learned weights say which of them it is, since such elements may hold mere teasers.
 """
 
 from __future__ import annotations
@@ -89,31 +91,44 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
 
 
 def learn(pages: list[str]) -> dict[str, float]:
-    """Costs of tags outside content elements, from pages that mark theirs: the log-odds of standing outside."""
-    seen = {True: Counter(), False: Counter()}
+    """Costs of tags from pages that mark their content: the log-odds of standing outside; under "" what it adds to a region to lie in a content element, the log-odds of a word standing in one."""
+    seen, words = {True: Counter(), False: Counter()}, Counter()
     for page in pages:
-        for tag, _, inside, _ in tokens(page):
+        for tag, text, inside, kept in tokens(page):
             if tag:
                 seen[inside][tag] += 1
-    return {t: min(8.0, max(LEAST, math.log((seen[False][t] + 0.5) / (seen[True][t] + 0.5)))) for t in {*seen[True], *seen[False]}}
+            elif kept:
+                words[inside] += len(text.split())
+    cost = lambda no, yes: min(8.0, max(LEAST, math.log((no + 0.5) / (yes + 0.5))))
+    return {t: cost(seen[False][t], seen[True][t]) for t in {*seen[True], *seen[False]}} | {"": cost(words[True], words[False])}
 
 
-def extract(page: str | None, costs: dict[str, float]) -> str:
-    """The main text of a page, its blocks joined by line breaks; empty if there is none."""
-    parts = tokens(page) if page else []
-    marked = any(inside and kept and text.strip() for tag, text, inside, kept in parts if not tag)
+def region(worth: list[float]) -> tuple[float, int, int]:
+    """The highest sum of a contiguous part, and where the part begins and ends; of equal ones the first."""
     total = best = 0.0
     start = lo = hi = 0
-    for i, (tag, text, inside, kept) in enumerate(parts):
-        if tag:
-            total -= LEAST if inside else costs.get(tag, 1.0)
-        elif kept:
-            n = len(text.split())
-            total += n if inside or not marked else -n
+    for i, w in enumerate(worth):
+        total += w
         if total > best:
             best, lo, hi = total, start, i + 1
         elif total < 0:
             total, start = 0.0, i + 1
+    return best, lo, hi
+
+
+def extract(page: str | None, costs: dict[str, float]) -> str:
+    """The main text of a page, its blocks joined by line breaks; empty if there is none.
+
+    Words and learned costs of tags score the best region of any one content element and the best region outside of them.
+    If the former and what lying in an element adds reach the latter, the text is that of the content elements, whatever tags are in them.
+    """
+    parts = tokens(page) if page else []
+    words = [0 if tag or not kept else len(text.split()) for tag, text, _, kept in parts]
+    score, lo, hi = region([-costs.get(tag, 1.0) if tag else -n if inside else n for (tag, _, inside, _), n in zip(parts, words, strict=True)])
+    if any(n and inside for (_, _, inside, _), n in zip(parts, words, strict=True)):
+        own, _, _ = region([-math.inf if not inside else -costs.get(tag, LEAST) if tag else n for (tag, _, inside, _), n in zip(parts, words, strict=True)])
+        if own + costs.get("", 1.0) >= score:
+            _, lo, hi = region([(-LEAST if inside else -costs.get(tag, 1.0)) if tag else n if inside else -n for (tag, _, inside, _), n in zip(parts, words, strict=True)])
     blocks: list[list[str]] = [[]]
     for tag, text, _, kept in parts[lo:hi]:
         if tag and tag not in INLINE:

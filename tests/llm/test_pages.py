@@ -65,6 +65,18 @@ def test_names_of_boilerplate(name, marked):
     assert ("one" in text) is not marked
 
 
+def test_body_outside_the_content_elements():
+    """Teasers in content elements don't outweigh a body that stands in a div, nor does a list inside an article cut it."""
+    costs = html.learn([PAGE] * 20)
+    teaser = "<article><h2>Other page</h2><p>five more words of teaser</p></article>"
+    body = "<p>one two three four five six seven</p>" * 9
+    want = "\n".join(["one two three four five six seven"] * 9)
+    assert html.extract(f"<body>{teaser}<div>{body}</div>{teaser * 5}</body>", costs) == want
+    assert html.extract(f"<body><div>some words beside it</div><article>{body}</article></body>", costs) == want
+    listed = "<ul>" + "<li><a href=x>w</a></li>" * 30 + "</ul>"
+    assert html.extract(f"<article>{body}{listed}{body}</article>", costs) == "\n".join([want, *["w"] * 30, want])
+
+
 def test_the_best_region_is_the_maximum_subsequence():
     costs = {"td": 3.0, "tr": 3.0, "p": 0.01}
     page = "<tr><td>a</td><td>b c</td></tr><p>one two three four five</p><p>six seven</p><tr><td>z</td></tr>"
