@@ -26,7 +26,10 @@ from indexflow.llm.common import arrow_map, text_slices
 SAMPLE_ROWS = 1000
 #: Least cost of a tag.
 LEAST = 0.01
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-z/!?](?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|<[a-z/!?][^<>]*>?|[^<]+|<", re.I | re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[a-z/!?](?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|<[a-z/!?][^<>]*>?|[^<]+|<", re.I | re.S)
+#: Elements whose contents are no text of the page: those that can't hold their like, and those that can or that end with their parent.
+RAW, NESTING = {"script", "style", "noscript", "iframe", "textarea", "title"}, {"template", "svg", "select", "object"}
+ANY_TAG = re.compile(r"<[a-z/!?]", re.I)
 NAME = re.compile(r"</?\s*([a-z][a-z0-9-]*)", re.I)
 MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -43,6 +46,11 @@ MARKED = {
 #: Parts that say that a name only mentions boilerplate, and first parts of names of an article's own parts.
 NEGATING, OWN = {"has", "no", "not", "with", "without", "is", "hide", "show", "free", "open", "closed"}, {"article", "entry", "post", "content", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements whose end tag may be left out: the start tags that end them. The end tag of a block around them does so too.
+BLOCKS = {"address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
+ROWS = {"tr", "tbody", "thead", "tfoot"}
+ENDED_BY = {"p": BLOCKS | {"li", "dt", "dd", "td", "th"} | ROWS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"} | ROWS, "th": {"td", "th"} | ROWS, "tr": ROWS, "tbody": ROWS - {"tr"}, "thead": ROWS - {"tr"}, "tfoot": ROWS - {"tr"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"}}
+AROUND = BLOCKS - {"p", "hr"} | {"li", "dt", "dd", "td", "th", "body", "html", "datalist", "optgroup"} | ROWS
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 
 
@@ -56,36 +64,108 @@ def is_marked(tag: str) -> bool:
     return False
 
 
+class Raw:
+    """Ends of the elements of a page whose contents are no text."""
+
+    def __init__(self, page: str):
+        self.page, self.ends, self.none = page, {}, {}
+
+    def end(self, tag: str, raw: str, begin: int, after: int) -> int:
+        """Where the element ends whose start tag stands at [begin, after); one without contents ends there.
+
+        One without an end tag ends at the next tag, whatever that is. A self-closed one has contents only if
+        an end tag comes before the next start tag of its kind, and never if it may hold its like.
+        """
+        if tag in NESTING:
+            if raw.endswith("/>"):
+                return after
+            if tag not in self.ends:
+                self.ends[tag] = self.pairs(tag, begin)
+            found = self.ends[tag].get(begin)
+        else:
+            found = None
+            if after < self.none.get(tag, len(self.page)):
+                m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(self.page, after)
+                if not m:
+                    self.none[tag] = after
+                elif raw.endswith("/>") and re.compile(rf"<{tag}(?=[\s/>])", re.I).search(self.page, after, m.start()):
+                    return after
+                else:
+                    found = m.end()
+            if found is None and raw.endswith("/>"):
+                return after
+        if found is None:
+            m = ANY_TAG.search(self.page, after)
+            found = m.start() if m else len(self.page)
+        return found
+
+    def pairs(self, tag: str, begin: int) -> dict[int, int]:
+        """Where elements end, by where they begin."""
+        out, open_ = {}, []
+        for m in re.compile(rf"<(/?){tag}(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.I).finditer(self.page, begin):
+            if not m[1]:
+                if not m[0].endswith("/>"):
+                    open_.append(m.start())
+            elif open_:
+                out[open_.pop()] = m.end()
+        return out
+
+
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(tag name or "" for text, text, inside a content element, kept) of every token in page order.
 
     Text inside boilerplate elements and whatever is no text is not kept. A boilerplate element that
-    isn't closed ends where a content element begins or ends.
+    isn't closed ends where a content element begins or ends, and where its end tag may be left out, there.
     """
     out: list[tuple[str, str, bool, bool]] = []
-    depth, skip, nested = 0, "", 0
-    for m in TOKEN.finditer(page):
-        raw = m[0]
-        named = NAME.match(raw) if raw[0] == "<" and not m[1] else None
+    depth, skip, nested, at = 0, "", 0, 0
+    within: list[str] = []  # the open elements from a skipped one on whose end tag may be left out
+    hidden = Raw(page)
+    while m := TOKEN.match(page, at):
+        raw, at = m[0], m.end()
+        named = NAME.match(raw) if raw[0] == "<" else None
         if not named:
             if raw[0] != "<" or raw == "<":
                 out.append(("", raw, depth > 0, not skip))
             continue
         tag, closing = named[1].lower(), raw[1] == "/"
+        if not closing and (tag in RAW or tag in NESTING):
+            at = hidden.end(tag, raw, m.start(), at)
+            continue
         if tag in CONTENT and not (skip and tag == skip):
             if closing or not is_marked(raw):
                 skip, nested = "", 0
                 depth = max(0, depth - 1) if closing else depth + 1
                 out.append((tag, "", depth > 0, True))
                 continue
-        if skip:
-            if tag == skip and tag not in VOID and not raw.endswith("/>"):
+        single = tag in VOID or raw.endswith("/>")
+        if skip in ENDED_BY:
+            if not closing:
+                while (i := next((i for i in reversed(range(len(within))) if within[i] not in INLINE), -1)) >= 0 and tag in ENDED_BY.get(within[i], ()):
+                    del within[i:]
+                if within and not single:
+                    within.append(tag)
+            elif tag in within:
+                while within.pop() != tag:
+                    pass
+                if not within:  # its own end tag
+                    skip = ""
+                    out.append((tag, "", depth > 0, True))
+                    continue
+            elif tag in AROUND:
+                within = []
+            if not within:
+                skip = ""
+        elif skip:
+            if tag == skip and not single:
                 nested += -1 if closing else 1
                 if not nested:
                     skip = ""
-        elif not closing and tag not in VOID and not raw.endswith("/>"):
+            out.append((tag, "", depth > 0, not skip))
+            continue
+        if not skip and not closing and not single:
             if tag in BOILERPLATE or tag not in ("html", "body") and is_marked(raw):
-                skip, nested = tag, 1
+                skip, nested, within = tag, 1, [tag]
         out.append((tag, "", depth > 0, not skip))
     return out
 

@@ -77,6 +77,35 @@ def test_body_outside_the_content_elements():
     assert html.extract(f"<article>{body}{listed}{body}</article>", costs) == "\n".join([want, *["w"] * 30, want])
 
 
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('a<svg class="i"/>b<p>c</p><svg><text>x</text></svg>d', "ab\nc\nd"),
+        ("a<svg><svg>x</svg>y</svg>b", "ab"),
+        ("<select-box>a</select-box><object-viewer>b</object-viewer><p>c", "a\nb\nc"),
+        ("<p>a</p><svg class=i><path d=z><p>b</p>", "a\nb"),
+        ("<p>a</p><script>var x = 1;<p>b</p>", "a\nb"),
+        ("<script src=x/>var x;</script>a<script src='y'/>b<script>z</script>c", "abc"),
+        ("<title/>a<p>b", "a\nb"),
+        ('<p class="ad">Buy<p>Real one</p><p>Real two</p>', "Real one\nReal two"),
+        ('<p class="ad">Buy</p><p>one</p>', "one"),
+        ('<p class="ad"><b>Buy<p>one</p>', "one"),
+        ('<div><p class="ad">Buy</div>one', "one"),
+        ('<div><p class="ad">Buy <b>x</b></i> now<div>one</div></div>', "one"),
+        ('<ul><li class="ad">Buy<ul><li>x<li>y</ul>z<li>one<li class="ad">Buy</ul><p>two', "one\ntwo"),
+        ('<dl><dt class="ad">Buy<dd>one<dt>two</dl>three', "one\ntwo\nthree"),
+        ('<table><tr><td class="ad">Buy<table><tr><td>x</table>y<td>one<tr class="ad"><td>Buy<tr><td>two</table>three', "one\ntwo\nthree"),
+    ],
+)
+def test_nothing_else_is_dropped(inner, text):
+    assert html.extract(f"<article>{inner}</article>", {}) == text
+
+
+def test_unclosed_elements_take_linear_time():
+    page = "<article>" + "<svg><title><script/><p class=ad>x<p>w" * 20000 + "</article>"
+    assert html.extract(page, {}).count("w") == 20000
+
+
 def test_the_best_region_is_the_maximum_subsequence():
     costs = {"td": 3.0, "tr": 3.0, "p": 0.01}
     page = "<tr><td>a</td><td>b c</td></tr><p>one two three four five</p><p>six seven</p><tr><td>z</td></tr>"
