@@ -25,9 +25,10 @@ from indexflow.llm.common import Workspace, arrow_map
 
 #: Bytes after which a task begins another archive.
 ROLL_BYTES = 64 << 20
-#: Bytes read at once, of a record's head at most, and of a record at most.
-CHUNK, HEAD, LARGEST = 1 << 18, 1 << 18, 1 << 30
+#: Bytes read at once, and of a record at most.
+CHUNK, LARGEST = 1 << 18, 1 << 30
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+VERSION_LINE = re.compile(rb"WARC/1\.\d{1,3}\r\n")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -62,12 +63,31 @@ class Damaged(ValueError):
     pass
 
 
+def names(lines: bytes) -> list[bytes]:
+    """Names of fields; that of a line that is none is empty."""
+    return [name.strip().lower() if colon else b"" for name, colon, _ in (x.partition(b":") for x in lines.split(b"\r\n"))]
+
+
+def is_cut(head: bytes) -> bool:
+    """Whether a head was cut off and another record follows: a version line stands in it.
+
+    One that ends a longer line may also be the end of a value, such as an address. It isn't if that line
+    would be no field without it, or if a field up to there comes again after it.
+    """
+    first = head.index(b"\r\n") + 2
+    for m in VERSION_LINE.finditer(head, first):
+        before = names(head[first : m.start()])
+        if not before[-1] or {*before} & {*names(head[m.end() :])} - {b"", b"warc-concurrent-to"}:
+            return True
+    return False
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """The record that begins at ``at``: head, block and where it ends."""
-    stop = data.find(b"\r\n\r\n", at, at + HEAD)
-    if not data.startswith(VERSION, at) or stop < 0:
+    stop = data.find(b"\r\n\r\n", at)
+    if not VERSION_LINE.match(data, at) or stop < 0:
         raise Damaged("no record head")
-    if data.find(VERSION, at + 1, stop) >= 0:
+    if is_cut(bytes(data[at : stop + 2])):
         raise Damaged("another record begins inside the head")
     lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
     head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
@@ -105,8 +125,14 @@ def read_member(f: BinaryIO, at: int) -> tuple[bytes, int]:
 def read_plain(f: BinaryIO, at: int) -> tuple[dict[str, str], bytes, int]:
     """The plain record that begins at ``at``."""
     f.seek(at)
-    data = f.read(CHUNK)
-    stop = data.find(b"\r\n\r\n")
+    data, seen = bytearray(f.read(CHUNK)), 0
+    if not VERSION_LINE.match(data):
+        raise Damaged("no record head")
+    while (stop := data.find(b"\r\n\r\n", max(0, seen - 3))) < 0 and data.find(b"\r\n" + VERSION, max(0, seen - 8)) < 0:
+        seen = len(data)
+        if seen > LARGEST or not (chunk := f.read(CHUNK)):
+            break
+        data += chunk
     m = re.search(rb"\r\ncontent-length:\s*(\d{1,12})\s*\r\n", data[: stop + 2], re.I) if stop >= 0 else None
     if not m:
         raise Damaged("no record head")
@@ -115,7 +141,7 @@ def read_plain(f: BinaryIO, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("the record is larger than a record may be")
     if want > len(data):
         data += f.read(want - len(data))
-    head, block, end = parse(data)
+    head, block, end = parse(bytes(data))
     return head, block, at + end
 
 

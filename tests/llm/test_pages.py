@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from indexflow.llm import html, urls, warc
+from indexflow.llm import html, queries, urls, warc
 from indexflow.llm.common import Workspace
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
@@ -162,3 +162,27 @@ def test_salvage_skips_damage_and_logs_gaps(plain):
     assert [x[2] for x in found(cut)] == [ids[0], None, ids[2], ids[3]]
     assert found(b"") == [] and found(b"\x00" * 600_000) == [(0, 600_000, None)]
     assert [x[2] for x in found(parts[0] + warc.record("response", 9, "u", b"p", None, "d") + member(5))] == [ids[0], "<urn:page:9>", "<urn:page:5>"]
+
+
+URLS = ["https://example.com/WARC/1.1/spec", "https://example.com/WARC/1.1", "WARC/1.0", "https://example.com/?" + "q" * 600_000, "https://example.com/WARC/1.1\r\nWARC-Type: x"]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_any_url_is_read_again(packed):
+    whole = [warc.record("response", i, u, b"p%d" % i, None, "d") for i, u in enumerate(URLS)]
+    data = b"".join(zlib.compress(x, wbits=31) for x in whole) if packed else b"".join(whole)
+    got = list(warc.salvage(io.BytesIO(data)))
+    assert [x.head and x.head["warc-target-uri"] for x in got] == [*URLS[:4], "https://example.com/WARC/1.1%0D%0AWARC-Type:%20x"]
+
+
+@pytest.mark.parametrize("at", [9, 10, 12, 21, 25, 33, 70, 100, 130, 200])
+def test_cut_heads_are_gaps(at):
+    a, b = (warc.record("response", i, "http://u/x", b"p", None, "2024-01-01T00:00:00Z") for i in range(2))
+    assert found(a[:at] + b) == [(0, at, None), (at, at + len(b), "<urn:page:1>")]
+
+
+def test_op7_keeps_pages_with_any_url(spark, tmp_path):
+    rows = [(i, u, "same" if i % 2 else f"page {i}") for i, u in enumerate(URLS)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in queries.op7_warc(spark, str(tmp_path)).collect()}
+    assert got == {0: ("response", None), 1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 4: ("response", None)}
