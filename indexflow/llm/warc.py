@@ -1,9 +1,9 @@
 """WARC archives: writing with deduplicated payloads, and a reader that salvages damaged ones.
 
-Every record is a gzip member of its own. The reader takes members and plain records alike; one is
-valid when it inflates, has its stated length and end, and matches its block digest. After a failed check
-it searches for the next valid member or version line, goes on from there and logs the bytes
-between as a quarantined gap. It holds one record at a time.
+Every record is written as a gzip member of its own. The reader takes plain records and members of one or many
+alike; a record is valid when it inflates, has its stated length and end, and matches its block digest. After a failed
+check it searches for the next version line, in what the member inflates to and then in the file, or for the next
+member, goes on from there and logs the bytes between as a quarantined gap. It holds two records at most.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from indexflow.llm.common import Workspace, arrow_map
 ROLL_BYTES = 64 << 20
 #: Bytes read at once, and of a record at most.
 CHUNK, LARGEST = 1 << 18, 1 << 30
+#: Bytes that a step inflates at most.
+INFLATED = 1 << 22
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 VERSION_LINE = re.compile(rb"WARC/1\.\d{1,3}\r\n")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -50,7 +52,11 @@ def record(kind: str, page: int | None, url: str | None, payload: bytes, refers_
 
 
 class Found(NamedTuple):
-    """A record at bytes [start, end) of its file, or with no head a gap and why it was quarantined."""
+    """A record at bytes [start, end) of its file, or with no head a gap and why it was quarantined.
+
+    Of a record in a member of several, start is the member's and end as far as the file had to be read for it. A gap
+    in such a member begins with it too, so it shares bytes with the records before it.
+    """
 
     start: int
     end: int
@@ -82,118 +88,174 @@ def is_cut(head: bytes) -> bool:
     return False
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """The record that begins at ``at``: head, block and where it ends."""
-    stop = data.find(b"\r\n\r\n", at)
-    if not VERSION_LINE.match(data, at) or stop < 0:
-        raise Damaged("no record head")
-    if is_cut(bytes(data[at : stop + 2])):
-        raise Damaged("another record begins inside the head")
-    lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
-    head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    if not re.fullmatch(r"\d{1,12}", head.get("content-length", ""), re.A):
-        raise Damaged("no content length")
-    end = stop + 4 + int(head["content-length"])
-    if data[end : end + 4] != b"\r\n\r\n":
-        raise Damaged("the record doesn't end where its length says")
-    block = data[stop + 4 : end]
-    digest = head.get("warc-block-digest", "").partition(":")
-    if digest[0].lower() == "sha1" and digest[2] != sha1_base32(block):
-        raise Damaged("the block digest differs")
-    return head, block, end + 4
-
-
-def read_member(f: BinaryIO, at: int) -> tuple[bytes, int]:
-    """The inflated gzip member that begins at ``at``, and where it ends."""
-    f.seek(at)
-    z, out, size, used = zlib.decompressobj(31), [], 0, 0
-    while not z.eof:
-        chunk = f.read(CHUNK)
-        if not chunk:
-            raise Damaged("the member is cut off")
-        try:
-            out.append(z.decompress(chunk, LARGEST - size + 1))
-        except zlib.error as bad:
-            raise Damaged(str(bad)) from bad
-        used += len(chunk)
-        size += len(out[-1])
-        if size > LARGEST:
-            raise Damaged("the member is larger than a record may be")
-    return b"".join(out), at + used - len(z.unused_data)
-
-
-def read_plain(f: BinaryIO, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The plain record that begins at ``at``."""
-    f.seek(at)
-    data, seen = bytearray(f.read(CHUNK)), 0
-    if not VERSION_LINE.match(data):
-        raise Damaged("no record head")
-    while (stop := data.find(b"\r\n\r\n", max(0, seen - 3))) < 0 and data.find(b"\r\n" + VERSION, max(0, seen - 8)) < 0:
-        seen = len(data)
-        if seen > LARGEST or not (chunk := f.read(CHUNK)):
-            break
-        data += chunk
-    m = re.search(rb"\r\ncontent-length:\s*(\d{1,12})\s*\r\n", data[: stop + 2], re.I) if stop >= 0 else None
-    if not m:
-        raise Damaged("no record head")
-    want = stop + 8 + int(m[1])
-    if want > LARGEST:
-        raise Damaged("the record is larger than a record may be")
-    if want > len(data):
-        data += f.read(want - len(data))
-    head, block, end = parse(bytes(data))
-    return head, block, at + end
-
-
-def search(f: BinaryIO, at: int) -> int | None:
-    """Where the next gzip magic or version line begins, from ``at`` on."""
+class Stream:
+    """The bytes of a file from ``at`` on, or what the gzip member that begins there inflates to; ``data`` holds those not dropped yet."""
+
+    def __init__(self, f: BinaryIO, at: int, packed: bool):
+        self.f, self.begin, self.at, self.data, self.rest, self.bad = f, at, at, bytearray(), b"", ""
+        self.z = zlib.decompressobj(31) if packed else None
+        self.ended = False
+        f.seek(at)
+
+    def more(self) -> bool:
+        """Read on; False at the end of the file or the member, or where it is damaged: ``bad`` says how."""
+        size = len(self.data)
+        while not self.ended and len(self.data) == size:
+            chunk = self.rest or self.f.read(CHUNK)
+            if not chunk:
+                self.ended, self.bad = True, "the member is cut off" if self.z else ""
+            elif self.z is None:
+                self.at += len(chunk)
+                self.data += chunk
+            else:
+                before = self.z.copy() if self.at > self.begin else None
+                try:
+                    self.data += self.z.decompress(chunk, INFLATED)
+                except zlib.error as bad:
+                    self.ended, self.bad = True, str(bad)
+                    self.before_error(before or zlib.decompressobj(31), chunk)
+                else:
+                    self.at += len(chunk) - len(self.z.unconsumed_tail) - len(self.z.unused_data)
+                    self.rest, self.ended = self.z.unconsumed_tail, self.z.eof
+        return len(self.data) > size
+
+    def before_error(self, z, chunk: bytes) -> None:
+        """What the damaged ``chunk`` inflates to up to the damage."""
+        for step in (1 << 10, 1):
+            for lo in range(0, len(chunk), step):
+                again = z.copy()
+                try:
+                    self.data += z.decompress(chunk[lo : lo + step])
+                except zlib.error:
+                    z, chunk = again, chunk[lo : lo + step]
+                    break
+                self.at += step
+
+    def take(self, p: int) -> tuple[dict[str, str], bytes, int, bool]:
+        """The record that begins at ``p`` of ``data``: head, block, where it ends, and whether its digest was there to match."""
+        data, seen = self.data, p
+        while (stop := data.find(b"\r\n\r\n", max(p, seen - 3))) < 0:
+            if len(data) - p > 16 and not VERSION_LINE.match(data, p) or data.find(b"\r\n" + VERSION, max(p, seen - 8)) >= 0:
+                break
+            seen = len(data)
+            if seen - p > LARGEST or not self.more():
+                break
+        if stop < 0 or not VERSION_LINE.match(data, p):
+            raise Damaged("no record head")
+        if is_cut(bytes(data[p : stop + 2])):
+            raise Damaged("another record begins inside the head")
+        lines = data[p:stop].decode("utf-8", "replace").split("\r\n")
+        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        if not re.fullmatch(r"\d{1,12}", head.get("content-length", ""), re.A):
+            raise Damaged("no content length")
+        end = stop + 4 + int(head["content-length"])
+        if end + 4 - p > LARGEST:
+            raise Damaged("the record is larger than a record may be")
+        while len(data) < end + 4 and self.more():
+            pass
+        if data[end : end + 4] != b"\r\n\r\n":
+            raise Damaged("the record doesn't end where its length says")
+        block = bytes(data[stop + 4 : end])
+        digest = head.get("warc-block-digest", "").partition(":")
+        known = digest[0].lower() == "sha1"
+        if known and digest[2] != sha1_base32(block):
+            raise Damaged("the block digest differs")
+        return head, block, end + 4, known
+
+    def next_version(self) -> bool:
+        """Drop what stands before the next version line after the first byte; False if there is none."""
+        del self.data[:1]
+        while (i := self.data.find(VERSION)) < 0:
+            del self.data[: max(0, len(self.data) - len(VERSION) + 1)]
+            if not self.more():
+                return False
+        del self.data[:i]
+        return True
+
+
+def search(f: BinaryIO, at: int, plain: int) -> int | None:
+    """Where the next gzip magic from ``at`` on or version line from ``plain`` on begins."""
     f.seek(at)
     kept = b""
     while chunk := f.read(CHUNK):
         data = kept + chunk
-        if found := [i for i in (data.find(MAGIC), data.find(VERSION)) if i >= 0]:
-            return at - len(kept) + min(found)
+        first = at - len(kept)
+        if found := [i for i in (data.find(MAGIC), data.find(VERSION, max(0, plain - first))) if i >= 0]:
+            return first + min(found)
         at += len(chunk)
         kept = data[-(len(VERSION) - 1) :]
     return None
 
 
+def members(s: Stream) -> Iterator[tuple[dict[str, str], bytes, int] | Damaged]:
+    """Valid records of a gzip member and where each ends, and failed checks between them.
+
+    The last one counts if the member ends well. If that is cut off or damaged later on, its digest must have matched;
+    if the member's own checksum differs, another record must be there to explain that.
+    """
+    held, count = None, 0
+    while s.data or s.more():
+        try:
+            head, block, end, known = s.take(0)
+        except Damaged as bad:
+            if held:
+                yield held[:3]
+                held = None
+            yield bad
+            count += 1
+            if not s.next_version():
+                break
+            continue
+        if held:
+            yield held[:3]
+        del s.data[:end]
+        if not s.data:
+            s.more()
+        held, count = (head, block, s.at, known), count + 1
+    if held and (not s.bad or held[3] and (count > 1 or "data check" not in s.bad and "length check" not in s.bad)):
+        yield held[:3]
+    if s.bad:
+        yield Damaged(s.bad)
+
+
 def salvage(f: BinaryIO) -> Iterator[Found]:
     """Every valid record of an archive, gzipped or plain, and every gap between them."""
     at, lost, why = 0, None, ""
     while True:
-        try:
-            f.seek(at)
-            begin = f.read(len(VERSION))
-            if not begin:
-                break
-            records = []
-            if begin.startswith(MAGIC):
-                data, end = read_member(f, at)
-                p = 0
-                while p < len(data):
-                    head, block, p = parse(data, p)
-                    records.append((head, block))
-            elif begin == VERSION:
-                head, block, end = read_plain(f, at)
-                records.append((head, block))
-            else:
-                raise Damaged("neither a member nor a version line")
-        except Damaged as bad:
-            lost, why = (at, str(bad)) if lost is None else (lost, why)
-            after = search(f, at + 1)
-            if after is None:
-                f.seek(0, 2)
-                at = f.tell()
-                break
-            at = after
+        f.seek(at)
+        begin = f.read(len(VERSION))
+        if not begin:
+            break
+        packed, failed, taken = begin.startswith(MAGIC), False, 0
+        s = Stream(f, at, packed)
+        if packed:
+            found: Iterator = members(s)
+        else:
+            try:
+                head, block, end, _ = s.take(0)
+                s.at, found = at + end, iter([(head, block, at + end)])
+            except Damaged as bad:
+                s.bad, found = str(bad), iter([bad])
+        for x in found:
+            if isinstance(x, Damaged):
+                lost, why = (at, str(x)) if lost is None else (lost, why)
+                failed = True
+                continue
+            if lost is not None:
+                yield Found(lost, s.at if failed else at, None, b"", why)
+                lost, failed = None, False
+            taken += 1
+            yield Found(at, x[2], x[0], x[1])
+        if not s.bad:
+            at = s.at
             continue
-        if lost is not None:
-            yield Found(lost, at, None, b"", why)
-            lost = None
-        for head, block in records:
-            yield Found(at, end, head, block)
-        at = end
+        # records that were taken from the member mustn't be found again where it holds them as they are
+        after = search(f, at + 1, s.at if taken else at + 1)
+        if after is None:
+            f.seek(0, 2)
+            at = f.tell()
+            break
+        at = after
     if lost is not None:
         yield Found(lost, at, None, b"", why)
 

@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import pytest
@@ -186,3 +187,35 @@ def test_op7_keeps_pages_with_any_url(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in queries.op7_warc(spark, str(tmp_path)).collect()}
     assert got == {0: ("response", None), 1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 4: ("response", None)}
+
+
+def ids(data):
+    return [x.head and int(x.head["warc-record-id"][10:-1]) for x in warc.salvage(io.BytesIO(data))]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_members_of_several_records(level, monkeypatch):
+    rng = random.Random(4)
+    whole = [warc.record("response", i, "u", rng.randbytes(3000), None, "d") for i in range(5)]
+    pack = lambda parts: zlib.compress(b"".join(parts), level, wbits=31)
+    assert ids(pack(whole)) == [0, 1, 2, 3, 4] and ids(pack(whole) + pack(whole[:2])) == [0, 1, 2, 3, 4, 0, 1]
+    bad = bytearray(whole[2])
+    bad[-100] ^= 1
+    assert ids(pack([*whole[:2], bytes(bad), *whole[3:]])) == [0, 1, None, 3, 4]
+    assert ids(pack([*whole[:2], whole[2][:900], *whole[3:]])) == [0, 1, None, 3, 4]
+    assert ids(pack([b"junk", *whole])) == [None, 0, 1, 2, 3, 4] and ids(pack([*whole, b"junk"])) == [0, 1, 2, 3, 4, None]
+    assert ids(pack(whole)[:-3000] + member(7)) == [0, 1, 2, 3, None, 7]
+    assert ids(pack(whole)[:-3000]) == [0, 1, 2, 3, None]
+    cut = bytearray(pack(whole))
+    cut[7000:7040] = bytes(40)
+    assert ids(bytes(cut) + member(7))[:2] == [0, 1] and ids(bytes(cut) + member(7))[-1] == 7
+    # the bound holds for a record, not for the member
+    monkeypatch.setattr(warc, "LARGEST", 5000)
+    assert ids(pack(whole)) == [0, 1, 2, 3, 4]
+    assert ids(pack([whole[0], warc.record("response", 8, "u", bytes(6000), None, "d"), whole[1]])) == [0, None, 1]
+
+
+def test_a_lone_record_counts_only_if_its_member_checks():
+    whole = member(1)
+    assert ids(whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:] + member(2)) == [None, 2]
+    assert ids(whole[:-30] + member(2)) == [None, 2]
