@@ -107,13 +107,18 @@ class MultiIndex:
         self.visits = int(min(self.codes**2, 1 + max(np.quantile(ranks[0], recall), np.quantile(real, recall))))
 
     def ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How many cells x visits before that of y."""
-        out = []
-        for lo in range(0, len(x), 256):
-            seen = self.traverse(x[lo : lo + 256], min(self.codes**2, 4096))
-            hit = seen == self.traverse(y[lo : lo + 256], 1)
-            out.append(np.where(hit.any(axis=1), hit.argmax(axis=1), seen.shape[1]))
-        return np.concatenate(out)
+        """How many cells x visits before that of y; looked for ever deeper, among all cells in the end."""
+        out, todo, depth = np.zeros(len(x), dtype=np.int64), np.arange(len(x)), min(self.codes**2, 4096)
+        while len(todo):
+            missed = []
+            for at in np.split(todo, range(step := max(1, (1 << 20) // depth), len(todo), step)):
+                hit = self.traverse(x[at], depth) == self.traverse(y[at], 1)
+                found = hit.any(axis=1)
+                out[at[found]] = hit[found].argmax(axis=1)
+                missed.append(at[~found])
+            todo = np.concatenate(missed)
+            depth = min(self.codes**2, 2 * depth)
+        return out
 
 
 def block_links(table: pa.Table, threshold: float) -> pa.Table:

@@ -72,3 +72,13 @@ def test_recall_of_the_calibrated_index(spark):
 
 def test_empty_table(spark):
     assert embeddings.near_groups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_ranks_are_found_among_all_cells():
+    x = np.random.default_rng(5).standard_normal((2000, 8))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    index = embeddings.MultiIndex(x, 80)
+    some = x[:40]
+    every, own = index.traverse(some, 80**2), index.traverse(-some, 1)
+    want = (every == own).argmax(axis=1)
+    assert want.max() > 4096 and index.ranks(some, -some).tolist() == want.tolist()
