@@ -137,7 +137,7 @@ class Mixture:
         chosen = alone.copy()
         _, top = self.fit_alone(like, start, size, order[:, 0])
         for more in range(2, langs + 1):
-            at = np.flatnonzero(np.take_along_axis(pi, order[:, more - 1 : more], 1)[:, 0] > 0.01)
+            at = np.flatnonzero(np.take_along_axis(pi, order[:, more - 1 : more], 1)[:, 0] > np.minimum(0.01, 1 / size))
             if not len(at):
                 break
             mask = np.zeros((len(at), langs))

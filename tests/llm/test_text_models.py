@@ -36,6 +36,12 @@ def test_mixtures_have_several_languages(spark, model):
     assert (pi[0] > 0).sum() == 1 and best[0] == 0 and n[0] == 400
 
 
+def test_a_small_part_of_a_long_text_is_a_language(model):
+    rng = random.Random(6)
+    pi, best, n = langid.Mixture(model).infer([text(rng, "en", 19900) + " " + text(rng, "fr", 100)])
+    assert best[0] == 1 and (pi[0] > 0).tolist() == [False, True, True] and abs(pi[0, 2] * n[0] - 100) < 40
+
+
 def test_a_single_language_em_is_the_likelihood(model):
     """EM over one document's words finds the proportions that a grid search finds."""
     rng = random.Random(3)
