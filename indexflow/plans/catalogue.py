@@ -1,6 +1,7 @@
 """Queries over the driver tables, one per operator, with the same in SQL.
 
-Each goes through the operator or flow that it is named for; none takes part of a table only, but where that is the feature.
+Each goes through the operator or flow that it is named for, but for graph_relationships and graph_degree, which are a
+projection and an aggregation of rows and don't touch mappings, ends or labels of relationships; none takes part of a table only, but where that is the feature.
 """
 
 from __future__ import annotations
