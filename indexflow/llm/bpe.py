@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding in batched numpy merge rounds.
 
 The symbols of all words of a batch that are not known yet lie in one flat array.
-A round looks up every adjacent pair by binary search over the sorted pair keys of the
-vocabulary, finds each word's lowest rank, and merges that pair wherever it stands in the word; words
-without a pair leave. Words are remembered up to a fixed number. Vocabulary files are read on the driver
+A round looks adjacent pairs up by binary search over the sorted pair keys of the
+vocabulary, finds each word's lowest rank, and merges that pair wherever it stands in the word, and with it every
+pair that no later merge of lower rank can reach; words without a pair leave. So long words take few rounds
+too. Short units are remembered up to a fixed number. Vocabulary files are read on the driver
 from a path that is a parameter, and reach the executors as arrays whose size is that of the vocabulary.
 """
 
@@ -30,8 +31,10 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A space that can't be taken as the end of a unit: white space on both sides, or before it at the end.
 TIED = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
-#: Units of text whose ids a Python worker remembers before it starts afresh.
-MEMO_UNITS = 250_000
+#: Units of text whose ids a Python worker remembers before it starts afresh, and characters of one at most.
+MEMO_UNITS, MEMO_CHARS = 250_000, 100
+#: Pairs over which a round looks from one that merges to others that could be merged after it.
+SPREADS = 64
 NONE = np.iinfo(np.int64).max
 
 
@@ -64,9 +67,47 @@ def load_vocabulary(path: str) -> dict:
     for token, i in added.items():
         tokens[i] = token.encode()
     left, right = (np.array([vocab[p[i]] for p in pairs], dtype=np.int64) for i in (0, 1))
-    keys = left << 32 | right
-    order = np.argsort(keys, kind="stable")
-    return {"bytes": np.array([vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])], dtype=np.int64), "keys": keys[order], "ranks": order.astype(np.int64), "made": np.array([vocab[a + b] for a, b in pairs], dtype=np.int64), "tokens": tokens, "added": added}
+    made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+    return {"bytes": np.array([vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])], dtype=np.int64), "made": made, "tokens": tokens, "added": added} | pair_table(left, right, made, len(tokens))
+
+
+def pair_table(left: np.ndarray, right: np.ndarray, made: np.ndarray, size: int) -> dict:
+    """Sorted keys of pairs of symbols (x, y), the rank of merging x with y (NONE: they don't merge), and the lowest rank
+    of a merge whose left symbol may end in x and whose right one may begin with y, which is the first that can take x and y together.
+
+    ``ordered`` says that every merge has a higher rank than those that make its parts, as trained ones have. The lowest
+    ranks need that and one merge only for each symbol; otherwise they are 0, that is, unknown.
+    """
+    rank = np.arange(len(made), dtype=np.int64)
+    by = np.full(size + 1, -1, dtype=np.int64)
+    by[made] = rank
+    ordered = bool((np.maximum(by[left], by[right]) < rank).all())
+    whole = ordered and len(np.unique(made)) == len(made)
+    keys, ranks = [left << 32 | right], [rank]
+    if whole:
+        for x, i in spine(left, rank, by, right):
+            for y, j in spine(right[i], i, by, left):
+                keys.append(x[np.searchsorted(i, j)] << 32 | y)
+                ranks.append(j)
+    every = np.concatenate(keys)
+    order = np.lexsort((np.concatenate(ranks), every))
+    every, lows = every[order], np.concatenate(ranks)[order]
+    first = np.flatnonzero(np.diff(every, prepend=-1))
+    every, lows = every[first], lows[first] if whole else np.zeros(len(first), dtype=np.int64)
+    own = np.full(len(every), NONE)
+    back = rank[::-1]
+    own[np.searchsorted(every, (left << 32 | right)[back])] = back
+    return {"keys": every, "ranks": own, "least": lows, "ordered": ordered}
+
+
+def spine(symbol: np.ndarray, merge: np.ndarray, by: np.ndarray, part: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and what they are made of at one end, ever smaller, each with the (rising) merges that it belongs to."""
+    out = []
+    while len(symbol):
+        out.append((symbol, merge))
+        deeper = by[symbol] >= 0
+        symbol, merge = part[by[symbol[deeper]]], merge[deeper]
+    return out
 
 
 class Codec:
@@ -74,44 +115,82 @@ class Codec:
 
     def __init__(self, v: dict):
         self.v, self.known, self.words = v, {}, {}
+        self.bounded = bool(len(v["least"]) and v["least"].any())
         self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in v["added"].items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.sizes = np.array([len(t) for t in v["tokens"]], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(v["tokens"]), dtype=np.uint8)
 
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of merging each pair, and the lowest rank of a merge that can ever join its two sides."""
+        v, key = self.v, left << 32 | right
+        at = np.minimum(np.searchsorted(v["keys"], key), len(v["keys"]) - 1)
+        hit = v["keys"][at] == key
+        return np.where(hit, v["ranks"][at], NONE), np.where(hit, v["least"][at], NONE if self.bounded else 0)
+
+    @staticmethod
+    def earliest(rank: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """A lower bound on the rank at which each pair's sides are joined: by the pair itself, or after a merge beside it.
+
+        It is spread from the pairs that merge now until nothing changes; where that takes too long ``low`` stands.
+        """
+        soon = rank
+        for _ in range(SPREADS):
+            beside = np.minimum(np.append(soon[1:], NONE), np.insert(soon[:-1], 0, NONE))
+            new = np.minimum(rank, np.maximum(low, beside + (beside < NONE)))
+            if (new == soon).all():
+                return soon
+            soon = new
+        return low
+
     def merge(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word; words are not empty."""
+        """Little-endian 32-bit ids of each word; words are not empty.
+
+        Besides the pairs of a word's lowest rank, a round merges those whose neighbours on both sides are joined by
+        no merge of a lower or the same rank, now or later: nothing can take a side of such a pair before its turn.
+        """
         v, out = self.v, [b""] * len(words)
         sym = v["bytes"][np.frombuffer(b"".join(words), dtype=np.uint8)]
         size = np.array([len(w) for w in words], dtype=np.int64)
         name = np.arange(len(words))
+        rank, low = (np.append(x, NONE) for x in self.pairs(sym[:-1], sym[1:]))
+        last = np.cumsum(size) - 1
+        rank[last], low[last] = NONE, NONE
         while len(name):
             start = np.cumsum(size) - size
-            word = np.repeat(np.arange(len(name)), size)
-            rank = np.full(len(sym), NONE)
-            key = sym[:-1] << 32 | sym[1:]
-            at = np.minimum(np.searchsorted(v["keys"], key), len(v["keys"]) - 1)
-            hit = (v["keys"][at] == key) & (word[:-1] == word[1:])
-            rank[:-1][hit] = v["ranks"][at[hit]]
             best = np.minimum.reduceat(rank, start)
             over = best == NONE
             if over.any():
-                done = over[word]
+                done = np.repeat(over, size)
                 ids, ends = sym[done].astype("<u4").tobytes(), 4 * np.cumsum(size[over])
                 for i, lo, hi in zip(name[over].tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                     out[i] = ids[lo:hi]
                 left = ~over
-                sym, rank, best, size, name = sym[~done], rank[~done], best[left], size[left], name[left]
+                sym, rank, low, best, size, name = sym[~done], rank[~done], low[~done], best[left], size[left], name[left]
                 if not len(name):
                     break
-                word = np.repeat(np.arange(len(name)), size)
-            pick = np.flatnonzero(rank == best[word])
+            word = np.repeat(np.arange(len(name)), size)
+            soon = self.earliest(rank, low) if self.bounded else low
+            safe = rank < np.append(soon[1:], NONE)
+            safe[1:] &= rank[1:] < soon[:-1]
+            pick = np.flatnonzero((rank == best[word]) | safe & (rank != NONE))
+            if not v["ordered"]:  # a merge may make a pair that comes before the next one
+                pick = pick[np.diff(word[pick], prepend=-1) > 0]
             run = np.flatnonzero(np.diff(pick, prepend=-2) != 1)  # of equal symbols the first, third ... pair merges
             pick = pick[(np.arange(len(pick)) - np.repeat(run, np.diff(run, append=len(pick)))) % 2 == 0]
             sym[pick] = v["made"][rank[pick]]
-            sym = np.delete(sym, pick + 1)
+            rank[pick], low[pick] = rank[pick + 1], low[pick + 1]  # right for the last symbols of words; others follow below
+            keep = np.ones(len(sym), dtype=bool)
+            keep[pick + 1] = False
+            at = pick - np.arange(len(pick))
+            sym, rank, low = sym[keep], rank[keep], low[keep]
             size = size - np.bincount(word[pick], minlength=len(size))
+            final = np.zeros(len(sym), dtype=bool)
+            final[np.cumsum(size) - 1] = True
+            fresh = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            fresh = fresh[~final[fresh]]
+            rank[fresh], low[fresh] = self.pairs(sym[fresh], sym[fresh + 1])
         return out
 
     def units(self, text: str) -> list[str]:
@@ -155,7 +234,11 @@ class Codec:
         self.learn(new)
         self.known.update(self.added)
         get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        out = [b"".join(map(get, units)) for units in cut]
+        for memo in (self.known, self.words) if any(len(u) > MEMO_CHARS for u in new) else ():
+            for u in [u for u in memo if len(u) > MEMO_CHARS]:
+                del memo[u]
+        return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Texts of ids; bytes that are not UTF-8 become U+FFFD. Ids outside the vocabulary stand for nothing."""

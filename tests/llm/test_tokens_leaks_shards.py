@@ -30,6 +30,48 @@ def test_ids_and_texts_equal_the_library():
     assert codec.decode([broken])[0].encode("utf-8")
 
 
+def test_long_unbroken_words_equal_the_library():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(letters, k=60_000)) for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "etaoin", "ab", "a", "éüaen", "0123456789+/", "日本語")]
+    codec = bpe.Codec(bpe.load_vocabulary(PATH))
+    assert codec.bounded
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == library(texts)[0]
+    assert max(map(len, codec.known)) <= bpe.MEMO_CHARS >= max(map(len, codec.words))
+
+
+def greedy(word, ranks):
+    word = list(word)
+    while found := [(ranks[p], -i) for i, p in enumerate(zip(word, word[1:], strict=False)) if p in ranks]:
+        r, i = min(found, key=lambda x: (x[0], -x[1]))
+        word[-i : -i + 2] = [ranks["made"][r]]
+    return word
+
+
+@pytest.mark.parametrize("order", ["trained", "shuffled", "ambiguous"])
+def test_merge_rounds_equal_greedy_merging(order):
+    rng = random.Random(order)
+    for _ in range(60):
+        letters = rng.randint(2, 4)
+        pairs, n = [], letters
+        while len(pairs) < 25:
+            p = rng.randrange(n), rng.randrange(n)
+            if p not in pairs:
+                pairs.append(p)
+                n += 1
+        made = list(range(letters, n))
+        if order == "ambiguous":
+            made = [m if rng.random() < 0.8 else letters for m in made]
+        joined = list(zip(pairs, made, strict=True))
+        if order == "shuffled":
+            rng.shuffle(joined)
+        left, right, out = (np.array(x, dtype=np.int64) for x in zip(*((a, b, m) for (a, b), m in joined), strict=True))
+        codec = bpe.Codec({"bytes": np.arange(256), "made": out, "tokens": [b"x"] * n, "added": {}} | bpe.pair_table(left, right, out, n))
+        assert codec.bounded or order != "trained"
+        words = [bytes(rng.choices(range(letters), k=rng.randint(1, 60))) for _ in range(30)]
+        table = {p: i for i, (p, _) in enumerate(joined)} | {"made": out.tolist()}
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.merge(words)] == [greedy(w, table) for w in words]
+
+
 def test_memory_starts_afresh(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_UNITS", 5)
     codec = bpe.Codec(bpe.load_vocabulary(PATH))
