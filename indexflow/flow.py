@@ -16,17 +16,18 @@ from pyspark.sql import functions as F
 
 from indexflow.operators import graph
 from indexflow.plans.builder import ERR, KEY, SRC, FlowBuilder, FlowError, source_key
-from indexflow.plans.state import FlowState
+from indexflow.plans.state import BUCKETS, FlowState
 from indexflow.plans.update import UpdateStats, row_status, run_update, target_name
 from indexflow.setup import Change, Step, commit_setup, plan_setup, stage_setup
 
 
 @dataclass
 class Settings:
-    """Where state is kept, and a namespace for flows that share it."""
+    """Where state is kept, a namespace for flows that share it, and the buckets of tables that new flows make."""
 
     state_dir: str
     app_namespace: str = ""
+    buckets: int = BUCKETS
 
     @staticmethod
     def from_env() -> Settings:
@@ -103,7 +104,8 @@ class Flow:
 
     def __init__(self, name: str, define: Callable[[FlowBuilder, Any], None]):
         self.name, self.define_with_scope = name, define
-        self._lock, self._running, self._waiting = threading.Lock(), None, None
+        self._lock, self._waiting = threading.Lock(), None
+        self._wanted: set[str] | None = None
         self._pool = concurrent.futures.ThreadPoolExecutor(1, thread_name_prefix=f"update-{name}")
 
     @property
@@ -120,7 +122,7 @@ class Flow:
 
     @property
     def state(self) -> FlowState:
-        return FlowState(session(), f"{settings().state_dir}/{app_namespace('__')}{self.name}")
+        return FlowState(session(), f"{settings().state_dir}/{app_namespace('__')}{self.name}", settings().buckets)
 
     # setup
 
@@ -140,8 +142,8 @@ class Flow:
             manifest.setup = stage_setup(manifest.setup, builder, steps)
             state.publish(manifest)
             for n, s in steps.items():
-                if (s.recreate or s.change is Change.DELETE) and target_name(n) in manifest.tables:
-                    del manifest.tables[target_name(n)], manifest.schemas[target_name(n)]
+                if s.recreate or s.change is Change.DELETE:
+                    manifest.remove(target_name(n))
             manifest.setup = commit_setup(manifest.setup)
             state.publish(manifest)
         return steps
@@ -158,13 +160,18 @@ class Flow:
         return self.update_async().result()
 
     def update_async(self, only: set[str] | None = None) -> concurrent.futures.Future:
+        """Update from the sources in ``only``, or from all. A run that has not begun takes on the sources of further calls."""
         with self._lock:
-            if self._waiting is not None and self._waiting.running() is False and not self._waiting.done():
-                return self._waiting
-            self._waiting = self._pool.submit(self._update, only)
+            if self._waiting is not None:
+                self._wanted = None if only is None or self._wanted is None else self._wanted | only
+            else:
+                self._wanted = only
+                self._waiting = self._pool.submit(self._update)
             return self._waiting
 
-    def _update(self, only: set[str] | None) -> UpdateStats:
+    def _update(self) -> UpdateStats:
+        with self._lock:
+            only, self._waiting = self._wanted, None
         return run_update(session(), self.define, self.state, self.name, only)
 
     # results

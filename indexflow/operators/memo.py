@@ -24,16 +24,29 @@ def memoize(df: DataFrame, print_: Column, compute: Callable[[DataFrame], DataFr
 
 
 class Memo:
-    """A flow's caches, a table for each function and version, read from and written beside its state."""
+    """A flow's caches, a table for each function and version: results by the source row that used them and a fingerprint of the input.
 
-    def __init__(self, tables: dict[str, DataFrame], save: Callable[[DataFrame, str], DataFrame]):
-        self.tables, self.save = tables, save
+    A source row finds what it used before; equal inputs of rows evaluated together are computed once. What a row no longer
+    uses goes when it is evaluated again. ``load`` gives a cache's rows for some source rows, if there are any.
+    """
+
+    def __init__(self, load: Callable[[str], DataFrame | None], save: Callable[[DataFrame, str], DataFrame]):
+        self.load, self.save = load, save
         self.used: dict[str, DataFrame] = {}
 
     def apply(self, df: DataFrame, out: str, fn: Any, t: FieldType, args: dict[str, tuple[Column, FieldType]], made: Column) -> DataFrame:
         name = fingerprint([fn.identity, t.describe()]).replace("/", "_").replace("+", "-").rstrip("=")
         print_ = row_fingerprint(*(c.alias(f"a{i}") for i, (c, _) in enumerate(args.values())))
-        got, known = memoize(df, print_, lambda rows: rows.withColumn("result", made), self.used.get(name, self.tables.get(name)), out, lambda rows: self.save(rows, name))
+        cache, own = self.load(name), ["__src", "__key", "print"]
+        calls = df.select("__src", "__key", print_.alias("print"))
+        # results of an earlier call in this run count too: the same function may be used twice
+        sources = [x for x in (cache, self.used.get(name)) if x is not None]
+        found = None
+        for x in sources:
+            found = x if found is None else found.unionByName(x)
+        known = None if found is None else found.join(calls.distinct(), own, "left_semi").dropDuplicates(["print"]).select("print", "result")
+        got, every = memoize(df, print_, lambda rows: rows.withColumn("result", made), known, out, lambda rows: self.save(rows, name))
         # failures aren't kept: they are tried again
-        self.used[name] = known.where("result.error is null")
+        fresh = self.save(calls.distinct().join(every.where("result.error is null"), "print").select(*own, "result"), f"{name}-used")
+        self.used[name] = fresh if name not in self.used else self.used[name].unionByName(fresh).dropDuplicates(own)
         return got

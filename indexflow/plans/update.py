@@ -1,9 +1,11 @@
 """One update of a flow: what changed is read, evaluated and merged; everything is published at once.
 
 Listings meet the tracked versions in a full outer join. Only rows whose version is newer are read, only those whose
-content or logic differs are evaluated. What they produce is compared with the tracked target keys by fingerprint,
+content or logic differs are evaluated; of several versions of a key the newest counts, and of equal ones the smallest content.
+What they produce is compared with the tracked target keys by fingerprint,
 so unchanged rows aren't written and keys that nothing produces any more are deleted. Rows that fail are
-counted and left as they were. All tables are staged first; until the manifest is replaced nothing has happened,
+counted and left as they were. All tables are kept in buckets of their key's hash, and only buckets with
+changed keys are read and written. Until the next manifest is there nothing has happened,
 so a run can be repeated after any failure.
 """
 
@@ -19,12 +21,12 @@ from pyspark.sql import functions as F
 from indexflow.fingerprint import row_fingerprint
 from indexflow.operators.changes import DELETE, NO_CHANGE, PROCESS, detect_changes, outcome
 from indexflow.operators.memo import Memo
-from indexflow.operators.merge import last_writer, merge
+from indexflow.operators.merge import last_writer
 from indexflow.plans.builder import ERR, KEY, PLACE, SRC, FlowBuilder, source_key
 from indexflow.plans.state import FlowState
 
 TRACKING = "__src string, __skey string, ordinal long, logic string, __content string, run long, at_micros long"
-TARGET_KEYS = "target string, __tkey string, __print string, __src string, __skey string"
+OWNERS = "__tkey string, __print string, __src string, __skey string"
 
 
 @dataclass
@@ -68,28 +70,38 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     empty = lambda schema: spark.createDataFrame([], schema)
     tracking = state.table(manifest, "tracking")
     tracking = empty(TRACKING) if tracking is None else tracking
-    owned = state.table(manifest, "target_keys")
-    owned = empty(TARGET_KEYS) if owned is None else owned
 
     stats = UpdateStats()
-    changes, todo, contents = {}, {}, {}
+    changes, todo, contents, tracked = {}, {}, {}, {}
     for source, (spec, t, _) in base.sources.items():
         if only is not None and source not in only:
             continue
         keys = base.source_keys(source)
         listing = spec.listing(spark).withColumn("__skey", source_key(keys))
-        seen = detect_changes(listing.select("__skey", F.col("__ordinal").alias("ordinal")).groupBy("__skey").agg(F.max("ordinal").alias("ordinal")), tracking.where(F.col("__src") == source).drop("__src", "run", "at_micros"), "__skey", logic)
-        seen = state.stage(seen, "changes")
+        latest = listing.groupBy("__skey").agg(F.max("__ordinal").alias("ordinal"))
+        had = tracking.where(F.col("__src") == source)
+        tracked[source] = had.count()
+        seen = detect_changes(latest, had.drop("__src", "run", "at_micros"), "__skey", logic)
+        seen = state.stage(seen.where(F.col("class") != NO_CHANGE), "changes")
         wanted = listing.join(seen.where(F.col("class") == PROCESS), "__skey", "left_semi")
         rows = spec.read(spark, wanted).withColumn("__skey", source_key(keys))
         rows = rows.withColumn("__content", row_fingerprint(*(F.col(f"`{n}`") for n, _ in t.fields)))
+        rows = last_writer(rows, ["__skey"], [F.col("__ordinal").desc_nulls_last(), "__content"])
         known = seen.select("__skey", "had___content", "had_logic")
         rows = rows.join(known, "__skey").withColumn("__same", F.coalesce((F.col("had___content") == F.col("__content")) & (F.col("had_logic") == F.lit(logic)), F.lit(False)))
-        rows = state.stage(rows.dropDuplicates(["__skey"]), "rows")
+        rows = state.stage(rows, "rows")
         changes[source], contents[source] = seen, rows.select("__skey", "__content", "__same")
         todo[source] = rows.where("not __same").select(*(f"`{n}`" for n, _ in t.fields))
 
-    memo = Memo({n.removeprefix("memo."): state.table(manifest, n) for n in manifest.tables if n.startswith("memo.")}, lambda df, n: state.stage(df, f"memo-{n}"))
+    pending = _union([rows.where("not __same").select("__skey") for rows in contents.values()]) if contents else empty("__skey string")
+
+    def cached(n: str) -> DataFrame | None:
+        stored = f"memo.{n}"
+        if stored not in manifest.schemas:
+            return None
+        return state.table(manifest, stored, state.numbers(manifest, stored, pending, "__skey")).withColumnRenamed("__skey", "__key")
+
+    memo = Memo(cached, lambda df, n: state.stage(df, f"memo-{n}"))
     for source, (spec, _, _) in base.sources.items():
         if source not in todo:
             todo[source] = spec.read(spark).limit(0).drop("__ordinal")
@@ -122,41 +134,52 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
         gone.append(state_of.where(F.col("class") == DELETE).select(here, "__skey"))
         kind = outcome(F.col("had"), F.lit(True), F.col("had_ordinal"), F.col("ordinal"))
         n = state_of.agg(
-            F.count_if(F.col("class").isin(NO_CHANGE, "BUMP")).alias("no_change"),
+            F.count_if(F.col("class") == "BUMP").alias("no_change"),
+            F.count_if("had").alias("had"),
             *(F.count_if((F.col("class") == PROCESS) & F.col("error").isNull() & (kind == k)).alias(name) for k, name in (("insertion", "insertions"), ("update", "updates"), ("reprocess", "reprocesses"))),
             F.count_if(F.col("class") == DELETE).alias("deletions"),
             F.count_if((F.col("class") == PROCESS) & F.col("error").isNotNull()).alias("errors"),
         ).first()
-        stats.sources[source] = SourceStats(**{f: n[f] for f in ("no_change", "insertions", "deletions", "updates", "reprocesses", "errors")})
+        left = tracked[source] - n["had"]  # tracked rows that aren't among the changes
+        stats.sources[source] = SourceStats(**{f: n[f] + (left if f == "no_change" else 0) for f in ("no_change", "insertions", "deletions", "updates", "reprocesses", "errors")})
     stats.errors = [(r["__src"], r["__skey"], r["error"]) for r in failed.orderBy("__src", "__skey").limit(keep_errors).collect()]
 
     union = lambda frames, schema: _union(frames) if frames else empty(schema)
-    processed = union(done, TRACKING)
-    touched = processed.select("__src", "__skey").unionByName(union(gone, "__src string, __skey string"))
-    replaced = touched.unionByName(union(bumped, TRACKING).select("__src", "__skey"))
-    FlowState.point(manifest, "tracking", state.stage(tracking.join(replaced, ["__src", "__skey"], "left_anti").unionByName(processed).unionByName(union(bumped, TRACKING)), "tracking"))
-
-    good = {n: rows.where(F.col(ERR).isNull()).join(failed, ["__src", "__skey"], "left_anti") for n, rows in produced.items()}
-    fresh = union([rows.select(F.lit(n).alias("target"), "__tkey", "__print", "__src", "__skey") for n, rows in good.items()], TARGET_KEYS)
-    kept = owned.where(F.col("target").isin(*builder.exports)) if builder.exports else owned.limit(0)
-    live = state.stage(kept.join(touched, ["__src", "__skey"], "left_anti").unionByName(fresh), "target-keys")
-    FlowState.point(manifest, "target_keys", live)
+    own = ["__src", "__skey"]
+    processed, bumps = union(done, TRACKING), union(bumped, TRACKING)
+    touched = state.stage(processed.select(*own).unionByName(union(gone, "__src string, __skey string")), "touched")
+    state.rewrite(manifest, "tracking", touched.unionByName(bumps.select(*own)), own, processed.unionByName(bumps), "__skey")
+
     for e in builder.exports.values():
-        rows = last_writer(good[e.name], ["__tkey"], ["__src", "__skey", PLACE])
+        by_source, by_target = f"keys.{e.name}", f"owners.{e.name}"
+        good = produced[e.name].where(F.col(ERR).isNull()).join(failed, own, "left_anti")
+        fresh = state.stage(good.select("__tkey", "__print", *own), "fresh")
+        before = state.table(manifest, by_source, state.numbers(manifest, by_source, touched, "__skey"))
+        lost = empty("__tkey string") if before is None else before.join(touched, own, "left_semi").select("__tkey")
+        affected = state.stage(lost.unionByName(fresh.select("__tkey")).distinct(), "affected")
+        owners = state.table(manifest, by_target, state.numbers(manifest, by_target, affected, "__tkey"))
+        owners = empty(OWNERS) if owners is None else owners.join(affected, "__tkey", "left_semi")
+        live = owners.join(touched, own, "left_anti").select("__tkey").unionByName(fresh.select("__tkey"))
+
+        rows = last_writer(good, ["__tkey"], [*own, PLACE])
         fields = [n for n, _ in (e.key + e.values)]
-        had = owned.where(F.col("target") == e.name).select("__tkey", "__print").distinct()
-        old = state.table(manifest, target_name(e.name))
+        rows = rows.select("__tkey", "__print", *(f"`{f}`" for f in fields))
+        old = state.table(manifest, target_name(e.name), set())
         # a target of another form is written anew
-        fits = old is not None and [f.simpleString() for f in old.schema] == [f.simpleString() for f in rows.select("__tkey", *(f"`{f}`" for f in fields)).schema]
-        changed = rows.join(had, ["__tkey", "__print"], "left_anti") if fits else rows
-        upserts = changed.select("__tkey", *(f"`{f}`" for f in fields))
-        dead = had.select("__tkey").join(live.where(F.col("target") == e.name), "__tkey", "left_anti") if fits else None
-        new = merge(old, upserts, dead, ["__tkey"]) if fits else upserts
-        FlowState.point(manifest, target_name(e.name), state.stage(new, target_name(e.name)))
+        if old is None or [f.simpleString() for f in old.schema] != [f.simpleString() for f in rows.drop("__print").schema]:
+            state.replace(manifest, target_name(e.name), rows.drop("__print"), "__tkey")
+        else:
+            changed = rows.join(owners.select("__tkey", "__print").distinct(), ["__tkey", "__print"], "left_anti").drop("__print")
+            changed = state.stage(changed, "upserts")
+            dead = affected.join(live, "__tkey", "left_anti")
+            state.rewrite(manifest, target_name(e.name), changed.select("__tkey").unionByName(dead), ["__tkey"], changed, "__tkey")
+        state.rewrite(manifest, by_target, touched, own, fresh, "__tkey", at=affected)
+        state.rewrite(manifest, by_source, touched, own, fresh, "__skey")
     for n, df in memo.used.items():
-        FlowState.point(manifest, f"memo.{n}", state.stage(df, f"memo-{n}"))
-    for n in [n for n in manifest.tables if n.startswith("target.") and n.removeprefix("target.") not in builder.exports]:
-        del manifest.tables[n], manifest.schemas[n]
+        used = df.withColumnRenamed("__key", "__skey").join(processed.select(*own), own, "left_semi")
+        state.rewrite(manifest, f"memo.{n}", touched, own, used, "__skey")
+    for n in [n for n in manifest.names() if n.split(".", 1)[0] in ("target", "keys", "owners") and n.split(".", 1)[1] not in builder.exports]:
+        manifest.remove(n)
     manifest.run = run
     state.publish(manifest)
     return stats

@@ -157,8 +157,11 @@ def test_cached_results_and_generated_ids_are_stable(spark, app):
     f.update()
     after = {r["id"] for r in f.table("out").collect()}
     assert len(first) == 3 and len(after) == 4 and first < after
-    memo = next(n for n in f.state.load().tables if n.startswith("memo."))
+    memo = next(n for n in f.state.load().names() if n.startswith("memo."))
     assert f.state.table(f.state.load(), memo).count() == 3
+    rows[0] = (1, "c", 3)
+    f.update()
+    assert f.state.table(f.state.load(), memo).count() == 1  # what no row uses is forgotten
     with pytest.raises(ValueError):
         function(cache=True)(lambda text: text)
 
