@@ -354,9 +354,10 @@ class FlowBuilder:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over as many partitions as tasks run at once, where a small input has fewer; a large one is left as it is."""
-    most = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+    """Rows over as many partitions as tasks run at once, where the plan says that the input is small; a large one is left as it is."""
+    most, session = df.sparkSession.sparkContext.defaultParallelism, df.sparkSession._jsparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(most) if size <= most * session.sessionState().conf().filesMaxPartitionBytes() else df
 
 
 def loose(t: T.DataType) -> T.DataType:

@@ -487,6 +487,54 @@ def flow_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.table(state.load(), target_name("names")).select("c_custkey", "name", "size")
 
 
+VERSIONS_SQL = """
+WITH a AS (SELECT c_custkey AS k, c_name AS name, c_custkey % 6 = 5 AS bad FROM customer WHERE c_custkey % 4 <> 3),
+s AS (SELECT s_suppkey AS k, s_name AS name FROM supplier)
+SELECT 'name' AS export, 'c' || CAST(k AS VARCHAR) AS k, CASE WHEN k % 3 = 0 OR bad THEN name ELSE name || '/new' END AS v FROM a
+UNION ALL SELECT 'name', 's' || CAST(k AS VARCHAR), name FROM s
+UNION ALL SELECT 'size', 'c' || CAST(k AS VARCHAR), CAST(length(name) + CASE WHEN k % 3 = 0 OR bad THEN 0 ELSE 4 END AS VARCHAR) FROM a
+"""
+
+
+@query(VERSIONS_SQL)
+def flow_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both targets of a flow over two sources after two updates, where keys come in several versions and some rows fail the second time."""
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("k"), F.col("c_name").alias("name"), F.col("c_custkey").alias("n"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("k"), F.col("s_name").alias("name"))
+    version = lambda rows, at, name: rows.select("k", name.alias("name"), F.lit(at).cast("long").alias("at"))
+    older, newer = version(customers, 1, F.concat("name", F.lit("/old"))), version(customers, 2, F.col("name"))
+    first = older.unionByName(newer)
+    second = version(customers.where("n % 4 <> 3 and n % 3 <> 0"), 3, F.concat(F.when(F.col("n") % 6 == 5, "bad ").otherwise(""), "name", F.lit("/new")))
+    after = first.join(customers.where("n % 4 <> 3").select("k"), "k", "left_semi").unionByName(second)
+    state = FlowState(spark, scratch(spark, "versions"))
+
+    @function()
+    def checked(name: str) -> str:
+        if name.startswith("bad "):
+            raise ValueError("refused")
+        return name
+
+    for rows in (first, after):
+
+        def define(b: FlowBuilder, rows: DataFrame = rows) -> None:
+            names, sizes = b.scope.add_collector(), b.scope.add_collector()
+            b.scope["customers"] = b.add_source(TableSource(rows, "k", "at"), name="customers")
+            b.scope["suppliers"] = b.add_source(TableSource(suppliers, "k"), name="suppliers")
+            with b.scope["customers"].row() as r:
+                r["checked"] = r["name"].transform(checked)
+                r["size"] = r["checked"].transform(expr(lambda n: F.length(n).cast("string"), str, "Length"))
+                names.collect(k=r["k"], v=r["checked"])
+                sizes.collect(k=r["k"], v=r["size"])
+            with b.scope["suppliers"].row() as r:
+                names.collect(k=r["k"], v=r["name"])
+            names.export("name", Table(), primary_key_fields=["k"])
+            sizes.export("size", Table(), primary_key_fields=["k"])
+
+        run_update(spark, define, state, "versions")
+    out = [state.table(state.load(), target_name(n)).select(F.lit(n).alias("export"), "k", "v") for n in ("name", "size")]
+    return out[0].unionByName(out[1])
+
+
 @query("SELECT 'order#' || CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, o_orderkey % 2 = 0 AS self_contained FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
 def flow_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that rows export or that relationships mention, after an update of both exports."""

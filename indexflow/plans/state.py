@@ -133,7 +133,9 @@ class FlowState:
         return F.pmod(F.xxhash64(by), F.lit(manifest.buckets.get(name, self.buckets))).cast("int")
 
     def numbers(self, manifest: Manifest, name: str, keys: DataFrame, by: str) -> set[int]:
-        """The buckets of a table in which some keys lie."""
+        """The buckets of a table in which some keys lie; none if there is no table."""
+        if name not in manifest.schemas:
+            return set()
         return {r[0] for r in keys.select(self.bucket(manifest, name, by)).distinct().collect()}
 
     def table(self, manifest: Manifest, name: str, only: set[int] | None = None) -> DataFrame | None:
@@ -162,14 +164,14 @@ class FlowState:
         manifest.parts[name] = kept | {d.split("=")[1]: f"{path}/{d}" for d in made if d.startswith(f"{PART}=")}
         manifest.schemas[name] = rows.schema.json()
 
-    def rewrite(self, manifest: Manifest, name: str, gone: DataFrame, on: list[str], add: DataFrame, by: str, at: DataFrame | None = None) -> None:
-        """A table without the rows that match ``gone`` and with those of ``add``. Buckets without keys of either, or of ``at``, stay as they are."""
-        keys = (gone.select(by) if at is None else at.select(by)).unionByName(add.select(by))
-        touched = self.numbers(manifest, name, keys, by)
-        if not touched and name in manifest.schemas:
+    def rewrite(self, manifest: Manifest, name: str, gone: DataFrame, on: list[str], add: DataFrame, by: str, at: set[int] | None = None) -> None:
+        """A table without the rows that match ``gone`` and with those of ``add``. Only the buckets ``at``, by default those with keys of either, are written."""
+        if name not in manifest.schemas:
+            self.replace(manifest, name, add, by)
             return
-        old = self.table(manifest, name, touched)
-        self.replace(manifest, name, add if old is None else old.join(gone, on, "left_anti").unionByName(add), by, touched)
+        at = self.numbers(manifest, name, gone.select(by).unionByName(add.select(by)), by) if at is None else at
+        if at:
+            self.replace(manifest, name, self.table(manifest, name, at).join(gone, on, "left_anti").unionByName(add), by, at)
 
     def sweep(self) -> int:
         """Delete tables that no manifest kept names; not while another run is at work."""

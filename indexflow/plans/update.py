@@ -154,10 +154,12 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
         by_source, by_target = f"keys.{e.name}", f"owners.{e.name}"
         good = produced[e.name].where(F.col(ERR).isNull()).join(failed, own, "left_anti")
         fresh = state.stage(good.select("__tkey", "__print", *own), "fresh")
-        before = state.table(manifest, by_source, state.numbers(manifest, by_source, touched, "__skey"))
+        skeys = state.numbers(manifest, by_source, touched, "__skey")
+        before = state.table(manifest, by_source, skeys)
         lost = empty("__tkey string") if before is None else before.join(touched, own, "left_semi").select("__tkey")
         affected = state.stage(lost.unionByName(fresh.select("__tkey")).distinct(), "affected")
-        owners = state.table(manifest, by_target, state.numbers(manifest, by_target, affected, "__tkey"))
+        tkeys = state.numbers(manifest, by_target, affected, "__tkey")
+        owners = state.table(manifest, by_target, tkeys)
         owners = empty(OWNERS) if owners is None else owners.join(affected, "__tkey", "left_semi")
         live = owners.join(touched, own, "left_anti").select("__tkey").unionByName(fresh.select("__tkey"))
 
@@ -173,8 +175,8 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
             changed = state.stage(changed, "upserts")
             dead = affected.join(live, "__tkey", "left_anti")
             state.rewrite(manifest, target_name(e.name), changed.select("__tkey").unionByName(dead), ["__tkey"], changed, "__tkey")
-        state.rewrite(manifest, by_target, touched, own, fresh, "__tkey", at=affected)
-        state.rewrite(manifest, by_source, touched, own, fresh, "__skey")
+        state.rewrite(manifest, by_target, touched, own, fresh, "__tkey", tkeys)
+        state.rewrite(manifest, by_source, touched, own, fresh, "__skey", skeys)
     for n, df in memo.used.items():
         used = df.withColumnRenamed("__key", "__skey").join(processed.select(*own), own, "left_semi")
         state.rewrite(manifest, f"memo.{n}", touched, own, used, "__skey")

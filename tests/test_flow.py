@@ -86,6 +86,51 @@ def test_updates_equal_a_full_run(spark, app):
     assert not f.update().sources["docs"].changed
 
 
+def test_one_changed_row_rewrites_one_bucket(spark, app):
+    at = {i: 1 for i in range(40)}
+    f = app.add_flow_def("buckets", word_flow(lambda: spark.createDataFrame([(i, f"w{i} v{n}", n) for i, n in at.items()], "id long, text string, at long")))
+    f.update()
+    before = f.state.load()
+    at[7] = 2
+    f.update()
+    after = f.state.load()
+    changed = {n: sum(after.parts[n].get(b) != p for b, p in before.parts[n].items()) for n in after.parts}
+    # a word of the row goes, another comes: two target keys
+    assert changed["tracking"] == 1 and changed["keys.words"] == 1 and 1 <= changed["target.words"] <= 2 and len(before.parts["tracking"]) > 8
+    assert len(contents(f)) == 80 and (7, "v2", 2) in contents(f) and (7, "v1", 2) not in contents(f)
+    # tables that only older versions than the last two name are deleted
+    at[7] = 3
+    f.update()
+    kept = {p.split("/tables/")[1].split("/")[0] for v in f.state._versions() for p in f.state._read(v).paths()}
+    folder = f.state._path(f"{f.state.root}/tables")
+    assert len(f.state._versions()) == 2 and {x.getPath().getName() for x in f.state._fs.listStatus(folder)} == kept
+    assert not before.parts["tracking"].items() <= f.state.load().parts["tracking"].items()
+
+
+def test_the_newest_version_of_a_key_wins(spark, app):
+    rows = [(1, "old", 1), (1, "new", 2), (2, "new", 5), (2, "old", 1), (3, "b", 4), (3, "a", 4), (4, "some", None), (4, "new", 0)]
+    f = app.add_flow_def("newest", word_flow(lambda: spark.createDataFrame(rows, "id long, text string, at long")))
+    f.update()
+    assert len(contents(f)) == 4 and {(i, w) for i, w, _ in contents(f)} >= {(1, "new"), (2, "new"), (4, "new")}
+    again = f.update().sources["docs"]
+    assert again.no_change == 4 and len(contents(f)) == 4
+
+
+def test_waiting_updates_take_on_further_sources(spark, app, monkeypatch):
+    seen, gate = [], threading.Event()
+    f = app.add_flow_def("waiting", word_flow(lambda: None))
+    monkeypatch.setattr(flows, "run_update", lambda *a: (seen.append(a[4]), gate.wait(10)))
+    first = f.update_async({"a"})
+    while not seen:
+        pass
+    second = f.update_async({"b"})
+    assert f.update_async({"c"}) is second and second is not first
+    gate.set()
+    second.result()
+    third = [f.update_async({"a"}).result(), f.update_async().result()]
+    assert seen[:2] == [{"a"}, {"b", "c"}] and seen[-1] is None and third
+
+
 def test_same_content_at_a_newer_ordinal_is_no_change(spark, app):
     at = [1]
     f = app.add_flow_def("same", word_flow(lambda: spark.createDataFrame([(1, "a b", at[0])], "id long, text string, at long")))
