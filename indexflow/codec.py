@@ -248,14 +248,14 @@ def key_from_parts(parts: list[str], t: FieldType) -> Any:
 
 
 def plain(value: Any) -> Any:
-    """Settings objects as plain data: enums by value, durations as seconds and nanoseconds, fields that are None left out."""
+    """Settings objects as plain data: enums by value, durations as seconds and nanoseconds, fields that are None or don't count for equality left out."""
     if isinstance(value, datetime.timedelta):
         whole = value // datetime.timedelta(seconds=1)
         return {"secs": whole, "nanos": (value - datetime.timedelta(seconds=whole)).microseconds * 1000}
     if hasattr(value, "value") and hasattr(type(value), "__members__"):
         return value.value
     if dataclasses.is_dataclass(value) and not isinstance(value, type):
-        return {f.name: plain(v) for f in dataclasses.fields(value) if (v := getattr(value, f.name)) is not None}
+        return {f.name: plain(v) for f in dataclasses.fields(value) if f.compare and (v := getattr(value, f.name)) is not None}
     if isinstance(value, dict):
         return {str(k): plain(v) for k, v in value.items()}
     if isinstance(value, (list, tuple)):

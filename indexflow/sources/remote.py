@@ -72,9 +72,10 @@ class GoogleDrive:
         return spark.createDataFrame(rows, "file_id string, filename string, mime_type string, __ordinal long")
 
     def read(self, spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
-        files = self.listing(spark)
-        if keys is not None:
-            files = files.join(keys.select("file_id"), "file_id", "left_semi")
+        files = self.listing(spark) if keys is None else keys
+        if "mime_type" not in files.columns:
+            files = self.listing(spark).join(keys.select("file_id"), "file_id", "left_semi")
+        files = files.select("file_id", "filename", "mime_type", "__ordinal")
         make, export = self.client, self.export
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from indexflow.functions.builtin import LlmSpec, hash_embedding, image_mime, ret
 from indexflow.operators import changes, graph, vector
 from indexflow.operators.graph import DeclaredNode, NodeFromFields, TargetFieldMapping
 from indexflow.setup import Change, Combined, Compatibility, TableState, commit_setup, compatibility, diff, next_ids
-from indexflow.sources.base import LocalFile
+from indexflow.sources.base import FileSource, LocalFile, TableSource
 from indexflow.sources.globs import matches
 from indexflow.sources.remote import GoogleDrive, drain, object_changes
 from indexflow.types import basic
@@ -41,6 +42,79 @@ def test_local_files_are_listed_and_read(spark, tmp_path):
     assert LocalFile(str(tmp_path), binary=True, excluded_patterns=["d"]).read(spark).first()["content"] == b"\x00\x01"
 
 
+class Logged:
+    """A file system that writes down what is opened."""
+
+    def __init__(self, root):
+        from pyarrow import fs
+
+        self.fs, self.log = fs.LocalFileSystem(), f"{root}.log"
+
+    def get_file_info(self, x):
+        return self.fs.get_file_info(x)
+
+    def open_input_stream(self, path, **options):
+        with open(self.log, "a") as f:
+            f.write(path + "\n")
+        return self.fs.open_input_stream(path, **options)
+
+
+def test_hidden_and_deep_files_are_listed_and_only_wanted_ones_opened(spark, tmp_path):
+    root = tmp_path / "in"
+    names = ["__init__.py", ".hid.py", "_d/y.py", "_d/.e/f/z.py", "a b/ü=1.py", *(f"x{i}/{j}/k.py" for i in range(20) for j in range(5))]
+    for n in names:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text(n)
+    (root / "empty").mkdir()
+    source = FileSource(str(root), connect=lambda: (Logged(root), str(root)))
+    listing = source.listing(spark)
+    assert sorted(r["filename"] for r in listing.collect()) == sorted(names)
+    assert not (tmp_path / "in.log").exists()
+    (root / ".hid.py").rename(root / "moved.py")
+    got = source.read(spark, spark.createDataFrame([("__init__.py", 1), ("_d/.e/f/z.py", 1), (".hid.py", 1)], "filename string, __ordinal long")).collect()
+    assert sorted((r["filename"], r["content"]) for r in got) == [("__init__.py", "__init__.py"), ("_d/.e/f/z.py", "_d/.e/f/z.py")]
+    assert sorted((tmp_path / "in.log").read_text().split("\n")[:-1]) == sorted(f"{root}/{n}" for n in ("__init__.py", "_d/.e/f/z.py"))
+    prefixed = FileSource(str(root), prefix="x1/", prune=False)
+    assert sorted(r["filename"] for r in prefixed.listing(spark).collect()) == [f"x1/{j}/k.py" for j in range(5)]
+    assert FileSource(str(tmp_path / "none")).listing(spark).count() == 0
+
+
+def test_unchanged_files_are_not_read_again(spark, tmp_path):
+    from indexflow.plans.state import FlowState
+    from indexflow.plans.update import run_update
+    from indexflow.targets import Table
+
+    root = tmp_path / "in"
+    root.mkdir()
+    for i in range(6):
+        (root / f"{i}.txt").write_text(f"text {i}")
+
+    def define(b):
+        b.scope["f"] = b.add_source(FileSource(str(root), connect=lambda: (Logged(root), str(root))), name="f")
+        out = b.scope.add_collector()
+        with b.scope["f"].row() as f:
+            out.collect(filename=f["filename"], text=f["content"])
+        out.export("t", Table(), primary_key_fields=["filename"])
+
+    state = FlowState(spark, f"file://{tmp_path}/state", 4)
+    assert run_update(spark, define, state).sources["f"].insertions == 6
+    (tmp_path / "in.log").unlink()
+    os.utime(root / "3.txt", (2e9, 2e9))
+    (root / "4.txt").unlink()
+    (root / "3.txt").write_text("new")
+    os.utime(root / "3.txt", (2e9, 2e9))
+    stats = run_update(spark, define, state).sources["f"]
+    assert (stats.updates, stats.deletions, stats.no_change) == (1, 1, 4)
+    assert (tmp_path / "in.log").read_text() == f"{root}/3.txt\n"
+
+
+def test_tables_are_read_by_key_range(spark):
+    source = TableSource(spark.range(100).withColumn("v", F.col("id") * 2), "id")
+    got = source.read(spark, spark.createDataFrame([(40,), (42,), (500,)], "id long"))
+    assert sorted(map(tuple, got.drop("__ordinal").collect())) == [(40, 80), (42, 84)]
+    assert source.read(spark, spark.createDataFrame([], "id long")).count() == 0
+
+
 @pytest.mark.parametrize(
     ("had", "now", "skip"),
     [((1000, 2), (2000, 2), False), ((2000, 2), (1000, 2), True), ((1000, 2), (3000, 2), False), ((2000, 2), (2000, 2), True), ((None, 2), (2000, 2), False), ((2000, 2), (None, 2), False), ((2000, 1), (2000, 2), False), ((2000, 2), (2000, 3), False), ((2000, 3), (2000, 2), True)],
