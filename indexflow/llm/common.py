@@ -19,17 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text handled at once inside one Arrow batch, and an Arrow batch where the session sets no limit, in bytes.
 SLICE_BYTES = BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Words whose hashes a Python worker remembers before it starts afresh.
-MEMO_WORDS = 300_000
+#: Words whose hashes a Python worker remembers before it starts afresh, and bytes of such a word at most.
+MEMO_WORDS, MEMO_BYTES = 300_000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees, from spark.checkpoint.dir.
 
-    Only where that setting is absent, as in local tests, a temporary folder is chosen.
+    Only where that setting is absent and Spark runs in this process, as in local tests, a temporary folder is chosen.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='indexflow-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,12 +44,24 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.saved: list[str] = []
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
         path = f"{self.path}/{self.count:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._saved_at = path
+        self.saved.append(path)
+        return out
+
+    def clear(self, *kept: DataFrame) -> None:
+        """Delete the tables saved so far but those in ``kept``, from which a result is still to be made."""
+        jvm, left = self.spark._jvm, {df._saved_at for df in kept}
+        for path in [p for p in self.saved if p not in left]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.saved = [p for p in self.saved if p in left]
 
 
 def release() -> None:
@@ -94,12 +108,14 @@ def as_bytes(texts: pa.Array) -> list[bytes | None]:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a fixed number of words."""
+    """64-bit hashes of words, remembered up to a fixed number of short words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -1,13 +1,14 @@
 """Benchmark decontamination by winnowing.
 
-Test items are cut into windows of ``window`` words. Of the k-gram hashes inside each window the
-smallest is kept, so a window that stands in a document too keeps the same fingerprint there:
-every shared span of a window or more is found. Documents look their own winnowed fingerprints up among those of
-the items and extend each hit to the windows around it, which count when they equal an item's window.
-Items of fewer words are one window of their own length.
-
-Items go to the executors in blocks of a fixed number of text bytes, one pass over a document for each
-block, so what is broadcast never grows with the test set; no fingerprint of a document leaves its task.
+Texts are cut into windows of ``window`` words. The smallest of the k-gram hashes inside a window is its
+fingerprint, so a window that stands in a document too keeps its fingerprint there: every shared span of a window or
+more is found. Fingerprints of documents are joined with those of items together with the hash of the whole window around them,
+which is what a hit is extended to. Items of fewer words are one window of their own length, without a fingerprint.
+
+A bitmap of the items' fingerprints and one of their windows, of bounded size, tell most windows of documents before the
+join, so that little more than real hits is shuffled; with very many items they tell fewer, and the join decides all the same.
+A hit has equal hashes of 64 bits for both the fingerprint and the window, so a false one is to be expected only where windows of documents
+times windows of items near 2**128 (2**64 for items shorter than a window).
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indexflow.llm.common import WordHashes, arrow_map, as_bytes, gram_hashes, text_slices
+from indexflow.llm.common import WordHashes, Workspace, arrow_map, as_bytes, gram_hashes, text_slices
 
-#: Bytes of item text whose index is broadcast at once.
-BLOCK_BYTES = 8 << 20
+#: Bits of each bitmap of the items' hashes, at most; both are broadcast.
+FILTER_BITS = 1 << 27
 #: A word is a run of a-z, 0-9 and bytes from 0x80 on; A-Z count as a-z.
 FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -33,7 +35,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def winnow(grams: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the rightmost smallest hash of every run of ``span`` hashes, each once."""
+    """The position of the rightmost smallest hash of every run of ``span`` hashes."""
     n = len(grams) - span + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64)
@@ -41,57 +43,51 @@ def winnow(grams: np.ndarray, span: int) -> np.ndarray:
     for back in range(1, span):
         at = np.arange(span - 1 - back, len(grams) - back)
         best = np.where(grams[at] < grams[best], at, best)
-    keep = np.zeros(len(grams), dtype=bool)
-    keep[best] = True
-    return np.flatnonzero(keep)
-
-
-def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Where each value stands in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
-
-
-def build_index(items: list[tuple[str, bytes | None]], window: int, k: int) -> dict:
-    """Fingerprints and windows of items, as sorted arrays; ``prints`` are those of windows of full length."""
-    memo, prints, owners = WordHashes(), [], {}
-    for item, text in items:
-        h = memo.of(words_of(text))
-        n = min(len(h), window)
-        if n == window:
-            grams = gram_hashes(h, k)
-            prints.append(grams[winnow(grams, window - k + 1)])
-        for x in np.unique(gram_hashes(h, n)).tolist() if n else ():
-            owners.setdefault(n, {}).setdefault(x, set()).add(item)
-    tables = {n: (np.array(sorted(own), dtype=np.uint64), [sorted(own[x]) for x in sorted(own)]) for n, own in owners.items()}
-    return {"prints": np.unique(np.concatenate(prints)) if prints else np.empty(0, dtype=np.uint64), "tables": tables}
-
-
-def find(h: np.ndarray, doc: np.ndarray, index: dict, window: int, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, start, entry in that length's table) of every item window in a flat run of documents' words."""
-    out = []
-    for n, (table, _) in index["tables"].items():
-        if len(h) < n:
-            continue
-        if n == window:
-            grams = gram_hashes(h, k)
-            at = winnow(grams, window - k + 1)
-            at = at[member(grams[at], index["prints"]) >= 0]
-            starts = np.unique((at[:, None] - np.arange(window - k + 1)).reshape(-1))
-            starts = starts[(starts >= 0) & (starts <= len(h) - n)]
-            starts = starts[doc[starts] == doc[starts + n - 1]]
-            with np.errstate(over="ignore"):
-                hashes = gram_hashes(h[(starts[:, None] + np.arange(n)).reshape(-1)], n)[::n] if len(starts) else np.empty(0, dtype=np.uint64)
-        else:
-            starts = np.flatnonzero(doc[: len(h) - n + 1] == doc[n - 1 :])
-            hashes = gram_hashes(h, n)[starts]
-        entry = member(hashes, table)
-        out.append((n, starts[entry >= 0], entry[entry >= 0]))
+    return best
+
+
+def is_set(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    at = values & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def bitmap(rows: DataFrame, col: str, bits: int) -> np.ndarray:
+    """A bitmap of a power of two of bits, made on the executors; what reaches the driver is bounded by its size."""
+    at = F.col(col).bitwiseAND(F.lit(bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    words = rows.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("mask")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words["word"]] = words["mask"].to_numpy(dtype=np.int64).view(np.uint64)
     return out
 
 
+def windows(h: np.ndarray, doc: np.ndarray, n: int, window: int, k: int, prints: np.ndarray | None = None, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, fingerprint, hash) of the windows of ``n`` words in a flat run of documents' words, without those that the bitmaps exclude.
+
+    Windows shorter than ``window`` have the fingerprint 0.
+    """
+    starts = np.flatnonzero(doc[: len(h) - n + 1] == doc[n - 1 :]) if len(h) >= n else np.empty(0, dtype=np.int64)
+    found = np.zeros(len(starts), dtype=np.uint64)
+    if n == window and len(starts):
+        grams = gram_hashes(h, k)
+        best = winnow(grams, window - k + 1)
+        if prints is not None:
+            maybe = np.zeros(len(grams), dtype=bool)
+            chosen = best[np.flatnonzero(np.diff(best, prepend=-1))]  # a fingerprint serves many windows
+            maybe[chosen] = is_set(prints, grams[chosen])
+            starts = starts[maybe[best[starts]]]
+        found = grams[best[starts]]
+    if 4 * n * len(starts) < len(h):
+        hashes = gram_hashes(h[(starts[:, None] + np.arange(n)).reshape(-1)], n)[::n] if len(starts) else found[:0]
+    else:
+        hashes = gram_hashes(h, n)[starts]
+    if whole is not None:
+        keep = is_set(whole, hashes)
+        starts, found, hashes = starts[keep], found[keep], hashes[keep]
+    return starts, found, hashes
+
+
 def spans(starts: np.ndarray, sizes: np.ndarray) -> list[dict[str, int]]:
     """The union of word ranges, as disjoint spans [start, end)."""
     out: list[list[int]] = []
@@ -103,7 +99,24 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in out]
 
 
-def overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, k: int = 5, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
+    """(item, n, print, hash) of every window of every item, once an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                h = memo.of(words_of(text))
+                n = min(len(h), window)
+                if n:
+                    _, prints, hashes = windows(h, np.zeros(len(h), dtype=np.int64), n, window, k)
+                    both = np.unique(np.stack((prints, hashes)), axis=1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * both.shape[1], pa.string()), pa.array(np.full(both.shape[1], n), pa.int32()), pa.array(both[0]), pa.array(both[1])], ["item", "n", "print", "hash"])
+
+    return items.transform(arrow_map, run, "item string, n int, print long, hash long")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, k: int = 5, keep: list[str] | None = None, filter_bits: int = FILTER_BITS, name: str = "overlaps") -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_words, hit_spans and hit_items of every whole text.
 
     hit_spans are the word ranges [start, end) covered by windows of items, disjoint and in order; hit_items are the ids of
@@ -114,54 +127,61 @@ def overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_
     spark = docs.sparkSession
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
+    ws = Workspace(spark, name)
     pieces = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    size = pieces.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    key = ["n", "print", "hash"]
+    listed = ws.save(item_windows(pieces, window, k).groupBy(*key).agg(F.collect_set("item").alias("items")), "windows")
+    sizes = {r["n"]: r["count"] for r in listed.groupBy("n").count().collect()}
+    lengths = sorted(sizes)
+    bits = min(filter_bits, max(64, 1 << (16 * sum(sizes.values())).bit_length()))
+    shared = spark.sparkContext.broadcast((bitmap(listed.where(F.col("n") == window), "print", bits), bitmap(listed, "hash", bits)))
+
     made = ("n_words", "hit_spans", "hit_items")
     kept = [c for c in (keep or docs.columns) if c.lower() not in made]
+    w = len(kept)
+    hit = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("start", T.IntegerType())])
+    columns = T.StructType([docs.schema[c] for c in kept] + [T.StructField("__row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("__hits", T.ArrayType(hit))])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (prints, whole), row = WordHashes(), shared.value, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            col = batch.column(w)
+            for lo, hi in text_slices(col):
+                split = [words_of(t) for t in as_bytes(col.slice(lo, hi - lo))]
+                count = np.array([len(x) for x in split], dtype=np.int64)
+                first = np.cumsum(count) - count
+                h, doc = memo.of([x for xs in split for x in xs]), np.repeat(np.arange(len(split)), count)
+                found = [(n, *windows(h, doc, n, window, k, prints, whole)) for n in lengths]
+                start = np.concatenate([f[1] for f in found] or [np.empty(0, dtype=np.int64)])
+                owner = doc[start]
+                order = np.argsort(owner, kind="stable")
+                cuts = np.searchsorted(owner[order], np.arange(len(split) + 1))
+                n = np.concatenate([np.full(len(f[1]), f[0]) for f in found] or [start])[order]
+                values = [np.concatenate([f[i] for f in found] or [start.astype(np.uint64)])[order].view(np.int64) for i in (2, 3)]
+                hits = pa.StructArray.from_arrays([pa.array(n, pa.int32()), *map(pa.array, values), pa.array((start - first[owner])[order], pa.int32())], ["n", "print", "hash", "start"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(w)), pa.array(np.arange(row, row + len(split))), pa.array(count), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), hits)], columns.names)
+                row += len(split)
+
+    work = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text"))
+    searched = ws.save(work.transform(arrow_map, search, columns), "searched")
+    likely = searched.where("size(__hits) > 0")
+    hits = likely.select("__row", F.explode("__hits").alias("h")).select("__row", "h.*").join(listed, key).select("__row", "n", "start", "items")
+    grouped = hits.groupBy("__row").agg(F.collect_set(F.struct("start", "n")).alias("at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    out = T.StructType([docs.schema[c] for c in kept] + [T.StructField("__text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("hit_items", T.ArrayType(T.StringType()))])
     arrow_span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    work = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(T.ArrayType(span)).alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items"))
-    w = len(kept)
-    for block in range(blocks):
-        rows = pieces.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toLocalIterator()
-        index = spark.sparkContext.broadcast(build_index([(r["item"], r["text"].encode()) for r in rows], window, k))
-        last = block == blocks - 1
-
-        def run(batches: Iterator[pa.RecordBatch], index=index, last=last) -> Iterator[pa.RecordBatch]:
-            memo, tables = WordHashes(), index.value["tables"]
-            for batch in batches:
-                col = batch.column(w)
-                for lo, hi in text_slices(col):
-                    part = batch.slice(lo, hi - lo)
-                    split = [words_of(t) for t in as_bytes(part.column(w))]
-                    sizes = np.array([len(x) for x in split], dtype=np.int64)
-                    doc = np.repeat(np.arange(len(split)), sizes)
-                    first = np.cumsum(sizes) - sizes
-                    hits = find(memo.of([x for xs in split for x in xs]), doc, index.value, window, k)
-                    at = np.concatenate([s for _, s, _ in hits] or [np.empty(0, np.int64)])
-                    width = np.concatenate([np.full(len(s), n) for n, s, _ in hits] or [np.empty(0, np.int64)])
-                    entry = np.concatenate([e for _, _, e in hits] or [np.empty(0, np.int64)])
-                    owner = doc[at]
-                    order = np.argsort(owner, kind="stable")
-                    cuts = np.searchsorted(owner[order], np.arange(len(split) + 1))
-                    old_spans, old_items = part.column(w + 2).to_pylist(), part.column(w + 3).to_pylist()
-                    new_spans, new_items = [], []
-                    for i in range(len(split)):
-                        own = order[cuts[i] : cuts[i + 1]]
-                        starts, lengths = at[own] - first[i], width[own]
-                        if old_spans[i]:
-                            starts = np.concatenate((starts, [x["start"] for x in old_spans[i]]))
-                            lengths = np.concatenate((lengths, [x["end"] - x["start"] for x in old_spans[i]]))
-                        new_spans.append(spans(starts, lengths))
-                        found = {x for n, e in set(zip(width[own].tolist(), entry[own].tolist(), strict=True)) for x in tables[n][1][e]}
-                        new_items.append(sorted(found.union(old_items[i] or ()), key=lambda x: x.encode()))
-                    text = pa.nulls(len(split), pa.string()) if last else part.column(w)
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(w)), text, pa.array(sizes, pa.int64()), pa.array(new_spans, arrow_span), pa.array(new_items, pa.list_(pa.string()))], out.names)
-
-        work = work.transform(arrow_map, run, out)
-    return work.drop("__text")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [(np.array([x["start"] for x in xs]), np.array([x["n"] for x in xs])) for xs in batch.column(1).to_pylist()]
+            names = [sorted(xs, key=lambda x: x.encode()) for xs in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spans(*x) for x in at], arrow_span), pa.array(names, pa.list_(pa.string()))], ["__row", "hit_spans", "hit_items"])
+
+    found = grouped.transform(arrow_map, merged, T.StructType([T.StructField("__row", T.LongType()), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("hit_items", T.ArrayType(T.StringType()))]))
+    none = [F.array().cast(T.ArrayType(span)).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items")]
+    cols = [F.col(f"`{c}`") for c in kept]
+    clean = searched.where("size(__hits) = 0").select(*cols, "n_words", *none)
+    hit_rows = likely.drop("__hits").join(found, "__row", "left").select(*cols, "n_words", F.coalesce("hit_spans", none[0]).alias("hit_spans"), F.coalesce("hit_items", none[1]).alias("hit_items"))
+    return clean.unionByName(hit_rows)
 
 
 def hit_words() -> Column:

@@ -127,12 +127,12 @@ def leak_tables(seed):
     return docs + [(100, None), (101, ""), (102, "w1 " * 30000)], items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 120])
-def test_overlaps_equal_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("filter_bits", [1 << 27, 64])
+def test_overlaps_equal_brute_force(spark, filter_bits):
     docs, items = leak_tables(1)
     d = spark.createDataFrame([(i, t, 0, "c") for i, t in docs], "doc_id long, text string, n_words int, item string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.overlaps(d, b, block_bytes=block_bytes).withColumn("n_hit", decontaminate.hit_words()).collect()
+    got = decontaminate.overlaps(d, b, filter_bits=filter_bits).withColumn("n_hit", decontaminate.hit_words()).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["hit_items"])) for r in got} == brute(docs, items)
     for r in got:
         ends = [(s["start"], s["end"]) for s in r["hit_spans"]]
