@@ -25,8 +25,8 @@ BITS = 16
 SAMPLE_ROWS = 3000
 #: Languages that a model may hold.
 MAX_LANGS = 500
-#: Words whose likelihoods a Python worker remembers before it starts afresh.
-MEMO_WORDS = 100_000
+#: Words whose likelihoods a Python worker remembers before it starts afresh, and their bytes.
+MEMO_WORDS, MEMO_BYTES = 100_000, 8 << 20
 LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are not letters part words; the text is lower-cased before.
 FOLD = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -87,13 +87,13 @@ class Mixture:
         self.model, self.rounds, self.penalty = model, rounds, penalty
         self.names: dict[bytes, int] = {}
         self.rows = np.empty((0, len(model["langs"])), dtype=np.float32)
-        self.used = 0
+        self.used = self.size = 0
 
     def likelihoods(self, words: list[bytes]) -> np.ndarray:
         """Log-likelihood of each word under each language."""
         fresh = list(set(words).difference(self.names))
-        if self.used + len(fresh) > MEMO_WORDS:
-            self.names, self.used = {}, 0
+        if self.used + len(fresh) > MEMO_WORDS or self.size > MEMO_BYTES:
+            self.names, self.used, self.size = {}, 0, 0
             fresh = list(set(words))
         if fresh:
             code, start = trigrams(fresh)
@@ -104,6 +104,7 @@ class Mixture:
             self.rows[self.used : self.used + len(fresh)] = np.add.reduceat(self.model["logp"][code], start, axis=0)
             self.names.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
             self.used += len(fresh)
+            self.size += sum(map(len, fresh))
         return self.rows[np.fromiter(map(self.names.__getitem__, words), dtype=np.int64, count=len(words))]
 
     def fit(self, like: np.ndarray, start: np.ndarray, size: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

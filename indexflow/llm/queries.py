@@ -72,16 +72,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with a grade: 2 good and not toxic, 1 one of both, 0 neither. Several labels of a document give its lowest grade."""
+def graded(labels: DataFrame) -> DataFrame:
+    """Ids with a grade: 2 good and not toxic, 1 one of both, 0 neither."""
     grade = F.when(F.col("quality") > 0, 1).otherwise(0) + F.when(F.col("toxic") > 0, 0).otherwise(1)
-    rated = labels.where("quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    return docs.select("doc_id", "text").join(rated, "doc_id").select("doc_id", "text", "grade")
+    return labels.where("quality is not null and toxic is not null").select("doc_id", grade.alias("grade"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = quality.train(graded(docs, _table(spark, sf_dir, "labels")), id_col="doc_id")
+    model = quality.train(docs, graded(_table(spark, sf_dir, "labels")))
     found = quality.score(docs, model, keep=["doc_id"])
     top = F.element_at("tails", -1)
     return found.select("doc_id", "expected_grade", F.element_at("tails", 1).alias("p_above_0"), top.alias("p_top"), (top >= 0.5).alias("selected"))

@@ -88,8 +88,13 @@ def graded(n, seed):
     return out
 
 
+def rated(spark, rows):
+    docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(rows)], "doc_id long, text string, grade string")
+    return docs, spark.createDataFrame([(i, g) for i, (_, g) in enumerate(rows)], "doc_id long, grade int")
+
+
 def test_grades_of_held_out_texts(spark):
-    model = quality.train(spark.createDataFrame(graded(600, 1), "text string, grade int"))
+    model = quality.train(*rated(spark, graded(600, 1)))
     assert model.cuts[0] < model.cuts[1]
     test = graded(200, 2)
     rows = quality.score(spark.createDataFrame([(t, g) for t, g in test], "text string, grade int"), model).collect()
@@ -98,8 +103,42 @@ def test_grades_of_held_out_texts(spark):
     assert all(r["tails"][0] >= r["tails"][1] and abs(sum(r["tails"]) - r["expected_grade"]) < 1e-9 for r in rows)
 
 
-def test_likelihood_gradient():
-    """A step of the fit raises the likelihood, and one grade alone leaves the weights at 0."""
+def test_beginnings_of_words_carry_over():
+    """A rude word not seen before is known by its beginning."""
+    rng, f = random.Random(8), quality.Features()
+    end = lambda: "".join(rng.choices("abcdefghij", k=4))
+    rows = [(" ".join(rng.choices(WORDS["de"], k=40)) + (f" vequ{end()} lowei{end()}" if i % 4 == 0 else f" stud{end()} plane{end()}"), 0 if i % 4 == 0 else 1) for i in range(1200)]
+    model = quality.fit([f.of(t.encode()) for t, _ in rows[:800]], np.array([g for _, g in rows[:800]]), 2)
+    tails = model.tails([f.of(t.encode()) for t, _ in rows[800:]])[:, 0]
+    assert np.mean((tails >= 0.5) == np.array([g == 1 for _, g in rows[800:]])) > 0.99
+
+
+def test_slopes_equal_finite_differences():
+    rng = np.random.default_rng(2)
+    x = [np.unique(rng.integers(0, 30, 8)).astype(np.int32) for _ in range(40)]
+    y, w = rng.integers(0, 4, 40), rng.normal(0, 0.5, 1 << quality.BITS)
+    first, steps = -0.7, np.array([-0.2, 0.4])
+
+    def brute(w, first, steps):
+        cuts = first + np.concatenate(([0], np.cumsum(np.exp(steps))))
+        total = 0.0
+        for f, g in zip(x, y, strict=True):
+            up = [1.0, *(1 / (1 + np.exp(c - sum(w[i] for i in f))) for c in cuts), 0.0]
+            total += np.log(up[g] - up[g + 1])
+        return total / len(y)
+
+    value, at, g, gc = quality.slopes(w, first, steps, x, y)
+    assert abs(value - brute(w, first, steps)) < 1e-9
+    e = 1e-6
+    for i, s in list(zip(at, g, strict=True))[:8]:
+        up, down = w.copy(), w.copy()
+        up[i], down[i] = w[i] + e, w[i] - e
+        assert abs((brute(up, first, steps) - brute(down, first, steps)) / (2 * e) - s) < 1e-6
+    moves = [(brute(w, first + e, steps) - brute(w, first - e, steps)) / (2 * e), *((brute(w, first, steps + e * u) - brute(w, first, steps - e * u)) / (2 * e) for u in np.eye(2))]
+    assert np.allclose(moves, gc, atol=1e-6)
+
+
+def test_fits_of_few_grades():
     f = quality.Features()
     x, y = zip(*((f.of(t.encode()), g) for t, g in graded(300, 3)), strict=True)
     def logp(m):
@@ -107,10 +146,22 @@ def test_likelihood_gradient():
         return np.log(np.maximum(p[np.arange(len(x)), y] - p[np.arange(len(x)), np.array(y) + 1], 1e-12)).sum()
     early, late = (quality.fit(list(x), np.array(y), epochs=n) for n in (0, 20))
     assert logp(late) > logp(early) + 50
-    assert not quality.fit(list(x), np.zeros(len(x), dtype=int)).weights.any()
-
-
-def test_odd_texts_have_a_score(spark):
-    model = quality.train(spark.createDataFrame([], "text string, grade int"))
-    df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a " * 50000, 0), (3, "a " * 50000, 0)], "doc_id long, text string, tails int")
-    assert quality.score(df, model).count() == 4 and quality.score(df.limit(0), model).count() == 0
+    one = quality.fit(list(x), np.zeros(len(x), dtype=int))
+    assert not one.weights.any() and (one.tails(list(x)) < 0.01).all()
+    two = quality.fit(list(x), np.minimum(np.array(y), 1))  # the top grade never occurs
+    assert len(two.cuts) == 2 and (two.tails(list(x))[:, -1] < 0.5).all()
+
+
+def test_odd_texts_and_ratings(spark):
+    df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a " * 50000, 0), (3, "a " * 50000, 0), (None, "b", 0)], "doc_id long, text string, tails int")
+    for ratings in ([], [(9, 1)], [(1, 2)], [(None, 1), (3, None), (3, 7), (3, -1)]):
+        model = quality.train(df, spark.createDataFrame(ratings, "doc_id long, grade int"))
+        rows = quality.score(df, model).collect()
+        assert len(rows) == 5 and all(list(r["tails"]) == [0.0, 0.0] and r["expected_grade"] == 0 for r in rows)
+    assert quality.score(df.limit(0), model).count() == 0
+    model = quality.train(df, spark.createDataFrame([(3, 2), (3, 0)], "doc_id long, grade int"))  # the lowest counts
+    assert quality.score(df, model).where("tails[0] > 0.5").count() == 0
+    assert max(map(len, quality.Features().known), default=0) <= quality.MEMO_BYTES
+    wide = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(60)]
+    small = quality.train(spark.createDataFrame(wide, "doc_id long, text string"), spark.createDataFrame([(i, i % 3) for i in range(60)], "doc_id long, grade int"), sample_bytes=2000)
+    assert 0 < np.count_nonzero(small.weights) < 1000
