@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that reach the top grade with a probability of half or more."""
-    model = quality.train(graded(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), id_col="doc_id")
+    """Documents that reach the top grade with a probability of half or more; none where no document is rated."""
+    model = quality.train(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     found = quality.score(docs, model)
     return found.where(F.element_at("tails", -1) >= LEAST_TOP).select(docs.columns)
 
