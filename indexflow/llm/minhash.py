@@ -14,7 +14,11 @@ Copies collapse first: sets are equal when their 128-bit digests are, and only
 the smallest id of each set goes on. Inside a bucket of a band, every
 member is first held against one hub; only members that are then still in different
 components are held against one another. So a group of mutual near-copies costs as
-many comparisons as it has members, and no link between components is missed.
+many comparisons as it has members, and no link between components is missed. Members of a large bucket are dealt into blocks, whose
+pairs are compared in tasks of their own; the members compared with a much used hub are dealt out with a copy of its text each.
+
+Sets are of 64-bit hashes of shingles: one false common shingle is to be expected in about 2**64 / (n_a * n_b) compared pairs, and a wrong decision
+needs it to fall on the threshold.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ MANTISSA = 10
 ODD = 32
 #: Bits of the filter by which texts are fetched, at most; it is broadcast, at 16 bytes for 64 bits.
 FILTER_BITS = 1 << 25
+#: Members of a bucket in a block, and texts that are held against one copy of another.
+BLOCK, PER_COPY = 4096, 512
 EMPTY = 0xFFFF
 TOP = 62
 
@@ -193,20 +199,26 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     bodies = ws.save(wanted.among(texts), "texts")
 
     stars = shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = ws.save(confirm(likely(stars, sketches, percent, m), bodies, k, percent), "links")
+    links = ws.save(confirm(likely(stars, sketches, percent, m), bodies, k, percent, ws), "links")
     found = components(links, ws)
     placed = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "hub", F.coalesce("component", "rep").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    open_ = ws.save(placed.join(split, "band", "left_semi"), "open").join(sketches.select(F.col("id").alias("rep"), "n", "odd"), "rep")
-    x = open_.select("band", *(F.col(c).alias(f"{k}_a") for c, k in (("rep", "rep"), ("component", "c"), ("n", "n"), ("odd", "odd"))))
-    y = open_.where("rep != hub").select("band", *(F.col(c).alias(f"{k}_b") for c, k in (("rep", "rep"), ("component", "c"), ("n", "n"), ("odd", "odd"))))
-    across = x.join(y, "band").where(f"rep_a < rep_b and c_a != c_b and {may_link(percent)}").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    # every member was held against the hub already
+    open_ = ws.save(placed.join(split, "band", "left_semi").where("rep != hub").select("band", "rep", "component"), "open")
+    large = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    members = open_.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    members = members.join(sketches.select(F.col("id").alias("rep"), "n", "odd"), "rep")
+    side = lambda c: [F.col(x).alias(f"{y}_{c}") for x, y in (("rep", "rep"), ("component", "c"), ("n", "n"), ("odd", "odd"))]
+    x = members.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *side("a"))
+    y = members.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *side("b"))
+    across = x.join(y, ["band", "i", "j"]).where(f"(i < j or rep_a < rep_b) and c_a != c_b and {may_link(percent)}").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
     across = across.distinct().join(stars, ["a", "b"], "left_anti")
-    more = ws.save(confirm(likely(across, sketches, percent, m), bodies, k, percent), "links")
+    more = ws.save(confirm(likely(across, sketches, percent, m), bodies, k, percent, ws), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more), ws)
 
-    group = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    group = ws.save(reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "groups")
+    ws.clear(sigs, group)
     out = sigs.join(group, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
@@ -263,23 +275,36 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int, m: int) -> DataF
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").transform(arrow_map, keep, "a long, b long")
 
 
-def confirm(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that are links, decided on the full sets of both texts."""
+def confirm(pairs: DataFrame, bodies: DataFrame, k: int, percent: int, ws: Workspace) -> DataFrame:
+    """The pairs that are links, decided on the full sets of both texts.
+
+    Texts b of a much used text a are dealt out by salts, each with a copy of a's; inside a task that copy comes first.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, last, kept = WordHashes(), None, np.empty(0, dtype=np.uint64)
+        memo, last, kept = WordHashes(), None, []
         for batch in batches:
-            a, b, col = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            a, salt, b, col = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
             out: tuple[list[int], list[int]] = ([], [])
             for lo, hi in text_slices(col):
                 for i, own in zip(range(lo, hi), shingle_sets(as_bytes(col.slice(lo, hi - lo)), k, memo), strict=True):
-                    if a[i] != last:
-                        last, kept = a[i], shingle_sets(as_bytes(batch.column(2).slice(i, 1)), k, memo)[0]
-                    inter = len(kept) + len(own) - len(np.unique(np.concatenate((kept, own))))
-                    if inter and 100 * inter >= percent * (len(kept) + len(own) - inter):
-                        out[0].append(a[i])
-                        out[1].append(b[i])
+                    if (a[i], salt[i]) != last:
+                        last, kept = (a[i], salt[i]), []
+                    if b[i] is None:
+                        kept.append(own)
+                        continue
+                    for x in kept:
+                        every = len(np.unique(np.concatenate((x, own))))
+                        if 100 * (len(x) + len(own) - every) >= percent * every > 0:
+                            out[0].append(a[i])
+                            out[1].append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    side = lambda c: bodies.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "text_a", "text_b").transform(arrow_map, check, "a long, b long")
+    pairs = ws.save(pairs, "pairs")
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies"))
+    text = lambda c: bodies.select(F.col("id").alias(c), "text").hint("merge")
+    firsts = copies.join(text("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int")
+    others = pairs.join(copies.where("copies > 1"), "a", "left").select("a", salt.alias("salt"), "b").join(text("b"), "b").select("a", "salt", "b", "text")
+    dealt = firsts.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return dealt.transform(arrow_map, check, "a long, b long")

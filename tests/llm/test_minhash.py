@@ -55,6 +55,22 @@ def test_groups_equal_brute_force(spark, k, percent):
     assert sorted(tuple(r) for r in minhash.near_groups(df, k=k, percent=percent).collect()) == brute(rows, k, percent)
 
 
+def test_large_buckets_and_much_used_texts(spark, monkeypatch):
+    """Blocks of buckets and copies of texts change nothing: few bands make buckets of texts that are no copies."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "PER_COPY", 2)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 9, 14])):
+            own[rng.randrange(60)] = f"v{rng.randrange(10_000)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)
+    assert sorted(tuple(r) for r in minhash.near_groups(df, k=3, percent=85, bands=64, rows=1).collect()) == brute(rows, 3, 85)
+
+
 def test_empty_tables_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert minhash.near_groups(df).count() == 0
