@@ -243,17 +243,18 @@ class IdFilter:
     def _bit(self) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("long"), (self._at % 64).cast("int"))
 
-    def _marked(self, rows: DataFrame) -> DataFrame:
+    def mark(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with __maybe: false where the id surely isn't among the ids."""
         met = rows.withColumn("__word", F.floor(self._at / 64)).join(F.broadcast(self.words), "__word", "left")
         return met.withColumn("__maybe", F.coalesce(F.col("__mask").bitwiseAND(self._bit) != 0, F.lit(False)))
 
     def among(self, rows: DataFrame) -> DataFrame:
         """The rows whose id is among the ids."""
-        return self._marked(rows).where("__maybe").select(rows.columns).join(self.ids.select(self.id_col).hint("merge"), self.id_col, "left_semi").select(rows.columns)
+        return self.mark(rows).where("__maybe").select(rows.columns).join(self.ids.select(self.id_col).hint("merge"), self.id_col, "left_semi").select(rows.columns)
 
     def without(self, rows: DataFrame) -> DataFrame:
         """The rows whose id isn't among the ids, those with a null id too."""
-        marked = self._marked(rows)
+        marked = self.mark(rows)
         rest = marked.where("__maybe").select(rows.columns).join(self.ids.select(self.id_col).hint("merge"), self.id_col, "left_anti")
         return marked.where("not __maybe").select(rows.columns).unionByName(rest.select(rows.columns))
 

@@ -105,7 +105,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op7")
     archives = warc.write(_table(spark, sf_dir, "pages"), f"{ws.path}/warc", ws=ws)
-    return warc.read(archives, payloads=False).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.read(archives, payloads=False)
+    # what was just written must be whole: a gap is an error
+    whole = F.when(F.col("gap").isNotNull(), F.raise_error(F.concat_ws(": ", "path", "gap"))).otherwise(F.col("page_id"))
+    return found.select(whole.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = r"""

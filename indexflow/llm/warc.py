@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indexflow.llm.common import Workspace, arrow_map
+from indexflow.llm.minhash import IdFilter
 
+#: Tasks over which rows with one payload are spread at least when they are shuffled.
+SALTS = 16
 #: Bytes after which a task begins another archive.
 ROLL_BYTES = 64 << 20
-#: Bytes read at once, and of a record at most.
-CHUNK, LARGEST = 1 << 18, 1 << 30
+#: Bytes read at once, and of a record at most: more than a value of a table, and so what ``write`` makes of one, can have.
+CHUNK, LARGEST = 1 << 18, (1 << 31) + (1 << 28)
 #: Bytes that a step inflates at most.
 INFLATED = 1 << 22
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -271,7 +274,14 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(html, "UTF-8").alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
     firsts = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    marked = rows.join(ws.save(firsts, "firsts"), "digest", "left").select("id", "url", "html", F.expr("case when first is not null and not id <=> first then first end").alias("refers_to"))
+    firsts = ws.save(firsts, "firsts")
+    # payloads that surely stand once stay where they are
+    told = IdFilter(firsts, "digest", ws).mark(rows)
+    once = told.where("not __maybe").select("id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = told.where("__maybe").select(*rows.columns, F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
+    again = again.join(salted, ["digest", "salt"], "left").select("id", "url", "html", F.expr("case when first is not null and not id <=> first then first end").alias("refers_to"))
+    marked = once.unionByName(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, root = fs.FileSystem.from_uri(folder)

@@ -219,3 +219,33 @@ def test_a_lone_record_counts_only_if_its_member_checks():
     whole = member(1)
     assert ids(whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:] + member(2)) == [None, 2]
     assert ids(whole[:-30] + member(2)) == [None, 2]
+
+
+def test_hosts_of_very_many_labels_and_full_filters(spark, monkeypatch):
+    urls_ = [(1, "http://" + "a." * 50_000 + "EXAMPLE.com/en/x"), (2, "http://" + "b." * 50_000 + "net/fr/" + "p" * 50_000), (3, None), (4, "mailto:x"), (5, "http:///en/"), (6, "://net/es/"), (7, "http://xnet/es/"), (8, "http://a.b.c/deep/er"), (9, "http://b.c/deep/er")]
+    df = spark.createDataFrame(urls_, "page_id long, url string")
+    rules = spark.createDataFrame([*queries.URL_RULES, ("a.b.c", "/deep/", "block"), *((f"h{i}.org", f"/{'x' * (i % 7)}", "block") for i in range(300))], "host string, path string, verdict string")
+    want = {1: ("example.com/en/", "block"), 2: ("net/fr/", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: ("net/es/", "block"), 7: (None, "allow"), 8: ("a.b.c/deep/", "block"), 9: (None, "allow")}
+    for most in (1 << 16, 1):  # a filter with room, and one that passes nearly everything
+        monkeypatch.setattr(urls, "MOST_BLOCKS", most)
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, rules).collect()} == want
+
+
+def test_any_page_is_written_and_read_back(spark, tmp_path):
+    """With joins by shuffles too: long addresses, those that look like heads, one payload in very many rows."""
+    pages = [(1, "http://a.com/docs/WARC/1.1/x", "a"), (2, "http://b.com/" + "u" * 300_000, "b"), (3, "http://c.com/\r\nWARC/1.0\r\n", "a"), (4, None, None), (5, "WARC/1.1\r\n", ""), (6, "http://d.com", "\r\n\r\nWARC/1.1\r\n" * 3)]
+    pages += [(100 + i, f"http://e.com/{i}", "hot" * 1000) for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    first, want = {}, {}
+    for i, _, h in pages:
+        first.setdefault(h or "", i)
+        want[i] = ("response", None) if first[h or ""] == i else ("revisit", first[h or ""])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = warc.read(warc.write(df, f"file://{tmp_path}/w{threshold}")).collect()
+            assert {r["page_id"]: (r["record_type"], r["refers_to"]) for r in got} == want and len(got) == len(pages)
+            assert all(r["gap"] is None for r in got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
