@@ -108,9 +108,11 @@ def slopes(w: np.ndarray, first: float, steps: np.ndarray, rows: list[np.ndarray
     np.add.at(dc, y + 1, slope[own, y + 1] / p)
     dc = dc[1:-1] / len(y)
     flat = np.concatenate(rows)
-    at, place = np.unique(flat, return_inverse=True)
-    g = np.bincount(place, np.repeat(ds, [len(r) for r in rows]), len(at)) / len(y)
-    return float(np.log(p).mean()), at, g, np.concatenate(([dc.sum()], np.cumsum(dc[::-1])[::-1][1:] * np.exp(steps)))
+    g = np.bincount(flat, np.repeat(ds, [len(r) for r in rows]), len(w)) / len(y)
+    present = np.zeros(len(w), dtype=bool)
+    present[flat] = True
+    at = np.flatnonzero(present)
+    return float(np.log(p).mean()), at, g[at], np.concatenate(([dc.sum()], np.cumsum(dc[::-1])[::-1][1:] * np.exp(steps)))
 
 
 def fit(x: list[np.ndarray], y: np.ndarray, grades: int = 3, *, epochs: int = 60, rate: float = 0.3, sparsity: float = 1e-3, start: float = 1e-2, batch: int = 128, seed: int = 3) -> Ordinal:
