@@ -4,7 +4,10 @@ A page is a sequence of tags and runs of words. Words score positive and tags ne
 from labelled pages by where tokens stand: in a page's content element or outside it. A linear scan finds the
 contiguous region with the highest sum; its words, but for those of boilerplate elements inside it, are the text.
 A page with content elements has two such regions, one of the words in them and one of the words outside; the
-learned weights say which of them it is, since such elements may hold mere teasers.
+learned weights say which of them it is, since such elements may hold mere teasers. A page without any, as with these tags renamed, has the one.
+
+What is boilerplate inside a region is told by HTML's own elements and by a fixed list of names, since labelled pages show
+few of them. A name counts only if all of its parts are on that list or say nothing: "search-box" does, "search-engines" doesn't.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from indexflow.llm.common import arrow_map, text_slices
 SAMPLE_ROWS = 1000
 #: Least cost of a tag.
 LEAST = 0.01
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[a-z/!?](?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|<[a-z/!?][^<>]*>?|[^<]+|<", re.I | re.S)
+#: A tag may hold < and > in quotes, but what begins like another tag ends a quote that isn't closed.
+QUOTED = r"\"(?:[^\"<]|<(?![a-z/!?]))*+\"|'(?:[^'<]|<(?![a-z/!?]))*+'"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[a-z/!?](?:[^<>\"']|(?<==)(?:{QUOTED})|(?<==\s)(?:{QUOTED}))*+>|<[a-z/!?][^<>]*>?|[^<]+|<", re.I | re.S)
 #: Elements whose contents are no text of the page: those that can't hold their like, and those that can or that end with their parent.
 RAW, NESTING = {"script", "style", "noscript", "iframe", "textarea", "title"}, {"template", "svg", "select", "object"}
 ANY_TAG = re.compile(r"<[a-z/!?]", re.I)
@@ -43,6 +48,13 @@ MARKED = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "dialog", "newsletter", "subscribe", "signup", "login", "search", "form",
     "comment", "comments", "reply", "replies", "respond", "disqus",
 }
+#: Parts of such names that say nothing.
+NEUTRAL = {
+    "site", "page", "main", "top", "bottom", "left", "right", "inner", "outer", "area", "bar", "panel", "box", "block", "list", "item", "items", "section",
+    "wrapper", "wrap", "container", "content", "contents", "group", "column", "col", "row", "slot", "unit", "zone", "text", "body", "link", "links", "button",
+    "buttons", "btn", "icon", "icons", "overlay", "message", "thread", "tree", "trail", "count", "title", "label", "primary", "secondary", "global", "user", "users",
+    "reader", "readers", "mobile", "sticky", "fixed", "floating", "large", "small", "big", "media", "this", "google", "post", "posts", "article", "articles", "entry", "story", "stories",
+}
 #: Parts that say that a name only mentions boilerplate, and first parts of names of an article's own parts.
 NEGATING, OWN = {"has", "no", "not", "with", "without", "is", "hide", "show", "free", "open", "closed"}, {"article", "entry", "post", "content", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -55,11 +67,12 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 
 
 def is_marked(tag: str) -> bool:
-    """Whether a start tag's classes, id or role name boilerplate: the first or last part of one of the names does."""
+    """Whether a start tag's classes, id or role name boilerplate: all parts of one of the names are listed or say nothing, and one is listed."""
     for m in MARKS.finditer(tag):
         for name in (m[1] or m[2] or m[3] or "").split():
             parts = [p.lower() for p in PART.findall(name)]
-            if parts and not NEGATING & {*parts} and (parts[0] in MARKED or parts[-1] in MARKED and not (parts[0] in OWN and parts[-1] == "header")):
+            own = parts and parts[0] in OWN and parts[-1] == "header"
+            if MARKED & {*parts} and MARKED | NEUTRAL >= {*parts} and not own:
                 return True
     return False
 
@@ -170,17 +183,17 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     return out
 
 
-def learn(pages: list[str]) -> dict[str, float]:
+def count(page: str, seen: Counter) -> None:
+    """Add what is kept of a page to the numbers of tags, and of words under "", inside and outside content elements."""
+    for tag, text, inside, kept in tokens(page):
+        if kept:
+            seen[tag, inside] += 1 if tag else len(text.split())
+
+
+def learn(seen: Counter) -> dict[str, float]:
     """Costs of tags from pages that mark their content: the log-odds of standing outside; under "" what it adds to a region to lie in a content element, the log-odds of a word standing in one."""
-    seen, words = {True: Counter(), False: Counter()}, Counter()
-    for page in pages:
-        for tag, text, inside, kept in tokens(page):
-            if tag:
-                seen[inside][tag] += 1
-            elif kept:
-                words[inside] += len(text.split())
     cost = lambda no, yes: min(8.0, max(LEAST, math.log((no + 0.5) / (yes + 0.5))))
-    return {t: cost(seen[False][t], seen[True][t]) for t in {*seen[True], *seen[False]}} | {"": cost(words[True], words[False])}
+    return {t: cost(seen[t, not t], seen[t, bool(t)]) for t in {"", *(t for t, _ in seen)}}
 
 
 def region(worth: list[float]) -> tuple[float, int, int]:
@@ -200,15 +213,18 @@ def extract(page: str | None, costs: dict[str, float]) -> str:
     """The main text of a page, its blocks joined by line breaks; empty if there is none.
 
     Words and learned costs of tags score the best region of any one content element and the best region outside of them.
-    If the former and what lying in an element adds reach the latter, the text is that of the content elements, whatever tags are in them.
+    If the former and what lying in an element adds reach the latter, the region is the best that words in any content elements make.
+    Tags that no labelled page shows cost 1, in content elements next to nothing.
     """
     parts = tokens(page) if page else []
     words = [0 if tag or not kept else len(text.split()) for tag, text, _, kept in parts]
-    score, lo, hi = region([-costs.get(tag, 1.0) if tag else -n if inside else n for (tag, _, inside, _), n in zip(parts, words, strict=True)])
+    cost = [-costs.get(tag, LEAST if inside else 1.0) if tag else 0.0 for tag, _, inside, _ in parts]
+    score, lo, hi = region([c - n if inside else c + n for (_, _, inside, _), n, c in zip(parts, words, cost, strict=True)])
     if any(n and inside for (_, _, inside, _), n in zip(parts, words, strict=True)):
-        own, _, _ = region([-math.inf if not inside else -costs.get(tag, LEAST) if tag else n for (tag, _, inside, _), n in zip(parts, words, strict=True)])
-        if own + costs.get("", 1.0) >= score:
-            _, lo, hi = region([(-LEAST if inside else -costs.get(tag, 1.0)) if tag else n if inside else -n for (tag, _, inside, _), n in zip(parts, words, strict=True)])
+        own, _, _ = region([c + n if inside else -math.inf for (_, _, inside, _), n, c in zip(parts, words, cost, strict=True)])
+        gain = costs.get("", 1.0)
+        if own + gain >= score:
+            _, lo, hi = region([c + n if inside else c - min(1.0, gain) * n for (_, _, inside, _), n, c in zip(parts, words, cost, strict=True)])
     blocks: list[list[str]] = [[]]
     for tag, text, _, kept in parts[lo:hi]:
         if tag and tag not in INLINE:
@@ -220,9 +236,25 @@ def extract(page: str | None, costs: dict[str, float]) -> str:
 
 
 def train(pages: DataFrame, *, html_col: str = "html", sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
-    """Costs of tags from at most ``sample_rows`` pages that mark their content; fixed costs apply where there are none."""
-    rows = pages.select(F.col(html_col).cast("string").alias("html")).where(F.lower("html").rlike("<(article|main)\\b"))
-    return learn([r["html"] for r in rows.limit(sample_rows).toLocalIterator()])
+    """Costs of tags from about ``sample_rows`` pages that mark their content, picked by a hash of the page; fixed costs apply where there are none.
+
+    Pages are counted on the executors; the driver gets the sums only. Copies of a page are picked together or not at all.
+    """
+    rows = pages.select(F.col(html_col).cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)\\b"))
+    share = min(1.0, sample_rows / max(1, rows.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                count(page, seen)
+        made = [(t, i, n) for (t, i), n in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in made], k) for j, k in enumerate((pa.string(), pa.bool_(), pa.int64()))], ["tag", "inside", "n"])
+
+    picked = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = picked.transform(arrow_map, run, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n"))
+    found = Counter({(r["tag"], r["inside"]): r["n"] for r in counts.collect()})
+    return learn(found) if found else {}
 
 
 def main_text(pages: DataFrame, costs: dict[str, float], *, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

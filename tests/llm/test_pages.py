@@ -1,6 +1,8 @@
 import io
 import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -43,8 +45,15 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>var t="</p>
 <article><h1>Head &lt;1&gt;</h1><p><b>First  &amp;\n one.<br><p>Sec<i>ond</i>.</p><aside>related things here</aside><div class="comments"><p>a comment</p></div><p>x</p></article><footer>&copy; me and all of us</footer></body></html>"""
 
 
+def learned(*pages):
+    seen = Counter()
+    for p in pages:
+        html.count(p, seen)
+    return html.learn(seen)
+
+
 def test_main_text():
-    costs = html.learn([PAGE])
+    costs = learned(PAGE)
     assert html.extract(PAGE, costs) == "Head <1>\nFirst & one.\nSecond.\nx"
     assert html.extract("<body><div>menu a b</div><article><p>only</p>", costs) == "only"
     assert html.extract("<nav>never closed<article>in</article>", costs) == "in"
@@ -58,7 +67,7 @@ def test_main_text():
 
 @pytest.mark.parametrize(
     ("name", "marked"),
-    [("ad", True), ("site-header", True), ("leftSidebar", True), ("cookie_notice big", True), ("comment-body", True), ("related", True), ("post has-comments", False), ("ad-free", False), ("entry-header", False), ("post-comments", True), ("adaptive", False), ("shadow", False), ("no-sidebar", False)],
+    [("ad", True), ("site-header", True), ("leftSidebar", True), ("cookie_notice big", True), ("comment-body", True), ("related", True), ("post has-comments", False), ("ad-free", False), ("entry-header", False), ("post-comments", True), ("adaptive", False), ("shadow", False), ("no-sidebar", False), ("search-engines", False), ("share-price", False), ("form-factor", False), ("comment-policy", False), ("search-box-2", True), ("share-buttons", True), ("readerComments", True), ("related-articles", True)],
 )
 def test_names_of_boilerplate(name, marked):
     assert html.is_marked(f'<div class="{name}">') is marked is html.is_marked(f"<p id='{name}' x=1>")
@@ -68,7 +77,7 @@ def test_names_of_boilerplate(name, marked):
 
 def test_body_outside_the_content_elements():
     """Teasers in content elements don't outweigh a body that stands in a div, nor does a list inside an article cut it."""
-    costs = html.learn([PAGE] * 20)
+    costs = learned(*[PAGE] * 20)
     teaser = "<article><h2>Other page</h2><p>five more words of teaser</p></article>"
     body = "<p>one two three four five six seven</p>" * 9
     want = "\n".join(["one two three four five six seven"] * 9)
@@ -85,6 +94,10 @@ def test_body_outside_the_content_elements():
         ("a<svg><svg>x</svg>y</svg>b", "ab"),
         ("<select-box>a</select-box><object-viewer>b</object-viewer><p>c", "a\nb\nc"),
         ("<p>a</p><svg class=i><path d=z><p>b</p>", "a\nb"),
+        ('<img alt="x > y">more <a title="5 > 3" href=u>link</a>', "more link"),
+        ("<a title='it is < 3 > 2' id = \"q>r\">b</a><p>don't</p>", "b\ndon't"),
+        ('<p title="never closed>a</p><p>b "c" d</p>', 'a\nb "c" d'),
+        ("<p title=don't>a</p><p>b</p>", "a\nb"),
         ("<p>a</p><script>var x = 1;<p>b</p>", "a\nb"),
         ("<script src=x/>var x;</script>a<script src='y'/>b<script>z</script>c", "abc"),
         ("<title/>a<p>b", "a\nb"),
@@ -102,6 +115,25 @@ def test_nothing_else_is_dropped(inner, text):
     assert html.extract(f"<article>{inner}</article>", {}) == text
 
 
+def test_pages_without_their_content_tags(spark, sf_dir):
+    """With article and main renamed to div, the method finds what the elements held; the weights come from other pages."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    costs = learned(*(r["html"] for r in rows if r["page_id"] % 2))
+    some = [r["html"] for r in rows if r["page_id"] % 2 == 0]
+    renamed = [re.sub(r"(</?)(?:article|main)\b", r"\1div", p) for p in some]
+    same = [html.extract(a, costs) == html.extract(b, costs) for a, b in zip(some, renamed, strict=True)]
+    assert sum(same) >= 0.95 * len(same)
+
+
+def test_regions_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(400):
+        worth = [rng.choice([-8.0, -1.0, -0.5, 1.0, 2.0, 5.0]) for _ in range(rng.randint(0, 14))]
+        best = max([0.0, *(sum(worth[i:j]) for i in range(len(worth)) for j in range(i + 1, len(worth) + 1))])
+        score, lo, hi = html.region(worth)
+        assert score == best == sum(worth[lo:hi])
+
+
 def test_unclosed_elements_take_linear_time():
     page = "<article>" + "<svg><title><script/><p class=ad>x<p>w" * 20000 + "</article>"
     assert html.extract(page, {}).count("w") == 20000
