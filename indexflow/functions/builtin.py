@@ -67,7 +67,8 @@ class ParseJson:
         text = expect(self.name, args, "text", "Str")
         expect(self.name, args, "language", "Str", optional=True)
         value = F.try_parse_json(text).cast("string")
-        bad = F.when(text.isNotNull() & F.try_parse_json(text).isNull(), F.lit("ParseJson: malformed text"))
+        # a text without a value is malformed, but for JSON's null; value and error share one expression
+        bad = F.when(text.isNotNull() & value.isNull() & ~text.rlike(r"^\s*null\s*$"), F.lit("ParseJson: malformed text"))
         return basic("Json", args["text"][1].nullable), value, bad
 
 
@@ -91,6 +92,11 @@ def hash_embedding(text: str, dim: int) -> list[float]:
     return (v / n if n else v).tolist()
 
 
+def stand_in(dim: int) -> Callable[[list[str]], list[list[float]]]:
+    """A client that gives hash embeddings, for trials and tests."""
+    return lambda texts: [hash_embedding(t, dim) for t in texts]
+
+
 def retried(call: Callable[[], Any], *, tries: int = 10, first: float = 1.0, most: float = 60.0, retry: Callable[[Exception], bool] = lambda _: True) -> Any:
     """Call again after failures, each time after a longer pause."""
     pause = first
@@ -105,7 +111,7 @@ def retried(call: Callable[[], Any], *, tries: int = 10, first: float = 1.0, mos
 
 
 def EmbedText(api_type: str, model: str, *, output_dimension: int | None = None, task_type: str | None = None, address: str | None = None, client: Callable[[list[str]], list[list[float]]] | None = None) -> UserFunction:  # noqa: N802
-    """Text to a vector by a service. ``client`` makes the request; without one the hashing stand-in answers."""
+    """Text to a vector by a service. ``client`` makes a request for several texts; ``stand_in(dim)`` is one that asks no service."""
     kind = api_type.lower()
     if kind not in EMBEDDERS:
         raise ValueError(f"{api_type} has no embeddings")
@@ -116,13 +122,11 @@ def EmbedText(api_type: str, model: str, *, output_dimension: int | None = None,
 
 
 def SentenceTransformerEmbed(model: str, args: dict[str, Any] | None = None, *, output_dimension: int = 384) -> UserFunction:  # noqa: N802
-    """Text to a vector by a local model, loaded once a worker; where the library isn't installed the hashing stand-in answers."""
+    """Text to a vector by a local model, loaded once a worker; where the library isn't installed rows fail."""
+
+    def load() -> Callable[[list[str]], list[list[float]]]:
+        from sentence_transformers import SentenceTransformer
 
-    def load() -> Callable[[list[str]], list[list[float]]] | None:
-        try:
-            from sentence_transformers import SentenceTransformer
-        except ImportError:
-            return None
         own = SentenceTransformer(model, **(args or {}))
         return lambda texts: own.encode(texts).tolist()
 
@@ -132,14 +136,18 @@ def SentenceTransformerEmbed(model: str, args: dict[str, Any] | None = None, *,
 def _embedder(name: str, spec: dict[str, Any], dim: int, client: Any, load: Callable[[], Any] | None = None) -> UserFunction:
     from indexflow.types import Float32, Vector
 
-    def ready() -> Callable[[str], list[float]]:
+    def ready() -> Callable[[list[str]], list[list[float]]]:
         ask = load() if load else client
-        return lambda text: retried(lambda: ask([text])[0]) if ask else hash_embedding(text, dim)
+        if ask is None:
+            raise RuntimeError(f"{name}: no client is set")
+        return lambda texts: retried(lambda: ask(texts))
 
     def embed(text: str) -> Vector[Float32, dim]:
-        return ready()(text)
+        return ready()([text])[0]
 
-    return UserFunction(name, embed, inspect.signature(embed), {"text": str}, Vector[Float32, dim], True, 1, load is not None, (ArgRelationship.EMBEDDING_ORIGIN_TEXT, "text"), ready, spec)
+    if load is None and client is None:
+        raise ValueError(f"{name} needs a client; stand_in(dim) is one for trials")
+    return UserFunction(name, embed, inspect.signature(embed), {"text": str}, Vector[Float32, dim], True, 1, load is not None, (ArgRelationship.EMBEDDING_ORIGIN_TEXT, "text"), ready, spec, waits=load is None, many=True)
 
 
 @dataclass(frozen=True)
@@ -172,7 +180,7 @@ def ExtractByLlm(llm_spec: LlmSpec, output_type: Any, instruction: str | None =
         answer = json.loads(retried(lambda: ask(request)))
         return from_json(answer["value"] if wrapped else answer, want)
 
-    return UserFunction("ExtractByLlm", extract, inspect.signature(extract), {"text": str | None, "image": bytes | None}, output_type, True, 1, spec={"api_type": llm_spec.api_type, "model": llm_spec.model, "address": llm_spec.address, "instruction": instruction, "schema": schema})
+    return UserFunction("ExtractByLlm", extract, inspect.signature(extract), {"text": str | None, "image": bytes | None}, output_type, True, 1, spec={"api_type": llm_spec.api_type, "model": llm_spec.model, "address": llm_spec.address, "instruction": instruction, "schema": schema}, waits=True)
 
 
 #: Fixed leading bytes of image formats.

@@ -8,6 +8,7 @@ import threading
 import typing
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from enum import Enum
 from typing import Any
@@ -24,6 +25,8 @@ from indexflow.types import FieldType, accepts, field_type
 
 #: One call at a time for functions that use a GPU, in each worker.
 GPU = threading.Lock()
+#: Calls of a function that waits for a service that a worker has under way at once, and values of one request.
+CONCURRENT, REQUEST = 16, 64
 _EXECUTORS: dict[str, Any] = {}
 
 
@@ -90,6 +93,10 @@ class UserFunction:
     relationship: tuple[ArgRelationship, str] | None = None
     prepare: Callable[[], Callable[..., Any]] | None = None
     spec: Any = None
+    #: Calls wait for a service: a worker makes several at once.
+    waits: bool = False
+    #: The executor takes lists of its one argument and gives lists of results.
+    many: bool = False
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self):
@@ -129,32 +136,77 @@ class UserFunction:
         call, prepare, token, gpu = self.call, self.prepare, self.token, self.gpu
         python = {n: field_type(self.hints[n.split(".")[0]]) if n.split(".")[0] in self.hints else t for n, t in types.items()}
 
-        def one(run: Callable[..., Any], values: dict[str, Any]) -> dict[str, Any]:
+        waits, many = self.waits, self.many
+
+        def failed(bad: Exception) -> dict[str, Any]:
+            return {"value": None, "error": f"{type(bad).__name__}: {bad}"[:2000]}
+
+        def kept(got: Any) -> dict[str, Any]:
+            if got is None and not out.nullable:
+                raise ValueError("the result must not be null")
+            return {"value": to_row(got, out), "error": None}
+
+        def one(run: Callable[..., Any], values: dict[str, Any]) -> Any:
+            """A row's result, or what to await for it. A row's failure is kept with the row."""
             try:
                 if any(values[n] is None for n in required):
                     return {"value": None, "error": None}
                 decoded = {n: from_row(v, python[n]) for n, v in values.items()}
                 spread = [v for n, v in decoded.items() if "." in n]
                 named = {n: v for n, v in decoded.items() if "." not in n}
-                if spread:
-                    got = run(*named.values(), *spread)
-                else:
-                    got = run(**named)
-                if inspect.isawaitable(got):
-                    got = asyncio.run(_wait(got))
-                if got is None and not out.nullable:
-                    raise ValueError("the result must not be null")
-                return {"value": to_row(got, out), "error": None}
-            except Exception as bad:  # a row's failure is kept with the row
-                return {"value": None, "error": f"{type(bad).__name__}: {bad}"[:2000]}
+                got = run(*named.values(), *spread) if spread else run(**named)
+                return awaited(got) if inspect.isawaitable(got) else kept(got)
+            except Exception as bad:
+                return failed(bad)
 
-        def batch(*columns: pa.Array) -> pa.Array:
+        async def awaited(got: Any) -> dict[str, Any]:
+            try:
+                return kept(await got)
+            except Exception as bad:
+                return failed(bad)
+
+        def requests(run: Callable[[list], list], rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
+            """Results of rows asked for together; where a request fails its rows are asked for one by one."""
+            (name,), made = names, [{"value": None, "error": None} for _ in rows]
+            asked = [i for i, r in enumerate(rows) if r[name] is not None or name not in required]
+
+            def ask(part: list[int]) -> None:
+                try:
+                    got = run([from_row(rows[i][name], python[name]) for i in part])
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(part)} values got {len(got)} results")
+                    made_now = [kept(g) for g in got]
+                except Exception as bad:
+                    if len(part) == 1:
+                        made[part[0]] = failed(bad)
+                    else:
+                        for i in part:
+                            ask([i])
+                    return
+                for i, m in zip(part, made_now, strict=True):
+                    made[i] = m
+
+            with ThreadPoolExecutor(CONCURRENT if waits else 1) as pool:
+                list(pool.map(ask, [asked[i : i + REQUEST] for i in range(0, len(asked), REQUEST)]))
+            return made
+
+        def results(rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
             run = call if prepare is None else ready_executor(token, prepare)
-            rows = zip(*(c.to_pylist() for c in columns), strict=True)
+            if many:
+                return requests(run, rows)
+            if waits:
+                with ThreadPoolExecutor(CONCURRENT) as pool:
+                    made = list(pool.map(lambda r: one(run, r), rows))
+            else:
+                made = [one(run, r) for r in rows]
+            return asyncio.run(_gather(made)) if any(inspect.isawaitable(m) for m in made) else made
+
+        def batch(*columns: pa.Array) -> pa.Array:
+            rows = [dict(zip(names, r, strict=True)) for r in zip(*(c.to_pylist() for c in columns), strict=True)]
             if gpu:
                 with in_turn():
-                    return pa.array([one(run, dict(zip(names, r, strict=True))) for r in rows], arrow)
-            return pa.array([one(run, dict(zip(names, r, strict=True))) for r in rows], arrow)
+                    return pa.array(results(rows), arrow)
+            return pa.array(results(rows), arrow)
 
         return out, F.arrow_udf(batch, inner)(*(c for c, _ in args.values()))
 
@@ -163,6 +215,19 @@ async def _wait(got: Any) -> Any:
     return await got
 
 
+async def _gather(made: list[Any]) -> list[Any]:
+    """Results in order, no more than CONCURRENT of those to await under way at once."""
+    room = asyncio.Semaphore(CONCURRENT)
+
+    async def take(m: Any) -> Any:
+        if not inspect.isawaitable(m):
+            return m
+        async with room:
+            return await m
+
+    return list(await asyncio.gather(*map(take, made)))
+
+
 def _hints(f: Callable[..., Any], skip: tuple[str, ...] = ()) -> tuple[inspect.Signature, dict[str, Any], Any]:
     hints = typing.get_type_hints(f, include_extras=True)
     signature = inspect.signature(f)

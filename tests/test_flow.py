@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from indexflow import cli, service
 from indexflow import flow as flows
-from indexflow.functions.builtin import EmbedText, ExtractByLlm, LlmSpec, ParseJson, SplitRecursively
+from indexflow.functions.builtin import EmbedText, ExtractByLlm, LlmSpec, ParseJson, SplitRecursively, stand_in
 from indexflow.functions.udf import executor_class, function
 from indexflow.operators.graph import DeclaredNode, NodeFromFields, Nodes, Relationships, TargetFieldMapping
 from indexflow.plans.builder import DataSlice, FlowBuilder, FlowError, GeneratedField, transform_flow
@@ -277,6 +277,46 @@ def test_definition_errors(spark):
         out.collect(id=1, v=[1.0])
 
 
+def test_model_calls_are_batched_and_overlap(spark, tmp_path):
+    import asyncio
+    import time
+
+    log = str(tmp_path / "log")
+
+    def client(texts):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [[float(len(t))] for t in texts]
+
+    @function()
+    async def slow(text: str) -> str:
+        await asyncio.sleep(0.3)
+        if text == "bad":
+            raise ValueError("no")
+        return text + "!"
+
+    embed = EmbedText("openai", "m", output_dimension=1, client=client)
+    embed = dataclasses.replace(embed, prepare=lambda: client)  # without pauses after failures
+    rows = [(i, "bad" if i == 70 else "t" * (i % 5)) for i in range(150)] + [(150, None)]
+    b = FlowBuilder(spark)
+    b.scope["d"] = b.add_source(TableSource(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id"))
+    with b.scope["d"].row() as d:
+        d["e"] = d["text"].transform(embed)
+        d["s"] = d["text"].transform(slow)
+        c = b.scope.add_collector()
+        c.collect(id=d["id"], e=d["e"], s=d["s"])
+    began = time.monotonic()
+    got = {r["id"]: r for r in c.rows.collect()}
+    assert time.monotonic() - began < 30  # one after the other they take 45 s and more
+    assert "refused" in got[70]["__err"] and got[150]["e"] is None and all(list(got[i]["e"]) == [i % 5.0] and got[i]["s"].endswith("!") for i in range(150) if i != 70)
+    sizes = [int(x) for x in open(log)]
+    assert max(sizes) > 8 and sum(sizes) <= 300
+    with pytest.raises(ValueError):
+        EmbedText("openai", "m", output_dimension=4)
+
+
 def test_functions_of_all_forms(spark):
     @function()
     async def later(text: str, *more: str) -> str:
@@ -301,7 +341,7 @@ def test_functions_of_all_forms(spark):
     with b.scope["d"].row() as d:
         d["x"] = d["text"].transform(later, "y", "z")
         d["n"] = d["text"].transform(Adder(by=5))
-        d["e"] = d["text"].transform(EmbedText("openai", "m", output_dimension=4))
+        d["e"] = d["text"].transform(EmbedText("openai", "m", output_dimension=4, client=stand_in(4)))
         d["l"] = d["text"].transform(ExtractByLlm(LlmSpec("openai", "m", client=lambda request: json.dumps({"word": request["text"], "n": 2})), Word))
         c = b.scope.add_collector()
         c.collect(id=d["id"], x=d["x"], n=d["n"], e=d["e"], w=d["l"]["word"])
