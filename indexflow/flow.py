@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import concurrent.futures
+import json
 import os
 import re
 import threading
 import urllib.parse
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from indexflow.operators import graph
@@ -19,6 +21,7 @@ from indexflow.plans.builder import ERR, KEY, SRC, FlowBuilder, FlowError, sourc
 from indexflow.plans.state import BUCKETS, FlowState
 from indexflow.plans.update import UpdateStats, row_status, run_update, target_name
 from indexflow.setup import Change, Step, commit_setup, plan_setup, stage_setup
+from indexflow.sources.base import open_root
 
 
 @dataclass
@@ -260,12 +263,11 @@ class Flow:
         return {e.name: [r.asDict(True) for r in e.collector.rows.drop("__place", "__op").collect()] for e in made.exports.values()}
 
     def evaluate_and_dump(self, options: EvaluateAndDumpOptions) -> int:
-        """Write what each source row produces as one YAML file under ``output_dir`` (any file system), in key order. Returns the number of files.
+        """Write what each source row produces as one YAML file under ``output_dir``, in key order, and return the number of files.
 
-        Rows are grouped on the executors; the driver writes the files one by one.
+        Rows are grouped and written on the executors, through the file system of the folder's URI. Names that
+        are cut to the same 128 characters get numbers in order of their keys.
         """
-        import yaml
-
         b = self.builder()
         frames = []
         for e in b.exports.values():
@@ -277,24 +279,34 @@ class Flow:
         for f in frames[1:]:
             every = every.unionByName(f)
         grouped = every.groupBy("src", "skey", "export").agg(F.sort_array(F.collect_list("item")).alias("items"), F.min("error").alias("error"))
-        grouped = grouped.groupBy("src", "skey").agg(F.collect_list(F.struct("export", "items", "error")).alias("exports")).orderBy("src", "skey")
-        import json
-
-        fs_path = session()._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(options.output_dir).getFileSystem(session()._jsc.hadoopConfiguration())
-        used: dict[str, int] = {}
-        for r in grouped.toLocalIterator():
-            parts = [str(v) for v in json.loads(r["skey"]).values()]
-            name = f"{r['src']}@{':'.join(urllib.parse.quote(p, safe='') for p in parts)}"[:128]
-            used[name] = used.get(name, -1) + 1
-            name += f".{used[name]}" if used[name] else ""
-            errors = [x["error"] for x in r["exports"] if x["error"]]
-            data: dict[str, Any] = {"source": r["src"], "key": json.loads(r["skey"])}
-            data |= {"error": errors[0]} if errors else {"exports": {x["export"]: [json.loads(i["row"]) for i in x["items"]] for x in sorted(r["exports"], key=lambda x: x["export"])}}
-            out = fs.create(fs_path(f"{options.output_dir}/{name}.yaml"), True)
-            out.write(bytearray(yaml.safe_dump(data, allow_unicode=True, sort_keys=False).encode()))
-            out.close()
-        return sum(n + 1 for n in used.values())
+        grouped = grouped.groupBy("src", "skey").agg(F.sort_array(F.collect_list(F.struct("export", F.col("items.row").alias("rows"), "error"))).alias("exports"))
+
+        def file_names(src: pa.Array, skey: pa.Array) -> pa.Array:
+            parts = lambda key: ":".join(urllib.parse.quote(str(v), safe="") for v in json.loads(key).values())
+            return pa.array([f"{s}@{parts(k)}"[:128] for s, k in zip(src.to_pylist(), skey.to_pylist(), strict=True)], pa.string())
+
+        named = grouped.withColumn("name", F.arrow_udf(file_names, "string")("src", "skey"))
+        named = named.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("src", "skey"))).drop("src")
+        root = options.output_dir
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import yaml
+
+            system, folder = open_root(root)
+            system.create_dir(folder, recursive=True)
+            done = 0
+            for batch in batches:
+                for r in batch.to_pylist():
+                    errors = [x["error"] for x in r["exports"] if x["error"]]
+                    data: dict[str, Any] = {"source": r["name"].split("@", 1)[0], "key": json.loads(r["skey"])}
+                    data |= {"error": errors[0]} if errors else {"exports": {x["export"]: [json.loads(i) for i in x["rows"]] for x in r["exports"]}}
+                    name = r["name"] + (f".{r['nth'] - 1}" if r["nth"] > 1 else "")
+                    with system.open_output_stream(f"{folder}/{name}.yaml", compression=None) as out:
+                        out.write(yaml.safe_dump(data, allow_unicode=True, sort_keys=False).encode())
+                    done += 1
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+
+        return named.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def describe_steps(steps: dict[str, Step]) -> str:

@@ -18,7 +18,7 @@ from indexflow.plans.update import SourceStats, UpdateStats
 
 
 log = logging.getLogger(__name__)
-#: Seconds between tries when a change stream fails.
+#: Seconds between tries when an update or a change stream fails.
 FIRST_PAUSE, LONGEST_PAUSE = 5.0, 60.0
 
 
@@ -68,28 +68,19 @@ class FlowLiveUpdater:
 
     def _run(self, task: _Task) -> None:
         try:
-            self._pass(task)
-            if task.stream is not None:
-                self._queries.append(task.stream.writeStream.foreachBatch(lambda df, _: self._pass(task) if not df.isEmpty() else None).start())
+            live = bool(task.every or task.wait_for or task.stream is not None)
+            self._lasting(lambda: self._pass(task), task, live)
             due = time.monotonic()
             while task.every and not self._stop.is_set():
                 due = max(due + task.every, time.monotonic())
                 if self._stop.wait(max(0, due - time.monotonic())):
                     break
-                self._pass(task)
-            pause = FIRST_PAUSE
+                self._lasting(lambda: self._pass(task), task)
             while task.wait_for is not None and not self._stop.is_set():
-                try:
-                    task.wait_for(lambda: self._pass(task))
-                    pause = FIRST_PAUSE
-                except Exception as bad:
-                    # the news isn't confirmed: it comes again
-                    log.warning("changes of %s: %s", task.source, bad)
-                    self._stop.wait(pause)
-                    pause = min(LONGEST_PAUSE, 2 * pause)
-            while task.stream is not None and not task.every and self._queries and not self._stop.wait(0.5):
-                if not any(q.isActive for q in self._queries):
-                    break
+                # after a failure the news isn't confirmed: it comes again
+                self._lasting(lambda: task.wait_for(lambda: self._pass(task)), task)
+            while task.stream is not None and not task.every and not self._stop.is_set():
+                self._lasting(lambda: self._follow(task), task)
         except Exception as bad:
             self._errors.append(bad)
         finally:
@@ -97,6 +88,33 @@ class FlowLiveUpdater:
                 task.active = False
                 self._news.notify_all()
 
+    def _lasting(self, work: Any, task: _Task, live: bool = True) -> None:
+        """Do the work, again after ever longer pauses where it fails and the source is live."""
+        pause = FIRST_PAUSE
+        while not self._stop.is_set():
+            try:
+                work()
+                return
+            except Exception as bad:
+                if not live:
+                    raise
+                log.warning("changes of %s: %s", task.source, bad)
+                self._stop.wait(pause)
+                pause = min(LONGEST_PAUSE, 2 * pause)
+
+    def _follow(self, task: _Task) -> None:
+        """Run the change stream from where its checkpoint says until it fails or all is stopped."""
+        stream = self.flow.builder().sources[task.source][0].change_stream(session())
+        place = f"{self.flow.state.root}/streams/{task.source}"
+        query = stream.writeStream.option("checkpointLocation", place).foreachBatch(lambda df, _: self._pass(task) if not df.isEmpty() else None).start()
+        self._queries.append(query)
+        while not self._stop.wait(0.5):
+            if not query.isActive:
+                self._queries.remove(query)
+                if query.exception():
+                    raise query.exception()
+                return
+
     def _pass(self, task: _Task) -> None:
         stats: UpdateStats = self.flow.update_async(only={task.source}).result() if len(self._tasks) == 1 else self.flow.update()
         with self._news:

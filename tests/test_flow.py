@@ -487,3 +487,30 @@ def test_announced_changes_and_new_files_reach_targets(spark, app, tmp_path):
             if f.table("words").count() == 3:
                 break
     assert f.table("words").count() == 3
+
+
+def test_live_sources_outlast_failures(spark, app, monkeypatch):
+    import datetime
+
+    from indexflow.streaming import live as streaming
+
+    monkeypatch.setattr(streaming, "FIRST_PAUSE", 0.1)
+    calls = []
+
+    def rows():
+        calls.append(1)
+        if len(calls) in (2, 3):  # the first pass fails after the sources were looked at, and the next at once
+            raise OSError("unreachable")
+        return spark.createDataFrame([(1, "a", len(calls))], "id long, text string, at long")
+
+    def define(b, s):
+        s["docs"] = b.add_source(TableSource(rows(), "id", "at"), name="docs", refresh_interval=datetime.timedelta(seconds=1))
+        out = s.add_collector()
+        with s["docs"].row() as d:
+            out.collect(id=d["id"], word=d["text"])
+        out.export("words", Table(), primary_key_fields=["id"])
+
+    f = app.add_flow_def("flaky", define)
+    with FlowLiveUpdater(f) as live:
+        assert live.next_status_updates(120).updated_sources == ["docs"]
+    assert f.table("words").count() == 1 and len(calls) > 4
