@@ -198,15 +198,24 @@ def image_mime(data: bytes) -> str:
 
 @dataclass(frozen=True)
 class ColumnFunction:
-    """Any Spark expression as a function: ``call`` takes columns, ``returns`` is an annotation or a field type."""
+    """Any Spark expression as a function: ``call`` takes columns, ``returns`` is an annotation or a field type.
+
+    A flow's logic knows it by its name, type and ``behavior_version``, which should rise when the expression changes.
+    """
 
     call: Callable[..., Column]
     returns: Any
     name: str = "ColumnFunction"
     parameters: tuple[str, ...] | None = None
     takes: tuple[FieldType, ...] | None = None
+    behavior_version: int | None = None
     relationship = None
 
+    @property
+    def spec(self) -> dict[str, Any]:
+        out = self.returns if isinstance(self.returns, FieldType) else field_type(self.returns)
+        return {"name": self.name, "returns": out.describe()}
+
     def column(self, args: Args) -> tuple[FieldType, Column, Column | None]:
         for want, (n, (_, got)) in zip(self.takes or (), args.items(), strict=False):
             if not accepts(want, got):

@@ -1,36 +1,40 @@
 """Queries over the driver tables, one per operator, with the same in SQL.
 
-Each goes through the operator or flow that it is named for, but for graph_relationships and graph_degree, which are a
-projection and an aggregation of rows and don't touch mappings, ends or labels of relationships; none takes part of a table only, but where that is the feature.
+Each goes through the operator or flow that it is named for, but for graph_degree, which is an aggregation of rows and
+doesn't touch mappings, ends or labels of relationships; none takes part of a table only, but where that is the feature.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from indexflow import codec
+from indexflow import flow as flows
 from indexflow.duration import parse_micros
 from indexflow.fingerprint import row_fingerprint
 from indexflow.functions.builtin import ColumnFunction, ParseJson, SplitRecursively
 from indexflow.functions.chunker import CustomLanguage, split_column
-from indexflow.functions.udf import function
+from indexflow.functions.udf import executor_class, function
 from indexflow.operators import changes, graph, memo, merge, vector
-from indexflow.operators.graph import NodeFromFields, TargetFieldMapping
-from indexflow.plans.builder import ERR, FlowBuilder, GeneratedField
+from indexflow.operators.graph import DeclaredNode, NodeFromFields, Nodes, Relationships, TargetFieldMapping
+from indexflow.plans.builder import ERR, DataSlice, FlowBuilder, GeneratedField, transform_flow
 from indexflow.plans.state import FlowState
 from indexflow.plans.update import row_status as status_of
 from indexflow.plans.update import run_update, target_name
 from indexflow.setup import Combined, TableState, diff
-from indexflow.sources.base import TableSource
+from indexflow.sources.base import FileSource, LocalFile, TableSource, open_root
 from indexflow.sources.globs import matches
 from indexflow.streaming.live import upsert_stream
-from indexflow.targets import Table, VectorCollection
+from indexflow.targets import Graph, Table, VectorCollection
 from indexflow.types import Float32, Vector, basic, field_type
 from indexflow.types import table as table_type
 
@@ -57,7 +61,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared one; a temporary folder only where that isn't set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='indexflow-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='indexflow-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -110,9 +118,40 @@ def source_glob_excluded_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.where(matches(F.col("path"), None, ["*.net", "*/fr"]))
 
 
-@query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://www.')")
+def page_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with every page in a file of its own, some of them hidden ones, written by the executors."""
+    root = scratch(spark, "files")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_root(root)
+        for batch in batches:
+            for i, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{base}/d{i % 5}/.h{i % 3}"
+                system.create_dir(folder, recursive=True)
+                with system.open_output_stream(f"{folder}/{'_' if i % 2 else ''}{i}.html") as out:
+                    out.write((html or "").encode())
+            yield batch.slice(0, 0)
+
+    table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(write, "page_id long, html string").count()
+    return root
+
+
+FILES_SQL = "(SELECT 'd' || CAST(page_id % 5 AS VARCHAR) || '/.h' || CAST(page_id % 3 AS VARCHAR) || '/' || CASE WHEN page_id % 2 = 1 THEN '_' ELSE '' END || CAST(page_id AS VARCHAR) || '.html' AS filename, md5(coalesce(html, '')) AS content_md5 FROM pages)"
+
+
+@query(f"SELECT filename, content_md5 FROM {FILES_SQL} WHERE filename NOT LIKE 'd4/%' AND filename NOT LIKE '%7.html'")
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = FlowBuilder(spark, "files")
+    b.scope["files"] = b.add_source(LocalFile(page_files(spark, sf_dir), included_patterns=["**/*.html"], excluded_patterns=["d4", "**/*7.html"]))
+    with b.scope["files"].row() as f:
+        f["md5"] = f["content"].transform(expr(F.md5, str, "Digest"))
+        return collected(b, filename=f["filename"], content_md5=f["md5"])
+
+
+@query(f"SELECT filename, content_md5 FROM {FILES_SQL} WHERE starts_with(filename, 'd3/.h')")
 def source_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where(F.col("url").startswith("https://www.")).select("page_id", "url")
+    files = FileSource(page_files(spark, sf_dir), prefix="d3/.h", prune=False).read(spark)
+    return files.select("filename", F.md5("content").alias("content_md5"))
 
 
 @query("SELECT c_custkey, c_name, 'fixed' AS tag, CAST(7 AS BIGINT) AS n FROM customer")
@@ -177,6 +216,40 @@ def transform_udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(b, doc_id=d["doc_id"], n_e=d["n"])
 
 
+@dataclasses.dataclass
+class Letter:
+    letter: str
+
+
+@query("SELECT doc_id, CAST(length(text) - length(replace(text, 'a', '')) AS BIGINT) AS n_a FROM documents")
+def transform_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @executor_class()
+    class CountLetter:
+        spec: Letter
+
+        def prepare(self):
+            self.ready = self.spec.letter
+
+        def __call__(self, text: str) -> int:
+            return text.count(self.ready)
+
+    b, d = flow(spark, sf_dir, "documents", "doc_id")
+    d["n"] = d["text"].transform(CountLetter(letter="a"))
+    return collected(b, doc_id=d["doc_id"], n_a=d["n"])
+
+
+@query("SELECT c_custkey, upper(c_name) || '!' AS loud FROM customer")
+def transform_subflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @transform_flow()
+    def shout(text: DataSlice[str]) -> Any:
+        upper = text.transform(expr(F.upper, str, "Upper"))
+        return upper.transform(expr(lambda c: F.concat(c, F.lit("!")), str, "Exclaim"))
+
+    b, c = flow(spark, sf_dir, "customer", "c_custkey")
+    c["loud"] = c["c_name"].transform(shout)
+    return collected(b, c_custkey=c["c_custkey"], loud=c["loud"])
+
+
 @dataclasses.dataclass
 class UrlParts:
     scheme: str
@@ -344,8 +417,13 @@ class Customer:
 def type_json_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = field_type(Customer)
     df = table(spark, sf_dir, "customer").select("c_custkey", F.struct(*(n for n, _ in t.fields)).alias("row"))
-    back = F.from_json(F.to_json("row"), t.spark)
-    return df.select("c_custkey", (back == F.col("row")).alias("same"))
+
+    def same(rows: pa.Array) -> pa.Array:
+        values = [codec.from_row(r, t) for r in rows.to_pylist()]
+        back = [codec.from_json(json.loads(json.dumps(codec.to_json(v, t))), t) for v in values]
+        return pa.array([isinstance(b, Customer) and b == v and codec.to_row(b, t) == r for b, v, r in zip(back, values, rows.to_pylist(), strict=True)], pa.bool_())
+
+    return df.select("c_custkey", F.arrow_udf(same, "boolean")("row").alias("same"))
 
 
 @query("WITH l AS (SELECT doc_id, line_no, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS e, length(line) AS n FROM " + LINES_SQL + ") SELECT doc_id, CAST(count(*) AS BIGINT) AS n_overlapping FROM l WHERE e - n - 1 < 200 AND e - 1 > 100 GROUP BY doc_id")
@@ -444,10 +522,43 @@ def upsert_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT count(*) FILTER (class = 'DELETE') AS n_delete, count(*) FILTER (class = 'NO_CHANGE') AS n_no_change, count(*) FILTER (class = 'PROCESS') AS n_process FROM ({CHANGES_SQL})")
-def update_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.count_classes(_changes(spark, sf_dir))
 
 
+STATS_SQL = """
+WITH c AS (SELECT c_custkey AS k, c_custkey % 4 <> 0 AS before, c_custkey % 5 <> 0 AS after, c_custkey % 3 = 0 AS changed FROM customer)
+SELECT 1 AS step, 0 AS no_change, count(*) FILTER (before) AS insertions, 0 AS deletions, 0 AS updates, 0 AS reprocesses FROM c
+UNION ALL SELECT 2, count(*) FILTER (before AND after AND NOT changed), count(*) FILTER (after AND NOT before), count(*) FILTER (before AND NOT after), count(*) FILTER (before AND after AND changed), 0 FROM c
+UNION ALL SELECT 3, count(*) FILTER (after), 0, 0, 0, 0 FROM c
+UNION ALL SELECT 4, 0, 0, 0, 0, count(*) FILTER (after) FROM c
+"""
+
+
+@query(STATS_SQL)
+def update_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What four updates say that they did: a first one, one with changes, one with newer ordinals of the same contents, one with another logic."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    changed = F.col("c_custkey") % 3 == 0
+    first = customers.where("c_custkey % 4 <> 0").withColumn("at", F.lit(1))
+    second = customers.where("c_custkey % 5 <> 0").withColumn("c_name", F.when(changed, F.upper("c_name")).otherwise(F.col("c_name"))).withColumn("at", F.when(changed, 2).otherwise(1))
+    state = FlowState(spark, scratch(spark, "stats"))
+    out = []
+    for step, rows, tag in ((1, first, "a"), (2, second, "a"), (3, second.withColumn("at", F.lit(7)), "a"), (4, second.withColumn("at", F.lit(7)), "b")):
+
+        def define(b: FlowBuilder, rows: DataFrame = rows, tag: str = tag) -> None:
+            b.scope["customers"] = b.add_source(TableSource(rows, "c_custkey", "at"), name="customers")
+            c = b.scope.add_collector()
+            with b.scope["customers"].row() as r:
+                r["tagged"] = r["c_name"].transform(expr(lambda n: F.concat(n, F.lit(tag)), str, f"Tag{tag}"))
+                c.collect(c_custkey=r["c_custkey"], name=r["tagged"])
+            c.export("names", Table(), primary_key_fields=["c_custkey"])
+
+        n = run_update(spark, define, state, "customers").sources["customers"]
+        out.append((step, n.no_change, n.insertions, n.deletions, n.updates, n.reprocesses))
+    return spark.createDataFrame(out, "step int, no_change long, insertions long, deletions long, updates long, reprocesses long")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT text) AS BIGINT) AS n_computed, CAST(sum(length(text)) AS BIGINT) AS total FROM documents")
 def memo_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -535,14 +646,37 @@ def flow_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@query("SELECT 'order#' || CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, o_orderkey % 2 = 0 AS self_contained FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def graph_flow(spark: SparkSession, sf_dir: str, versions: list[str]) -> flows.Flow:
+    """A flow that exports even orders as nodes and those divisible by 3 as relationships from customers, after updates in which the rows are those that a condition keeps."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce("o_custkey", F.lit(-1)).alias("o_custkey"), F.coalesce(F.concat(F.lit("order#"), F.col("o_orderkey").cast("string")), F.lit("")).alias("name"), F.col("o_orderstatus").alias("status"))
+    flows.init(spark, flows.Settings(scratch(spark, "graph")))
+    now = [versions[0]]
+
+    def define(b: FlowBuilder, s: Any) -> None:
+        rows = orders.where(now[0])
+        s["even"] = b.add_source(TableSource(rows.where("o_orderkey % 2 = 0"), "o_orderkey"), name="even")
+        s["third"] = b.add_source(TableSource(rows.where("o_orderkey % 3 = 0"), "o_orderkey"), name="third")
+        nodes, rels = s.add_collector(), s.add_collector()
+        with s["even"].row() as o:
+            nodes.collect(name=o["name"], status=o["status"])
+        with s["third"].row() as o:
+            rels.collect(o_orderkey=o["o_orderkey"], custkey=o["o_custkey"], order_name=o["name"], o_orderstatus=o["status"])
+        nodes.export("orders", Graph(Nodes("Order")), primary_key_fields=["name"])
+        ends = NodeFromFields("Customer", (TargetFieldMapping("custkey"),)), NodeFromFields("Order", (TargetFieldMapping("order_name", "name"),))
+        rels.export("ordered", Graph(Relationships("ORDERED", *ends)), primary_key_fields=["o_orderkey"])
+        b.declare(DeclaredNode("Customer", ("custkey",)))
+
+    made = flows.Flow("graph", define)
+    for condition in versions:
+        now[0] = condition
+        made.update()
+    return made
+
+
+@query("SELECT 'order#' || CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, o_orderkey % 2 = 0 AS self_contained FROM orders WHERE (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 5 <> 0")
 def flow_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that rows export or that relationships mention, after an update of both exports."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("order#"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderstatus").alias("status"))
-    end = NodeFromFields("Order", (TargetFieldMapping("name"),))
-    exported = orders.where("o_orderkey % 2 = 0")
-    mentioned = graph.end_rows(orders.where("o_orderkey % 3 = 0"), end, ["o_orderkey"])
-    return graph.nodes(["name"], exported.select("name", "status"), [mentioned], ["status"])
+    """Nodes that rows export or that relationships mention, after an update that takes rows of both away."""
+    return graph_flow(spark, sf_dir, ["true", "o_orderkey % 5 <> 0"]).graph_nodes("Order")
 
 
 # graphs
@@ -556,9 +690,15 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes(["nation"], exported, [mentioned], [])
 
 
-@query("SELECT o_orderkey, o_custkey AS source_custkey, o_orderkey AS target_orderkey, o_orderstatus FROM orders")
+@query("SELECT o_orderkey, o_custkey AS source_custkey, 'order#' || CAST(o_orderkey AS VARCHAR) AS target_name, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0")
 def graph_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("source_custkey"), F.col("o_orderkey").alias("target_orderkey"), "o_orderstatus")
+    return graph_flow(spark, sf_dir, ["true"]).graph_relationships("ORDERED")
+
+
+@query("SELECT DISTINCT o_custkey AS custkey, false AS self_contained FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0")
+def graph_orphans_after_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared nodes that relationships end in, after an update that takes relationships away."""
+    return graph_flow(spark, sf_dir, ["true", "o_orderkey % 5 <> 0"]).graph_nodes("Customer")
 
 
 @query("SELECT p_brand AS brand, arg_min(p_type, p_partkey) AS type, false AS self_contained FROM part GROUP BY p_brand")
@@ -653,11 +793,21 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"))
 
 
-@query("SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS n, doc_id, md5(text) AS text_md5 FROM documents")
-def dump_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, d = flow(spark, sf_dir, "documents", "doc_id")
-    rows = collected(b, source=d["source"], doc_id=d["doc_id"], text=d["text"])
-    return rows.select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("n"), "doc_id", F.md5("text").alias("text_md5"))
+@query("SELECT 'customers@' || CAST(c_custkey AS VARCHAR) || '.yaml' AS filename, c_name AS name FROM customer")
+def dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What evaluate_and_dump writes for every source row."""
+    root = scratch(spark, "dump")
+    flows.init(spark, flows.Settings(f"{root}/state"))
+
+    def define(b: FlowBuilder, s: Any) -> None:
+        s["customers"] = b.add_source(TableSource(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey"), name="customers")
+        c = s.add_collector()
+        with s["customers"].row() as r:
+            c.collect(c_custkey=r["c_custkey"], name=r["c_name"])
+        c.export("names", Table(), primary_key_fields=["c_custkey"])
+
+    flows.Flow("dumped", define).evaluate_and_dump(flows.EvaluateAndDumpOptions(f"{root}/out"))
+    return FileSource(f"{root}/out").read(spark).select("filename", F.regexp_extract("content", r"name: (\S+)", 1).alias("name"))
 
 
 def queries() -> dict[str, Query]:

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from indexflow.fingerprint import row_fingerprint
 from indexflow.operators.changes import DELETE, NO_CHANGE, PROCESS, detect_changes, outcome
 from indexflow.operators.memo import Memo
 from indexflow.operators.merge import last_writer
-from indexflow.plans.builder import ERR, KEY, PLACE, SRC, FlowBuilder, source_key
+from indexflow.plans.builder import ERR, KEY, PLACE, SRC, Export, FlowBuilder, source_key
 from indexflow.plans.state import FlowState
 
 TRACKING = "__src string, __skey string, ordinal long, logic string, __content string, run long, at_micros long"
@@ -148,9 +150,7 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     own = ["__src", "__skey"]
     processed, bumps = union(done, TRACKING), union(bumped, TRACKING)
     touched = state.stage(processed.select(*own).unionByName(union(gone, "__src string, __skey string")), "touched")
-    state.rewrite(manifest, "tracking", touched.unionByName(bumps.select(*own)), own, processed.unionByName(bumps), "__skey")
-
-    for e in builder.exports.values():
+    def save_export(e: Export) -> None:
         by_source, by_target = f"keys.{e.name}", f"owners.{e.name}"
         good = produced[e.name].where(F.col(ERR).isNull()).join(failed, own, "left_anti")
         fresh = state.stage(good.select("__tkey", "__print", *own), "fresh")
@@ -167,19 +167,25 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
         fields = [n for n, _ in (e.key + e.values)]
         rows = rows.select("__tkey", "__print", *(f"`{f}`" for f in fields))
         old = state.table(manifest, target_name(e.name), set())
-        # a target of another form is written anew
-        if old is None or [f.simpleString() for f in old.schema] != [f.simpleString() for f in rows.drop("__print").schema]:
-            state.replace(manifest, target_name(e.name), rows.drop("__print"), "__tkey")
-        else:
+
+        def save_target() -> None:
+            # a target of another form is written anew
+            if old is None or [f.simpleString() for f in old.schema] != [f.simpleString() for f in rows.drop("__print").schema]:
+                state.replace(manifest, target_name(e.name), rows.drop("__print"), "__tkey")
+                return
             changed = rows.join(owners.select("__tkey", "__print").distinct(), ["__tkey", "__print"], "left_anti").drop("__print")
             changed = state.stage(changed, "upserts")
             dead = affected.join(live, "__tkey", "left_anti")
             state.rewrite(manifest, target_name(e.name), changed.select("__tkey").unionByName(dead), ["__tkey"], changed, "__tkey")
-        state.rewrite(manifest, by_target, touched, own, fresh, "__tkey", tkeys)
-        state.rewrite(manifest, by_source, touched, own, fresh, "__skey", skeys)
-    for n, df in memo.used.items():
+
+        together(save_target, partial(state.rewrite, manifest, by_target, touched, own, fresh, "__tkey", tkeys), partial(state.rewrite, manifest, by_source, touched, own, fresh, "__skey", skeys))
+
+    def save_memo(n: str, df: DataFrame) -> None:
         used = df.withColumnRenamed("__key", "__skey").join(processed.select(*own), own, "left_semi")
         state.rewrite(manifest, f"memo.{n}", touched, own, used, "__skey")
+
+    save_tracking = partial(state.rewrite, manifest, "tracking", touched.unionByName(bumps.select(*own)), own, processed.unionByName(bumps), "__skey")
+    together(save_tracking, *(partial(save_export, e) for e in builder.exports.values()), *(partial(save_memo, n, df) for n, df in memo.used.items()))
     for n in [n for n in manifest.names() if n.split(".", 1)[0] in ("target", "keys", "owners") and n.split(".", 1)[1] not in builder.exports]:
         manifest.remove(n)
     manifest.run = run
@@ -187,6 +193,13 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     return stats
 
 
+def together(*calls: Callable[[], None]) -> None:
+    """Run calls at once, as their Spark jobs are independent; the first failure is raised."""
+    with ThreadPoolExecutor(8) as pool:
+        for done in [pool.submit(c) for c in calls]:
+            done.result()
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
