@@ -42,6 +42,8 @@ ODD = 32
 FILTER_BITS = 1 << 25
 #: Members of a bucket in a block, and texts that are held against one copy of another.
 BLOCK, PER_COPY = 4096, 512
+#: Tasks over which the members of a large bucket are spread at least.
+SALTS = 16
 EMPTY = 0xFFFF
 TOP = 62
 
@@ -205,8 +207,14 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     # every member was held against the hub already
     open_ = ws.save(placed.join(split, "band", "left_semi").where("rep != hub").select("band", "rep", "component"), "open")
-    large = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    members = open_.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    large = ws.save(open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    if large.isEmpty():
+        members = open_.withColumn("blocks", F.lit(1))
+    else:  # a bucket's members are spread over salts to learn its number of blocks
+        salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = open_.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+        members = salted.join(salts, ["band", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "rep"), "blocks").cast("int"))
     members = members.join(sketches.select(F.col("id").alias("rep"), "n", "odd"), "rep")
     side = lambda c: [F.col(x).alias(f"{y}_{c}") for x, y in (("rep", "rep"), ("component", "c"), ("n", "n"), ("odd", "odd"))]
     x = members.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *side("a"))
