@@ -38,6 +38,9 @@ class Memo:
         name = fingerprint([fn.identity, t.describe()]).replace("/", "_").replace("+", "-").rstrip("=")
         print_ = row_fingerprint(*(c.alias(f"a{i}") for i, (c, _) in enumerate(args.values())))
         cache, own = self.load(name), ["__src", "__key", "print"]
+        if not any(f.dataType.simpleString() == "void" for f in df.schema):
+            # what comes before the function is evaluated once, though its rows are asked several times
+            df = self.save(df, f"{name}-rows")
         calls = df.select("__src", "__key", print_.alias("print"))
         # results of an earlier call in this run count too: the same function may be used twice
         sources = [x for x in (cache, self.used.get(name)) if x is not None]
