@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Buckets of a table made from now on. One task rewrites a bucket or a part of it, so large targets want thousands.
-BUCKETS = 16
+BUCKETS = 8
 PART = "part__"
 
 

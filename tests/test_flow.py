@@ -28,7 +28,7 @@ class Word:
 
 @pytest.fixture
 def app(spark, tmp_path):
-    flows.init(spark, flows.Settings(f"file://{tmp_path}/state", "ns"))
+    flows.init(spark, flows.Settings(f"file://{tmp_path}/state", "ns", buckets=2))
     yield flows
     for name in flows.flow_names():
         flows.remove_flow(name)
@@ -86,7 +86,8 @@ def test_updates_equal_a_full_run(spark, app):
     assert not f.update().sources["docs"].changed
 
 
-def test_one_changed_row_rewrites_one_bucket(spark, app):
+def test_one_changed_row_rewrites_one_bucket(spark, app, tmp_path):
+    app.init(spark, app.Settings(f"file://{tmp_path}/state", "ns", buckets=16))
     at = {i: 1 for i in range(40)}
     f = app.add_flow_def("buckets", word_flow(lambda: spark.createDataFrame([(i, f"w{i} v{n}", n) for i, n in at.items()], "id long, text string, at long")))
     f.update()
