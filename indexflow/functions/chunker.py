@@ -26,7 +26,7 @@ LANGUAGES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "python": (("py", "pyi"), (r"\n(?:class|async def|def) ", r"\n+(?:    |\t)(?:async def|def|class) ", r"\n\n+", r"\n", r"\s+")),
     "rust": (("rs",), (r"\n(?:pub |fn |impl |mod |struct |enum |trait )", r"\n\n+", r"\n", r"[;{}]\s*", r"\s+")),
     "javascript": (("js", "jsx", "mjs", "typescript", "ts", "tsx"), (r"\n(?:export |function |class |const |let )", r"\n\n+", r"\n", r"[;{}]\s*", r"\s+")),
-    "c": (("h", "cpp", "c++", "cc", "hpp", "csharp", "cs", "c#", "java", "kotlin", "kt", "scala", "swift", "go", "golang", "php", "solidity", "sol"), (r"\n\}\s*\n", r"\n\n+", r"\n", r"[;{}]\s*", r"\s+")),
+    "c": (("h", "cpp", "c++", "cc", "cxx", "hpp", "hxx", "hh", "csharp", "cs", "c#", "java", "kotlin", "kt", "scala", "swift", "go", "golang", "php", "solidity", "sol"), (r"\n\}\s*\n", r"\n\n+", r"\n", r"[;{}]\s*", r"\s+")),
     "ruby": (("rb", "r", "fortran", "f", "f90", "f95", "f03", "pascal", "pas", "dpr", "delphi"), (r"\n(?:def|class|module|function|subroutine|procedure)\b", r"\n\n+", r"\n", r"\s+")),
     "sql": ((), (r";\s*\n", r"\n\n+", r"\n", r",\s*", r"\s+")),
     "data": (("json", "yaml", "yml", "toml", "xml", "dtd", "css", "scss"), (r"\n\n+", r"\n(?=\S)", r"\n", r"[,;}\]]\s*", r"\s+")),
