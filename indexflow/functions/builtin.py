@@ -66,9 +66,12 @@ class ParseJson:
     def column(self, args: Args) -> tuple[FieldType, Column, Column | None]:
         text = expect(self.name, args, "text", "Str")
         expect(self.name, args, "language", "Str", optional=True)
-        value = F.try_parse_json(text).cast("string")
-        # a text without a value is malformed, but for JSON's null; value and error share one expression
-        bad = F.when(text.isNotNull() & value.isNull() & ~text.rlike(r"^\s*null\s*$"), F.lit("ParseJson: malformed text"))
+        # Spark's parser stops behind the first value: a mark that the text can't hold shows that nothing came between
+        mark = F.xxhash64(text).cast("string")
+        parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+        whole = F.try_variant_get(parsed, "$[1]", "string").eqNullSafe(mark)
+        value = F.when(whole, F.try_variant_get(parsed, "$[0]", "variant").cast("string"))
+        bad = F.when(text.isNotNull() & ~whole, F.lit("ParseJson: malformed text"))
         return basic("Json", args["text"][1].nullable), value, bad
 
 

@@ -236,3 +236,15 @@ def test_small_helpers():
     tries = []
     assert retried(lambda: tries.append(1) or (1 / (len(tries) - 2) if len(tries) == 2 else 7), tries=3, first=0.001) == 7 or len(tries) == 3
     assert LlmSpec("OpenAi", "m") == LlmSpec("OpenAi", "m", client=print)
+
+
+def test_json_with_anything_behind_its_value_is_malformed(spark):
+    from indexflow.functions.builtin import ParseJson
+
+    good = {"1": "1", ' {"b": 1, "a": [null]}\n': '{"a":[null],"b":1}', "null": None, '"x"': "x", "[]": "[]", " 5 ": "5"}
+    bad = ["1 x", "47034 Achverber auf", '"a" b', "{} {}", "[1]]", "1], [2", '1,"x"] y', "1, 2", "", "  ", "tru", "-"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad, None]], "t string")
+    _, value, error = ParseJson().column({"text": (F.col("t"), basic("Str", True))})
+    got = {r["t"]: (r["v"], r["e"]) for r in df.select("t", value.alias("v"), error.alias("e")).collect()}
+    assert {t: got[t][0] for t in good} == good and not any(got[t][1] for t in good)
+    assert all(got[t] == (None, "ParseJson: malformed text") for t in bad) and got[None] == (None, None)
