@@ -12,13 +12,20 @@ from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Buckets of a table made from now on. One task rewrites a bucket or a part of it, so large targets want thousands.
 BUCKETS = 8
 PART = "part__"
+#: A table of more rows isn't broadcast: Spark goes by the size of files, and keys take a hundredth of their size there.
+BROADCAST_ROWS = 50_000
+
+
+def unless_few(df: DataFrame, rows: int) -> DataFrame:
+    """A side of joins that is shuffled, not broadcast, if it has many rows."""
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
 
 
 @dataclass
@@ -123,10 +130,11 @@ class FlowState:
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table that nothing refers to yet, and read it again."""
-        path = self._new(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._indexflow_path = path
+        path, seen = self._new(name), Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        rows = seen.get.get("n", 0)
+        out = unless_few(self.spark.read.schema(df.schema).parquet(path), rows)
+        out._indexflow_path, out._indexflow_rows = path, rows
         return out
 
     def bucket(self, manifest: Manifest, name: str, by: str) -> Column:

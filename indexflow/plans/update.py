@@ -25,9 +25,11 @@ from indexflow.operators.changes import DELETE, NO_CHANGE, PROCESS, detect_chang
 from indexflow.operators.memo import Memo
 from indexflow.operators.merge import last_writer
 from indexflow.plans.builder import ERR, KEY, PLACE, SRC, Export, FlowBuilder, source_key
-from indexflow.plans.state import FlowState
+from indexflow.plans.state import FlowState, unless_few
 
 TRACKING = "__src string, __skey string, ordinal long, logic string, __content string, run long, at_micros long"
+#: So many failed rows are broadcast, so that the many that didn't fail needn't be shuffled.
+FEW_FAILED = 10_000
 OWNERS = "__tkey string, __print string, __src string, __skey string"
 
 
@@ -85,7 +87,7 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
         tracked[source] = had.count()
         seen = detect_changes(latest, had.drop("__src", "run", "at_micros"), "__skey", logic)
         seen = state.stage(seen.where(F.col("class") != NO_CHANGE), "changes")
-        wanted = listing.join(seen.where(F.col("class") == PROCESS), "__skey", "left_semi")
+        wanted = unless_few(listing.join(seen.where(F.col("class") == PROCESS), "__skey", "left_semi"), seen._indexflow_rows)
         rows = spec.read(spark, wanted).withColumn("__skey", source_key(keys))
         rows = rows.withColumn("__content", row_fingerprint(*(F.col(f"`{n}`") for n, _ in t.fields)))
         rows = last_writer(rows, ["__skey"], [F.col("__ordinal").desc_nulls_last(), "__content"])
@@ -122,6 +124,8 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
         twice = rows.where(F.col(ERR).isNull()).groupBy("__src", "__skey", "__tkey").agg(F.count("*").alias("n")).where("n > 1").select("__src", "__skey", F.concat(F.lit(f"{e.name}: key "), "__tkey", F.lit(" is produced twice")).alias("error"))
         failed = failed.unionByName(bad).unionByName(twice)
     failed = state.stage(failed.groupBy("__src", "__skey").agg(F.min("error").alias("error")), "failed")
+    if failed._indexflow_rows <= FEW_FAILED:
+        failed = F.broadcast(failed)
 
     done, bumped, gone = [], [], []
     for source, seen in changes.items():
@@ -149,6 +153,7 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     union = lambda frames, schema: _union(frames) if frames else empty(schema)
     own = ["__src", "__skey"]
     processed, bumps = union(done, TRACKING), union(bumped, TRACKING)
+    most = sum(seen._indexflow_rows for seen in changes.values())
     touched = state.stage(processed.select(*own).unionByName(union(gone, "__src string, __skey string")), "touched")
     def save_export(e: Export) -> None:
         by_source, by_target = f"keys.{e.name}", f"owners.{e.name}"
@@ -173,18 +178,19 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
             if old is None or [f.simpleString() for f in old.schema] != [f.simpleString() for f in rows.drop("__print").schema]:
                 state.replace(manifest, target_name(e.name), rows.drop("__print"), "__tkey")
                 return
-            changed = rows.join(owners.select("__tkey", "__print").distinct(), ["__tkey", "__print"], "left_anti").drop("__print")
+            changed = rows.join(unless_few(owners.select("__tkey", "__print").distinct(), affected._indexflow_rows), ["__tkey", "__print"], "left_anti").drop("__print")
             changed = state.stage(changed, "upserts")
             dead = affected.join(live, "__tkey", "left_anti")
-            state.rewrite(manifest, target_name(e.name), changed.select("__tkey").unionByName(dead), ["__tkey"], changed, "__tkey")
+            gone = unless_few(changed.select("__tkey").unionByName(dead), affected._indexflow_rows)
+            state.rewrite(manifest, target_name(e.name), gone, ["__tkey"], changed, "__tkey")
 
         together(save_target, partial(state.rewrite, manifest, by_target, touched, own, fresh, "__tkey", tkeys), partial(state.rewrite, manifest, by_source, touched, own, fresh, "__skey", skeys))
 
     def save_memo(n: str, df: DataFrame) -> None:
-        used = df.withColumnRenamed("__key", "__skey").join(processed.select(*own), own, "left_semi")
+        used = df.withColumnRenamed("__key", "__skey").join(unless_few(processed.select(*own), most), own, "left_semi")
         state.rewrite(manifest, f"memo.{n}", touched, own, used, "__skey")
 
-    save_tracking = partial(state.rewrite, manifest, "tracking", touched.unionByName(bumps.select(*own)), own, processed.unionByName(bumps), "__skey")
+    save_tracking = partial(state.rewrite, manifest, "tracking", unless_few(touched.unionByName(bumps.select(*own)), most), own, processed.unionByName(bumps), "__skey")
     together(save_tracking, *(partial(save_export, e) for e in builder.exports.values()), *(partial(save_memo, n, df) for n, df in memo.used.items()))
     for n in [n for n in manifest.names() if n.split(".", 1)[0] in ("target", "keys", "owners") and n.split(".", 1)[1] not in builder.exports]:
         manifest.remove(n)

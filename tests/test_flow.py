@@ -515,3 +515,17 @@ def test_live_sources_outlast_failures(spark, app, monkeypatch):
     with FlowLiveUpdater(f) as live:
         assert live.next_status_updates(120).updated_sources == ["docs"]
     assert f.table("words").count() == 1 and len(calls) > 4
+
+
+def test_tables_of_many_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files of keys are far smaller than the rows in memory, so rows are counted."""
+    from indexflow.plans import state as states
+
+    state = states.FlowState(spark, f"file://{tmp_path}/state")
+    rows = state.stage(spark.range(60_000).select(F.concat(F.lit('{"id":'), "id", F.lit("}")).alias("k")), "rows")
+    few = state.stage(spark.range(7).select(F.col("id").cast("string").alias("k")), "few")
+    other = spark.range(90_000).select(F.col("id").cast("string").alias("k"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert (rows._indexflow_rows, few._indexflow_rows) == (60_000, 7)
+    assert "Broadcast" not in plan(other.join(rows.where("k > '3'").select("k").distinct(), "k", "left_anti"))
+    assert "Broadcast" in plan(other.join(few, "k", "left_anti"))
