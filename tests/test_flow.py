@@ -529,3 +529,29 @@ def test_tables_of_many_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
     assert (rows._indexflow_rows, few._indexflow_rows) == (60_000, 7)
     assert "Broadcast" not in plan(other.join(rows.where("k > '3'").select("k").distinct(), "k", "left_anti"))
     assert "Broadcast" in plan(other.join(few, "k", "left_anti"))
+
+
+def test_graph_updates_are_the_same_without_broadcasts(spark, tmp_path, monkeypatch):
+    from indexflow.plans import state as states, update as updates
+
+    monkeypatch.setattr(states, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(updates, "FEW_FAILED", -1)
+    rows = {"now": [(i, i % 4, i) for i in range(12)]}
+
+    def define(b):
+        b.scope["r"] = b.add_source(TableSource(spark.createDataFrame(rows["now"], "id long, c long, at long"), "id", "at"), name="r")
+        out = b.scope.add_collector()
+        with b.scope["r"].row() as r:
+            out.collect(id=r["id"], c=r["c"])
+        out.export("t", Table(), primary_key_fields=["id"])
+
+    state = states.FlowState(spark, f"file://{tmp_path}/state", 2)
+    asked = []
+    hint = type(spark.range(0)).hint
+    monkeypatch.setattr(type(spark.range(0)), "hint", lambda self, name, *a: asked.append(name) or hint(self, name, *a))
+    assert updates.run_update(spark, define, state).sources["r"].insertions == 12
+    rows["now"] = [(i, 9 if i % 3 == 0 else i % 4, 50) for i in range(12) if i % 5]
+    stats = updates.run_update(spark, define, state).sources["r"]
+    assert (stats.no_change, stats.updates, stats.deletions) == (6, 3, 3)
+    assert sorted(tuple(r) for r in state.table(state.load(), "target.t").select("id", "c").collect()) == sorted((i, c) for i, c, _ in rows["now"])
+    assert asked.count("merge") > 20
