@@ -27,6 +27,8 @@ from indexflow.types import FieldType, accepts, field_type
 GPU = threading.Lock()
 #: Calls of a function that waits for a service that a worker has under way at once, and values of one request.
 CONCURRENT, REQUEST = 16, 64
+#: Rows, and bytes of arguments, that a function gets as Python objects at once.
+PART_ROWS, PART_BYTES = 1024, 4 << 20
 _EXECUTORS: dict[str, Any] = {}
 
 
@@ -201,13 +203,20 @@ class UserFunction:
                 made = [one(run, r) for r in rows]
             return asyncio.run(_gather(made)) if any(inspect.isawaitable(m) for m in made) else made
 
-        def batch(*columns: pa.Array) -> pa.Array:
+        def part(*columns: pa.Array) -> pa.Array:
             rows = [dict(zip(names, r, strict=True)) for r in zip(*(c.to_pylist() for c in columns), strict=True)]
             if gpu:
                 with in_turn():
                     return pa.array(results(rows), arrow)
             return pa.array(results(rows), arrow)
 
+        def batch(*columns: pa.Array) -> pa.Array:
+            """Part by part, so that a worker holds no more than a part as Python objects beside the Arrow data."""
+            n, size = len(columns[0]), sum(c.nbytes for c in columns)
+            step = max(PART_ROWS, n * PART_BYTES // max(size, 1)) if waits or many else max(1, min(PART_ROWS, n * PART_BYTES // max(size, 1)))
+            made = [part(*(c.slice(i, step) for c in columns)) for i in range(0, max(n, 1), step)]
+            return made[0] if len(made) == 1 else pa.concat_arrays(made)
+
         return out, F.arrow_udf(batch, inner)(*(c for c, _ in args.values()))
 
 

@@ -18,6 +18,7 @@ from indexflow.plans.update import run_update
 from indexflow.sources.base import TableSource
 from indexflow.streaming.live import FlowLiveUpdater, FlowLiveUpdaterOptions
 from indexflow.targets import Graph, Table, VectorCollection, VectorIndex
+from indexflow.types import basic
 
 
 @dataclasses.dataclass
@@ -555,3 +556,19 @@ def test_graph_updates_are_the_same_without_broadcasts(spark, tmp_path, monkeypa
     assert (stats.no_change, stats.updates, stats.deletions) == (6, 3, 3)
     assert sorted(tuple(r) for r in state.table(state.load(), "target.t").select("id", "c").collect()) == sorted((i, c) for i, c, _ in rows["now"])
     assert asked.count("merge") > 20
+
+
+def test_a_function_gets_no_more_rows_at_once_than_a_part(spark):
+    @function()
+    def at_once(text: str) -> int:
+        import sys
+
+        frame = sys._getframe()
+        while "rows" not in frame.f_locals:
+            frame = frame.f_back
+        return len(frame.f_locals["rows"])
+
+    _, made = at_once.column({"text": (F.col("t"), basic("Str"))})
+    got = spark.range(0, 5000, 1, 1).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), F.when(F.col("id") > 4000, 20_000).otherwise(5))).alias("t")).select("id", made.alias("m")).collect()
+    assert [r["id"] for r in got] == list(range(5000)) and not any(r["m"]["error"] for r in got)
+    assert max(r["m"]["value"] for r in got) <= 1024
