@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 METRICS = ("cosine", "l2", "ip")
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 1000
+#: Rows that are scored at once.
+ROW_BLOCK = 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,11 +40,38 @@ def top_k(rows: DataFrame, query: list[float], k: int, *, vector: str, metric: s
     return scored.orderBy(F.col("score").asc() if metric == "l2" else F.col("score").desc(), tie).limit(k)
 
 
+def nearness(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """The metric of all pairs of queries and rows, L2 with its sign turned, so that larger is nearer."""
+    s = q @ x.T
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return s / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None, :]
+    if metric == "l2":
+        return -np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(2)) if q.size * len(x) < 1 << 22 else -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * s, 0))
+    return s
+
+
+def better(best: tuple[np.ndarray, ...], s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The best ``k`` of each query among those so far and new ones; scores equal to 12 digits go to the smaller id."""
+    query, value, found, least = best
+    near = np.round(s, 12)
+    own, at = np.nonzero((near >= least[:, None]) & np.isfinite(s))
+    if not len(own):
+        return best
+    query, value, found = np.concatenate((query, own)), np.concatenate((value, s[own, at])), np.concatenate((found, ids[at]))
+    order = np.lexsort((found, -np.round(value, 12), query))
+    query = query[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    kept, last = order[rank < k], order[rank == k - 1]
+    least[query[rank == k - 1]] = np.round(value[last], 12)
+    return query[rank < k], value[kept], found[kept], least
+
+
 def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector: str, metric: str = "cosine") -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` nearest rows to every query (columns query_id, query).
 
-    Queries go out in blocks of a fixed number. Each Arrow batch of rows is scored by one matrix product and keeps its own
-    best ``k`` per query, so that no more than those are shuffled.
+    Queries go out in blocks of a fixed number. Rows are scored in blocks of a fixed number by one matrix product each, and a task
+    keeps its best ``k`` per query, so that no more than those are shuffled.
     """
     spark = rows.sparkSession
     asked = queries.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>")).where("query is not null").toLocalIterator()
@@ -57,24 +86,19 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str, vec
         shared = spark.sparkContext.broadcast({d: (np.array([i for i, v in block if len(v) == d]), np.array([v for _, v in block if len(v) == d])) for d in dims})
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                sizes = np.array([-1 if v is None else v for v in pc.list_value_length(vectors).to_pylist()])
-                for d, (qid, q) in shared.value.items():
-                    at = np.flatnonzero(sizes == d)
-                    if not len(at) or not d:
-                        continue
-                    x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
-                    s = q @ x.T
-                    if metric == "cosine":
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            s = s / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None, :]
-                    elif metric == "l2":
-                        s = -np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(2)) if len(at) * len(q) * d < 1 << 22 else -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * s, 0))
-                    order = np.lexsort((np.broadcast_to(ids[at], s.shape), -np.round(s, 12)), axis=1)[:, :k]
-                    own = np.take_along_axis(s, order, 1)
-                    ok = np.isfinite(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(1)), pa.int64()), pa.array(ids[at][order][ok], pa.int64()), pa.array((-own if metric == "l2" else own)[ok], pa.float64())], ["query_id", "id", "score"])
+            # by dimension: query, score and id of the best rows so far, and the k-th score of each query
+            best = {d: (*(np.empty(0, t) for t in (np.int64, np.float64, np.int64)), np.full(len(q), -np.inf)) for d, (_, q) in shared.value.items()}
+            for whole in batches:
+                for batch in (whole.slice(i, ROW_BLOCK) for i in range(0, whole.num_rows, ROW_BLOCK)):
+                    ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+                    for d, (_, q) in shared.value.items():
+                        at = np.flatnonzero(sizes == d)
+                        if len(at) and d:
+                            x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+                            best[d] = better(best[d], nearness(q, x, metric), ids[at], k)
+            for d, (query, value, found, _) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[d][0][query], pa.int64()), pa.array(found, pa.int64()), pa.array(-value if metric == "l2" else value, pa.float64())], ["query_id", "id", "score"])
 
         parts.append(rows.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "query_id long, id long, score double"))
     found = parts[0]

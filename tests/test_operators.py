@@ -248,3 +248,15 @@ def test_json_with_anything_behind_its_value_is_malformed(spark):
     got = {r["t"]: (r["v"], r["e"]) for r in df.select("t", value.alias("v"), error.alias("e")).collect()}
     assert {t: got[t][0] for t in good} == good and not any(got[t][1] for t in good)
     assert all(got[t] == (None, "ParseJson: malformed text") for t in bad) and got[None] == (None, None)
+
+
+def test_the_best_rows_are_kept_from_block_to_block():
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 7):
+        ids, s = rng.permutation(60), rng.integers(0, 4, (5, 60)) / 3 + rng.choice([0.0, 1e-14], (5, 60))
+        s[0], s[1, ::2] = np.nan, np.inf
+        best = (*(np.empty(0, t) for t in (np.int64, np.float64, np.int64)), np.full(5, -np.inf))
+        for i in range(0, 60, 8):
+            best = vector.better(best, s[:, i : i + 8], ids[i : i + 8], k)
+        want = [(q, i) for q in range(5) for _, i in sorted((-round(v, 12), i) for v, i in zip(s[q], ids, strict=True) if np.isfinite(v))[:k]]
+        assert list(zip(best[0].tolist(), best[2].tolist(), strict=True)) == want
