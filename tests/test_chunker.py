@@ -3,7 +3,7 @@ import random
 import pytest
 
 from indexflow.functions import chunker
-from indexflow.functions.chunker import CustomLanguage, atoms, break_level, chunk_rows, compiled, separators, split
+from indexflow.functions.chunker import CustomLanguage, atoms, break_level, chunk_rows, compiled, plain_pieces, separators, split, split_all
 
 
 def plain_split(text, chunk_size, least, overlap, language=None):
@@ -95,3 +95,13 @@ def test_languages_by_name_alias_and_extension():
         separators("x", (*own, CustomLanguage("abs", ("a",))))
     with pytest.raises(ValueError):
         split("a b", 1, 0, 0, "l", (CustomLanguage("l", ("(?=a)",)),))
+
+
+@pytest.mark.parametrize("sizes", [(40, 10, 0), (60, 30, 20), (10, 3, 4), (7, 7, 7), (40, 5, 39), (30, 40, 5), (50, None, 10)])
+def test_texts_merged_together_equal_each_alone(sizes, monkeypatch):
+    monkeypatch.setattr(chunker, "TOGETHER", 16)
+    monkeypatch.setattr(chunker, "KEPT_ROWS", 8)
+    rng = random.Random(str(sizes))
+    texts = ["".join(rng.choice(["a", "bb ", "\n", "\n\n", "é", " ", ". ", "xyz", "  ", "\n ", "😀", "word ", "\r\n" if i % 9 == 0 else "c "]) for _ in range(rng.choice([0, 3, 20, 200, 700]))) for i in range(60)]
+    assert split_all(texts, *sizes) == [split(t, *sizes) for t in texts]
+    assert sum(plain_pieces(t, sizes[1] or sizes[0] // 2) is not None for t in texts) > 5
