@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: How much a version knows, in rising order.
 UNKNOWN_LOGIC, DIFFERENT_LOGIC, CURRENT_LOGIC, NON_EXISTENCE = range(4)
+#: Rows with fingerprints that a task compares.
+ROWS_A_TASK = 200_000
 DELETE, NO_CHANGE, PROCESS = "DELETE", "NO_CHANGE", "PROCESS"
 
 
@@ -42,6 +44,14 @@ def count_classes(classes: DataFrame) -> DataFrame:
     return classes.agg(*(F.count_if(F.col("class") == c).alias(f"n_{c.lower()}") for c in (DELETE, NO_CHANGE, PROCESS)))
 
 
-def changed_targets(new: DataFrame, tracked: DataFrame, keys: list[str], print_col: str = "print") -> tuple[DataFrame, DataFrame]:
-    """Rows to write, whose fingerprint isn't tracked under their key, and tracked keys to delete."""
-    return new.join(tracked.select(*keys, print_col), [*keys, print_col], "left_anti"), tracked.select(*keys).distinct().join(new, keys, "left_anti")
+def changed_targets(new: DataFrame, tracked: DataFrame, keys: list[str], print_col: str = "print", rows: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows to write, whose fingerprint isn't tracked under their key, and tracked keys to delete.
+
+    Fingerprints take far more memory than Spark expects, so the tracked ones are shuffled, never broadcast, and, if their number of
+    ``rows`` is given, in partitions that don't grow with it. Keys are made distinct when only those to delete are left.
+    """
+    own = [*keys, print_col]
+    parts = max(1, rows // ROWS_A_TASK, int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lambda df: df.repartition(parts, *own) if rows > ROWS_A_TASK else df
+    held = dealt(tracked.select(*own)).hint("merge")
+    return dealt(new).join(held, own, "left_anti"), tracked.select(*keys).join(new.select(*keys), keys, "left_anti").distinct()

@@ -260,3 +260,13 @@ def test_the_best_rows_are_kept_from_block_to_block():
             best = vector.better(best, s[:, i : i + 8], ids[i : i + 8], k)
         want = [(q, i) for q in range(5) for _, i in sorted((-round(v, 12), i) for v, i in zip(s[q], ids, strict=True) if np.isfinite(v))[:k]]
         assert list(zip(best[0].tolist(), best[2].tolist(), strict=True)) == want
+
+
+def test_tracked_fingerprints_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(changes, "ROWS_A_TASK", 10)
+    tracked = spark.createDataFrame([(i, f"p{i % 3}") for i in range(40)] + [(1, "p7")], "k long, print string")
+    new = spark.createDataFrame([(i, f"p{i % 2}") for i in range(5, 50)], "k long, print string")
+    upserts, deletes = changes.changed_targets(new, tracked, ["k"], rows=41)
+    assert sorted(r["k"] for r in upserts.collect()) == [i for i in range(5, 50) if i >= 40 or i % 2 != i % 3]
+    assert sorted(r["k"] for r in deletes.collect()) == list(range(5))
+    assert "Broadcast" not in upserts._jdf.queryExecution().executedPlan().toString()
