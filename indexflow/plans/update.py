@@ -88,6 +88,7 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
         seen = detect_changes(latest, had.drop("__src", "run", "at_micros"), "__skey", logic)
         seen = state.stage(seen.where(F.col("class") != NO_CHANGE), "changes")
         wanted = unless_few(listing.join(seen.where(F.col("class") == PROCESS), "__skey", "left_semi"), seen._indexflow_rows)
+        wanted._indexflow_rows = seen._indexflow_rows
         rows = spec.read(spark, wanted).withColumn("__skey", source_key(keys))
         rows = rows.withColumn("__content", row_fingerprint(*(F.col(f"`{n}`") for n, _ in t.fields)))
         rows = last_writer(rows, ["__skey"], [F.col("__ordinal").desc_nulls_last(), "__content"])

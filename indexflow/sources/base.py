@@ -150,6 +150,10 @@ def AzureBlob(account_name: str, container_name: str, prefix: str | None = None,
     return FileSource(f"abfs://{container_name}@{account_name}", binary, included_patterns, excluded_patterns, prefix or "", prune=False, connect=lambda: (fs.AzureFileSystem(account_name=account_name, **secrets), container_name))
 
 
+#: Of more wanted rows the range of keys isn't looked for, which takes a join of its own and seldom skips anything then.
+RANGE_ROWS = 50_000
+
+
 @dataclass(frozen=True)
 class TableSource:
     """Any DataFrame, or a Parquet path, with key columns and maybe an ordinal column."""
@@ -182,8 +186,9 @@ class TableSource:
     def read(self, spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
         df = self._df(spark)
         if keys is not None:
+            few = getattr(keys, "_indexflow_rows", 0) <= RANGE_ROWS
             keys = keys.select(*self.keys)
-            if len(self.keys) == 1 and df.schema[self.keys[0]].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "date", "timestamp"):
+            if few and len(self.keys) == 1 and df.schema[self.keys[0]].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "date", "timestamp"):
                 # what the scan can skip by its statistics
                 low, high = keys.agg(F.min(self.keys[0]), F.max(self.keys[0])).first()
                 df = df.where(F.col(f"`{self.keys[0]}`").between(F.lit(low), F.lit(high)) if low is not None else F.lit(False))

@@ -270,3 +270,12 @@ def test_tracked_fingerprints_are_not_broadcast(spark, monkeypatch):
     assert sorted(r["k"] for r in upserts.collect()) == [i for i in range(5, 50) if i >= 40 or i % 2 != i % 3]
     assert sorted(r["k"] for r in deletes.collect()) == list(range(5))
     assert "Broadcast" not in upserts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_range_of_many_wanted_keys_is_not_looked_for(spark):
+    source = TableSource(spark.range(100).withColumn("v", F.col("id") * 2), "id")
+    keys = spark.createDataFrame([(40,), (42,), (500,)], "id long").withColumn("id", F.when(F.col("id") >= 0, F.col("id")).otherwise(F.raise_error(F.lit("read"))))
+    keys._indexflow_rows = 10**6
+    got = source.read(spark, keys)
+    assert ">= 40" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.drop("__ordinal").collect())) == [(40, 80), (42, 84)]
