@@ -572,3 +572,16 @@ def test_a_function_gets_no_more_rows_at_once_than_a_part(spark):
     got = spark.range(0, 5000, 1, 1).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), F.when(F.col("id") > 4000, 20_000).otherwise(5))).alias("t")).select("id", made.alias("m")).collect()
     assert [r["id"] for r in got] == list(range(5000)) and not any(r["m"]["error"] for r in got)
     assert max(r["m"]["value"] for r in got) <= 1024
+
+
+def test_orphans_of_many_rows_are_found_without_any_broadcast(spark, sf_dir, monkeypatch):
+    from indexflow.plans import catalogue, state as states, update as updates
+
+    monkeypatch.setattr(states, "BROADCAST_ROWS", -1, raising=False)
+    monkeypatch.setattr(updates, "FEW_FAILED", -1, raising=False)
+    plans = []
+    writer = type(spark.range(0)).write
+    monkeypatch.setattr(type(spark.range(0)), "write", property(lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or writer.fget(self)))
+    found = catalogue.graph_orphans_after_update(spark, sf_dir)
+    assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in catalogue.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 and o_orderkey % 5 <> 0").select("o_custkey").distinct().collect())
+    assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
