@@ -21,11 +21,17 @@ BUCKETS = 8
 PART = "part__"
 #: A table of more rows isn't broadcast: Spark goes by the size of files, and keys take a hundredth of their size there.
 BROADCAST_ROWS = 50_000
+#: With more keys for each bucket they aren't looked up: all buckets are taken, as hardly any could be spared.
+FULL_ROWS = 1_000
+
+
+def few(rows: int) -> bool:
+    return rows <= BROADCAST_ROWS
 
 
 def unless_few(df: DataFrame, rows: int) -> DataFrame:
     """A side of joins that is shuffled, not broadcast, if it has many rows."""
-    return df.hint("merge") if rows > BROADCAST_ROWS else df
+    return df if few(rows) else df.hint("merge")
 
 
 @dataclass
@@ -140,10 +146,12 @@ class FlowState:
     def bucket(self, manifest: Manifest, name: str, by: str) -> Column:
         return F.pmod(F.xxhash64(by), F.lit(manifest.buckets.get(name, self.buckets))).cast("int")
 
-    def numbers(self, manifest: Manifest, name: str, keys: DataFrame, by: str) -> set[int]:
-        """The buckets of a table in which some keys lie; none if there is no table."""
+    def numbers(self, manifest: Manifest, name: str, keys: DataFrame, by: str, rows: int = 0) -> set[int]:
+        """The buckets of a table in which some keys lie; all if so many ``rows`` of keys are given that none is likely to lack one; none if there is no table."""
         if name not in manifest.schemas:
             return set()
+        if rows > FULL_ROWS * (n := manifest.buckets.get(name, self.buckets)):
+            return {*range(n)}
         return {r[0] for r in keys.select(self.bucket(manifest, name, by)).distinct().collect()}
 
     def table(self, manifest: Manifest, name: str, only: set[int] | None = None) -> DataFrame | None:

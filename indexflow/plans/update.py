@@ -16,16 +16,18 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from indexflow.fingerprint import row_fingerprint
 from indexflow.operators.changes import DELETE, NO_CHANGE, PROCESS, detect_changes, outcome
 from indexflow.operators.memo import Memo
 from indexflow.operators.merge import last_writer
 from indexflow.plans.builder import ERR, KEY, PLACE, SRC, Export, FlowBuilder, source_key
-from indexflow.plans.state import FlowState, unless_few
+from indexflow.plans.state import FlowState, few, unless_few
 
 TRACKING = "__src string, __skey string, ordinal long, logic string, __content string, run long, at_micros long"
 #: So many failed rows are broadcast, so that the many that didn't fail needn't be shuffled.
@@ -71,32 +73,40 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     logic = base.logic_fingerprint
     manifest = state.load()
     run = max(manifest.run + 1, int(time.time() * 1000))
-    empty = lambda schema: spark.createDataFrame([], schema)
+    # joins with it are left out of plans
+    empty = lambda schema: spark.range(0).where("false").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)))
     tracking = state.table(manifest, "tracking")
     tracking = empty(TRACKING) if tracking is None else tracking
 
     stats = UpdateStats()
     changes, todo, contents, tracked = {}, {}, {}, {}
-    for source, (spec, t, _) in base.sources.items():
-        if only is not None and source not in only:
-            continue
+
+    def read_source(source: str) -> tuple[int, DataFrame, DataFrame]:
+        spec, t, _ = base.sources[source]
         keys = base.source_keys(source)
         listing = spec.listing(spark).withColumn("__skey", source_key(keys))
         latest = listing.groupBy("__skey").agg(F.max("__ordinal").alias("ordinal"))
         had = tracking.where(F.col("__src") == source)
-        tracked[source] = had.count()
+        before = had.count() if "tracking" in manifest.schemas else 0
         seen = detect_changes(latest, had.drop("__src", "run", "at_micros"), "__skey", logic)
         seen = state.stage(seen.where(F.col("class") != NO_CHANGE), "changes")
-        wanted = unless_few(listing.join(seen.where(F.col("class") == PROCESS), "__skey", "left_semi"), seen._indexflow_rows)
-        wanted._indexflow_rows = seen._indexflow_rows
-        rows = spec.read(spark, wanted).withColumn("__skey", source_key(keys))
+        wanted = unless_few(seen.where(F.col("class") == PROCESS), seen._indexflow_rows)
+        if few(seen._indexflow_rows) or not hasattr(spec, "scan"):
+            keys_of = unless_few(listing.join(wanted, "__skey", "left_semi"), seen._indexflow_rows)
+            keys_of._indexflow_rows = seen._indexflow_rows
+            rows = spec.read(spark, keys_of)
+        else:
+            rows = spec.scan(spark)
+        rows = rows.withColumn("__skey", source_key(keys)).join(wanted.select("__skey", "had___content", "had_logic"), "__skey")
         rows = rows.withColumn("__content", row_fingerprint(*(F.col(f"`{n}`") for n, _ in t.fields)))
         rows = last_writer(rows, ["__skey"], [F.col("__ordinal").desc_nulls_last(), "__content"])
-        known = seen.select("__skey", "had___content", "had_logic")
-        rows = rows.join(known, "__skey").withColumn("__same", F.coalesce((F.col("had___content") == F.col("__content")) & (F.col("had_logic") == F.lit(logic)), F.lit(False)))
-        rows = state.stage(rows, "rows")
-        changes[source], contents[source] = seen, rows.select("__skey", "__content", "__same")
-        todo[source] = rows.where("not __same").select(*(f"`{n}`" for n, _ in t.fields))
+        rows = rows.withColumn("__same", F.coalesce((F.col("had___content") == F.col("__content")) & (F.col("had_logic") == F.lit(logic)), F.lit(False)))
+        return before, seen, state.stage(rows, "rows")
+
+    listed = [source for source in base.sources if only is None or source in only]
+    for source, (before, seen, rows) in zip(listed, together(*(partial(read_source, source) for source in listed)), strict=True):
+        tracked[source], changes[source], contents[source] = before, seen, rows.select("__skey", "__content", "__same")
+        todo[source] = rows.where("not __same").select(*(f"`{n}`" for n, _ in base.sources[source][1].fields))
 
     pending = _union([rows.where("not __same").select("__skey") for rows in contents.values()]) if contents else empty("__skey string")
 
@@ -114,27 +124,32 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     define(builder)
 
     produced, failed = {}, empty("__src string, __skey string, error string")
-    for e in builder.exports.values():
+
+    def produce(e: Export) -> DataFrame:
         key = [n for n, _ in e.key]
         rows = e.collector.rows.withColumnRenamed(KEY, "__skey")
         values = [F.col(f"`{n}`") for n, _ in (e.key + e.values)]
         rows = rows.withColumn("__tkey", F.to_json(F.struct(*(F.col(f"`{k}`") for k in key)), {"ignoreNullFields": "false"})).withColumn("__print", row_fingerprint(*values) if e.stable else F.lit(None).cast("string"))
-        rows = state.stage(rows, "produced")
+        return state.stage(rows, "produced")
+
+    for e, rows in zip(builder.exports.values(), together(*(partial(produce, e) for e in builder.exports.values())), strict=True):
         produced[e.name] = rows
         bad = rows.where(F.col(ERR).isNotNull()).select("__src", "__skey", F.col(ERR).alias("error"))
         twice = rows.where(F.col(ERR).isNull()).groupBy("__src", "__skey", "__tkey").agg(F.count("*").alias("n")).where("n > 1").select("__src", "__skey", F.concat(F.lit(f"{e.name}: key "), "__tkey", F.lit(" is produced twice")).alias("error"))
         failed = failed.unionByName(bad).unionByName(twice)
     failed = state.stage(failed.groupBy("__src", "__skey").agg(F.min("error").alias("error")), "failed")
-    if failed._indexflow_rows <= FEW_FAILED:
+    few_failed = failed._indexflow_rows <= FEW_FAILED
+    if few_failed:
         failed = F.broadcast(failed)
 
+    def classify(source: str) -> DataFrame:
+        # listed but gone when read: a deletion
+        state_of = changes[source].join(contents[source], "__skey", "left").withColumn("class", F.when((F.col("class") == PROCESS) & F.col("__content").isNull(), F.when(F.col("had"), DELETE).otherwise("VANISHED")).when((F.col("class") == PROCESS) & F.col("__same"), "BUMP").otherwise(F.col("class")))
+        return state.stage(state_of.join(failed.where(F.col("__src") == source).select("__skey", "error"), "__skey", "left"), "classes")
+
     done, bumped, gone = [], [], []
-    for source, seen in changes.items():
-        found = contents[source]
+    for source, state_of in zip(changes, together(*(partial(classify, source) for source in changes)), strict=True):
         here = F.lit(source).alias("__src")
-        # listed but gone when read: a deletion
-        state_of = seen.join(found, "__skey", "left").withColumn("class", F.when((F.col("class") == PROCESS) & F.col("__content").isNull(), F.when(F.col("had"), DELETE).otherwise("VANISHED")).when((F.col("class") == PROCESS) & F.col("__same"), "BUMP").otherwise(F.col("class")))
-        state_of = state.stage(state_of.join(failed.where(F.col("__src") == source).select("__skey", "error"), "__skey", "left"), "classes")
         ok = state_of.where("class = 'PROCESS' and error is null")
         done.append(ok.select(here, "__skey", "ordinal", F.lit(logic).alias("logic"), "__content", F.lit(run).alias("run"), F.lit(run * 1000).alias("at_micros")))
         bumped.append(state_of.where("class = 'BUMP'").select(here, "__skey", "ordinal", F.lit(logic).alias("logic"), "__content", F.lit(run).alias("run"), F.lit(run * 1000).alias("at_micros")))
@@ -156,36 +171,50 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     processed, bumps = union(done, TRACKING), union(bumped, TRACKING)
     most = sum(seen._indexflow_rows for seen in changes.values())
     touched = state.stage(processed.select(*own).unionByName(union(gone, "__src string, __skey string")), "touched")
+
     def save_export(e: Export) -> None:
-        by_source, by_target = f"keys.{e.name}", f"owners.{e.name}"
+        target, by_source, by_target = target_name(e.name), f"keys.{e.name}", f"owners.{e.name}"
         good = produced[e.name].where(F.col(ERR).isNull()).join(failed, own, "left_anti")
-        fresh = state.stage(good.select("__tkey", "__print", *own), "fresh")
-        skeys = state.numbers(manifest, by_source, touched, "__skey")
+        fresh = good.select("__tkey", "__print", *own)
+        # with few failed rows it costs less to leave them out again than to write the others
+        fresh = unless_few(fresh, produced[e.name]._indexflow_rows) if few_failed else state.stage(fresh, "fresh")
+        n_fresh = getattr(fresh, "_indexflow_rows", produced[e.name]._indexflow_rows)
+        rows = last_writer(good, ["__tkey"], [*own, PLACE])
+        rows = rows.select("__tkey", "__print", *(f"`{n}`" for n, _ in (e.key + e.values)))
+        if not {target, by_source, by_target} & {*manifest.schemas}:
+            together(*(partial(state.replace, manifest, n, df, by) for n, df, by in ((target, rows.drop("__print"), "__tkey"), (by_target, fresh, "__tkey"), (by_source, fresh, "__skey"))))
+            return
+        skeys = state.numbers(manifest, by_source, touched, "__skey", touched._indexflow_rows)
         before = state.table(manifest, by_source, skeys)
-        lost = empty("__tkey string") if before is None else before.join(touched, own, "left_semi").select("__tkey")
-        affected = state.stage(lost.unionByName(fresh.select("__tkey")).distinct(), "affected")
-        tkeys = state.numbers(manifest, by_target, affected, "__tkey")
+        lost = empty("__tkey string") if before is None else before.join(touched, own, "left_semi").select("__tkey").distinct()
+        lost = state.stage(lost, "lost")
+        tkeys = state.numbers(manifest, by_target, lost.unionByName(fresh.select("__tkey")), "__tkey", lost._indexflow_rows + n_fresh)
         owners = state.table(manifest, by_target, tkeys)
-        owners = empty(OWNERS) if owners is None else owners.join(affected, "__tkey", "left_semi")
-        live = owners.join(touched, own, "left_anti").select("__tkey").unionByName(fresh.select("__tkey"))
-
-        rows = last_writer(good, ["__tkey"], [*own, PLACE])
-        fields = [n for n, _ in (e.key + e.values)]
-        rows = rows.select("__tkey", "__print", *(f"`{f}`" for f in fields))
-        old = state.table(manifest, target_name(e.name), set())
+        owners = empty(OWNERS) if owners is None else owners
+        if few(n_fresh):
+            # of many keys the owners aren't told apart: that takes one more shuffle of all
+            owners = owners.join(fresh.select("__tkey"), "__tkey", "left_semi")
+        same = unless_few(owners.select("__tkey", "__print").distinct(), n_fresh)
+        old = state.table(manifest, target, set())
+
+        def save_owners() -> DataFrame:
+            """Those of the lost keys that no source row produces now."""
+            state.rewrite(manifest, by_target, touched, own, fresh, "__tkey", tkeys)
+            left = state.table(manifest, by_target, state.numbers(manifest, by_target, lost, "__tkey", lost._indexflow_rows)).select("__tkey")
+            return state.stage(lost.join(left, "__tkey", "left_anti"), "dead")
 
         def save_target() -> None:
             # a target of another form is written anew
             if old is None or [f.simpleString() for f in old.schema] != [f.simpleString() for f in rows.drop("__print").schema]:
-                state.replace(manifest, target_name(e.name), rows.drop("__print"), "__tkey")
+                state.replace(manifest, target, rows.drop("__print"), "__tkey")
+                save_owners()
                 return
-            changed = rows.join(unless_few(owners.select("__tkey", "__print").distinct(), affected._indexflow_rows), ["__tkey", "__print"], "left_anti").drop("__print")
-            changed = state.stage(changed, "upserts")
-            dead = affected.join(live, "__tkey", "left_anti")
-            gone = unless_few(changed.select("__tkey").unionByName(dead), affected._indexflow_rows)
-            state.rewrite(manifest, target_name(e.name), gone, ["__tkey"], changed, "__tkey")
+            changed, dead = together(lambda: state.stage(rows.join(same, ["__tkey", "__print"], "left_anti").drop("__print"), "upserts"), save_owners)
+            n = changed._indexflow_rows + dead._indexflow_rows
+            gone = unless_few(changed.select("__tkey").unionByName(dead), n)
+            state.rewrite(manifest, target, gone, ["__tkey"], changed, "__tkey", state.numbers(manifest, target, gone, "__tkey", n))
 
-        together(save_target, partial(state.rewrite, manifest, by_target, touched, own, fresh, "__tkey", tkeys), partial(state.rewrite, manifest, by_source, touched, own, fresh, "__skey", skeys))
+        together(save_target, partial(state.rewrite, manifest, by_source, touched, own, fresh, "__skey", skeys))
 
     def save_memo(n: str, df: DataFrame) -> None:
         used = df.withColumnRenamed("__key", "__skey").join(unless_few(processed.select(*own), most), own, "left_semi")
@@ -200,11 +229,10 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     return stats
 
 
-def together(*calls: Callable[[], None]) -> None:
-    """Run calls at once, as their Spark jobs are independent; the first failure is raised."""
+def together(*calls: Callable[[], Any]) -> list[Any]:
+    """The results of calls that run at once, as their Spark jobs are independent; the first failure is raised."""
     with ThreadPoolExecutor(8) as pool:
-        for done in [pool.submit(c) for c in calls]:
-            done.result()
+        return [done.result() for done in [pool.submit(c) for c in calls]]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

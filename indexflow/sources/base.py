@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -195,6 +197,10 @@ class TableSource:
             df = df.join(keys, self.keys, "left_semi")
         return df.select(*(n for n, _ in self.fields(spark).fields), self._ordinal())
 
+    def scan(self, spark: SparkSession) -> DataFrame:
+        """All rows that some keys could ask for, for many keys: a join with them would deal out the whole table once more."""
+        return self.read(spark).where(reduce(and_, (F.col(f"`{k}`").isNotNull() for k in self.keys)))
+
 
 def micros(at: datetime.datetime) -> int:
     """A time as an ordinal."""

@@ -585,3 +585,50 @@ def test_orphans_of_many_rows_are_found_without_any_broadcast(spark, sf_dir, mon
     found = catalogue.graph_orphans_after_update(spark, sf_dir)
     assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in catalogue.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 and o_orderkey % 5 <> 0").select("o_custkey").distinct().collect())
     assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_updates_of_many_rows_scan_tables_and_give_the_same(spark, tmp_path, monkeypatch, many):
+    """Rows without a key, keys in several versions, and target keys that one source row loses and another keeps, takes or loses too."""
+    from indexflow.plans import state as states, update as updates
+
+    if many:
+        monkeypatch.setattr(states, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(states, "FULL_ROWS", -1, raising=False)
+        monkeypatch.setattr(updates, "FEW_FAILED", -1)
+    read, asked = TableSource.read, []
+    monkeypatch.setattr(TableSource, "read", lambda self, spark, keys=None: asked.append(keys is not None) or read(self, spark, keys))
+    now = {}
+
+    def define(b):
+        b.scope["r"] = b.add_source(TableSource(spark.createDataFrame(now["rows"], "id long, t string not null, v long, at long"), "id", "at"), name="r")
+        out = b.scope.add_collector()
+        with b.scope["r"].row() as r:
+            out.collect(t=r["t"], v=r["v"])
+        out.export("t", Table(), primary_key_fields=["t"])
+
+    state = states.FlowState(spark, f"file://{tmp_path}/state", 4)
+    steps = [
+        ([(1, "a", 1, 1), (2, "a", 2, 1), (3, "b", 3, 1), (4, "c", 4, 1), (4, "old", 9, 0), (None, "n", 5, 1)], {"a": 1, "b": 3, "c": 4}, (4, 0, 0, 0)),
+        ([(1, "d", 1, 2), (2, "a", 2, 1), (3, "b", 3, 3), (5, "c", 4, 1), (5, "c", 6, None)], {"a": 1, "b": 3, "c": 4, "d": 1}, (1, 1, 1, 2)),
+        ([(1, "d", 7, 3), (1, "a", 8, 2)], {"d": 7}, (0, 1, 3, 0)),
+        ([], {}, (0, 0, 1, 0)),
+    ]
+    for now["rows"], want, counts in steps:
+        s = updates.run_update(spark, define, state).sources["r"]
+        assert {r["t"]: r["v"] for r in state.table(state.load(), "target.t").collect()} == want
+        assert (s.insertions, s.updates, s.deletions, s.no_change) == counts
+    assert any(asked) == (not many)
+
+
+def test_versions_of_many_rows_are_updated_without_any_broadcast(spark, sf_dir, monkeypatch):
+    from indexflow.plans import catalogue, state as states, update as updates
+
+    monkeypatch.setattr(states, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(updates, "FEW_FAILED", -1)
+    plans = []
+    writer = type(spark.range(0)).write
+    monkeypatch.setattr(type(spark.range(0)), "write", property(lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or writer.fget(self)))
+    keys = sorted(r[0] for r in catalogue.flow_versions(spark, sf_dir).where("export = 'size'").select("k").collect())
+    assert keys == sorted(f"c{r[0]}" for r in catalogue.table(spark, sf_dir, "customer").where("c_custkey % 4 <> 3").select("c_custkey").collect())
+    assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
