@@ -201,6 +201,9 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
             """Those of the lost keys that no source row produces now."""
             state.rewrite(manifest, by_target, touched, own, fresh, "__tkey", tkeys)
             left = state.table(manifest, by_target, state.numbers(manifest, by_target, lost, "__tkey", lost._indexflow_rows)).select("__tkey")
+            if few(lost._indexflow_rows):
+                # else Spark broadcasts the keys of all owners where their files are small
+                left = left.join(lost, "__tkey", "left_semi").distinct()
             return state.stage(lost.join(left, "__tkey", "left_anti"), "dead")
 
         def save_target() -> None:

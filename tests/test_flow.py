@@ -632,3 +632,44 @@ def test_versions_of_many_rows_are_updated_without_any_broadcast(spark, sf_dir,
     keys = sorted(r[0] for r in catalogue.flow_versions(spark, sf_dir).where("export = 'size'").select("k").collect())
     assert keys == sorted(f"c{r[0]}" for r in catalogue.table(spark, sf_dir, "customer").where("c_custkey % 4 <> 3").select("c_custkey").collect())
     assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
+
+
+def broadcast_rows(spark, beyond=-1):
+    """Rows of every table that was broadcast by executions with a larger number, and the largest number."""
+    seq = lambda found: [found.apply(i) for i in range(found.size())]
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store, rows = spark._jsparkSession.sharedState().statusStore(), []
+    numbers = [e.executionId() for e in seq(store.executionsList())]
+    for n in (n for n in numbers if n > beyond):
+        values = store.executionMetrics(n)
+        made = [m.accumulatorId() for node in seq(store.planGraph(n).allNodes()) if node.name() == "BroadcastExchange" for m in seq(node.metrics()) if m.name() == "number of output rows"]
+        rows += [int(values.apply(m).replace(",", "")) for m in made if values.contains(m)]
+    return rows, max(numbers)
+
+
+def test_few_changes_to_many_rows_broadcast_few_rows(spark, tmp_path, monkeypatch):
+    """Spark judges the owners of all target keys by their files' size; what the driver builds must follow the changes."""
+    from indexflow.plans import state as states, update as updates
+
+    monkeypatch.setattr(states, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(updates, "FEW_FAILED", 20)
+    rows = {"now": [(i, f"k{i // 2}", i, 1) for i in range(400)]}
+
+    def define(b):
+        b.scope["r"] = b.add_source(TableSource(spark.createDataFrame(rows["now"], "id long, t string not null, v long, at long"), "id", "at"), name="r")
+        out = b.scope.add_collector()
+        with b.scope["r"].row() as r:
+            out.collect(t=r["t"], v=r["v"])
+        out.export("t", Table(), primary_key_fields=["t"])
+
+    state = states.FlowState(spark, f"file://{tmp_path}/state", 2)
+    updates.run_update(spark, define, state)
+    _, last = broadcast_rows(spark)
+    # k0 loses both owners, k1 one of two, and k2 gets another value
+    rows["now"] = [(i, t, -1 if i == 4 else v, 2 if i == 4 else at) for i, t, v, at in rows["now"] if i > 2]
+    stats = updates.run_update(spark, define, state).sources["r"]
+    assert (stats.no_change, stats.updates, stats.deletions) == (396, 1, 3)
+    got = {r["t"]: r["v"] for r in state.table(state.load(), "target.t").collect()}
+    assert "k0" not in got and len(got) == 199 and got["k2"] == -1
+    broadcast, _ = broadcast_rows(spark, last)
+    assert broadcast and max(broadcast) <= 20
