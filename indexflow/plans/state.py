@@ -29,6 +29,11 @@ def few(rows: int) -> bool:
     return rows <= BROADCAST_ROWS
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty table that is known to be one, so that joins and unions with it are left out of plans."""
+    return spark.range(0).where("false").select(*(F.lit(None).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema))
+
+
 def unless_few(df: DataFrame, rows: int) -> DataFrame:
     """A side of joins that is shuffled, not broadcast, if it has many rows."""
     return df if few(rows) else df.hint("merge")
@@ -139,7 +144,7 @@ class FlowState:
         path, seen = self._new(name), Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         rows = seen.get.get("n", 0)
-        out = unless_few(self.spark.read.schema(df.schema).parquet(path), rows)
+        out = unless_few(self.spark.read.schema(df.schema).parquet(path), rows) if rows else no_rows(self.spark, df.schema)
         out._indexflow_path, out._indexflow_rows = path, rows
         return out
 

@@ -27,7 +27,7 @@ from indexflow.operators.changes import DELETE, NO_CHANGE, PROCESS, detect_chang
 from indexflow.operators.memo import Memo
 from indexflow.operators.merge import last_writer
 from indexflow.plans.builder import ERR, KEY, PLACE, SRC, Export, FlowBuilder, source_key
-from indexflow.plans.state import FlowState, few, unless_few
+from indexflow.plans.state import FlowState, few, no_rows, unless_few
 
 TRACKING = "__src string, __skey string, ordinal long, logic string, __content string, run long, at_micros long"
 #: So many failed rows are broadcast, so that the many that didn't fail needn't be shuffled.
@@ -73,8 +73,7 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     logic = base.logic_fingerprint
     manifest = state.load()
     run = max(manifest.run + 1, int(time.time() * 1000))
-    # joins with it are left out of plans
-    empty = lambda schema: spark.range(0).where("false").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)))
+    empty = lambda schema: no_rows(spark, T.StructType.fromDDL(schema))
     tracking = state.table(manifest, "tracking")
     tracking = empty(TRACKING) if tracking is None else tracking
 
@@ -139,7 +138,7 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
         failed = failed.unionByName(bad).unionByName(twice)
     failed = state.stage(failed.groupBy("__src", "__skey").agg(F.min("error").alias("error")), "failed")
     few_failed = failed._indexflow_rows <= FEW_FAILED
-    if few_failed:
+    if few_failed and failed._indexflow_rows:
         failed = F.broadcast(failed)
 
     def classify(source: str) -> DataFrame:
@@ -151,9 +150,7 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
     for source, state_of in zip(changes, together(*(partial(classify, source) for source in changes)), strict=True):
         here = F.lit(source).alias("__src")
         ok = state_of.where("class = 'PROCESS' and error is null")
-        done.append(ok.select(here, "__skey", "ordinal", F.lit(logic).alias("logic"), "__content", F.lit(run).alias("run"), F.lit(run * 1000).alias("at_micros")))
-        bumped.append(state_of.where("class = 'BUMP'").select(here, "__skey", "ordinal", F.lit(logic).alias("logic"), "__content", F.lit(run).alias("run"), F.lit(run * 1000).alias("at_micros")))
-        gone.append(state_of.where(F.col("class") == DELETE).select(here, "__skey"))
+        version = lambda rows, here=here: rows.select(here, "__skey", "ordinal", F.lit(logic).alias("logic"), "__content", F.lit(run).alias("run"), F.lit(run * 1000).alias("at_micros"))
         kind = outcome(F.col("had"), F.lit(True), F.col("had_ordinal"), F.col("ordinal"))
         n = state_of.agg(
             F.count_if(F.col("class") == "BUMP").alias("no_change"),
@@ -162,6 +159,13 @@ def run_update(spark: SparkSession, define: Callable[[FlowBuilder], None], state
             F.count_if(F.col("class") == DELETE).alias("deletions"),
             F.count_if((F.col("class") == PROCESS) & F.col("error").isNotNull()).alias("errors"),
         ).first()
+        # kinds without rows are left out of the plans that follow
+        if n["insertions"] + n["updates"] + n["reprocesses"]:
+            done.append(version(ok))
+        if n["no_change"]:
+            bumped.append(version(state_of.where("class = 'BUMP'")))
+        if n["deletions"]:
+            gone.append(state_of.where(F.col("class") == DELETE).select(here, "__skey"))
         left = tracked[source] - n["had"]  # tracked rows that aren't among the changes
         stats.sources[source] = SourceStats(**{f: n[f] + (left if f == "no_change" else 0) for f in ("no_change", "insertions", "deletions", "updates", "reprocesses", "errors")})
     stats.errors = [(r["__src"], r["__skey"], r["error"]) for r in failed.orderBy("__src", "__skey").limit(keep_errors).collect()]

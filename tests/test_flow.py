@@ -673,3 +673,17 @@ def test_few_changes_to_many_rows_broadcast_few_rows(spark, tmp_path, monkeypatc
     assert "k0" not in got and len(got) == 199 and got["k2"] == -1
     broadcast, _ = broadcast_rows(spark, last)
     assert broadcast and max(broadcast) <= 20
+
+
+def test_staged_tables_without_rows_are_left_out_of_plans(spark, tmp_path):
+    from indexflow.plans import state as states
+
+    state = states.FlowState(spark, f"file://{tmp_path}/state")
+    none = state.stage(spark.range(9).where("id > 9").select(F.col("id").cast("string").alias("k"), F.array(F.struct("id")).alias("a")), "none")
+    other = spark.range(9).select(F.col("id").cast("string").alias("k"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert none._indexflow_rows == 0 and none.dtypes == [("k", "string"), ("a", "array<struct<id:bigint>>")]
+    assert "Join" not in plan(other.join(none.select("k"), "k", "left_anti")) and other.join(none, "k", "left_anti").count() == 9
+    manifest = states.Manifest()
+    state.point(manifest, "none", none)
+    assert state.table(manifest, "none").dtypes == none.dtypes and state.table(manifest, "none").count() == 0
